@@ -12,12 +12,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
 from conceptmine.operators.ranking import first_wins
+from conceptmine.session import materialize
 
 # Everything ast.parse raises on text that is not a program.
 NOT_A_PROGRAM = (SyntaxError, ValueError, RecursionError, MemoryError)
@@ -44,15 +45,17 @@ def call_names(scripts: DataFrame, path: str = "path", text: str = "text") -> Da
 
     Texts without an opening parenthesis hold no call and skip Python.
     """
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [_callees(t) for t in pdf["text"]]
-            yield pd.DataFrame({"path": pdf["path"].repeat([len(f) for f in found]),
-                                "element": [e for f in found for e in f]})
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_callees(t) for t in batch.column("text").to_pylist()]
+            rows = [i for i, names in enumerate(found) for _ in names]
+            elements = [name for names in found for name in names]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("path").take(pa.array(rows, pa.int64())), pa.array(elements, pa.string())],
+                ["path", "element"])
 
     candidates = scripts.select(F.col(path).alias("path"), F.col(text).alias("text"))
-    return candidates.where(F.contains("text", F.lit("("))).mapInPandas(
-        parse, "path string, element string")
+    return candidates.where(F.contains("text", F.lit("("))).mapInArrow(parse, "path string, element string")
 
 
 # --- documented definitions ---------------------------------------------------
@@ -112,21 +115,23 @@ def _definitions(source: str) -> Iterator[dict]:
 
 def definitions(modules: DataFrame, clean_docs: bool = False) -> DataFrame:
     """``(path, text)`` to one row per documented definition, ``pos`` = order in file."""
-    columns = ["path", "pos", "kind", "def_name", "in_class", "bases", "docstring", "source_code"]
+    arrow = pa.schema([
+        ("path", pa.string()), ("pos", pa.int32()), ("kind", pa.string()), ("def_name", pa.string()),
+        ("in_class", pa.bool_()), ("bases", pa.list_(pa.string())), ("docstring", pa.string()),
+        ("source_code", pa.string()),
+    ])
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                {"path": path, "pos": pos, **d}
-                for path, text in zip(pdf["path"], pdf["text"])
-                for pos, d in enumerate(_definitions(text))
-            ]
-            out = pd.DataFrame(rows, columns=columns)
-            if clean_docs:
-                out["docstring"] = out["docstring"].map(drop_doc_blocks)
-            yield out
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+                for pos, found in enumerate(_definitions(text)):
+                    if clean_docs:
+                        found["docstring"] = drop_doc_blocks(found["docstring"])
+                    rows.append({"path": path, "pos": pos, **found})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return modules.select("path", "text").mapInPandas(parse, DEFINITION_SCHEMA)
+    return modules.select("path", "text").where(F.col("text").isNotNull()).mapInArrow(parse, DEFINITION_SCHEMA)
 
 
 @dataclass(frozen=True)
@@ -248,7 +253,7 @@ def extract_concepts_ordered(files: DataFrame, profile: Profile, api_names: Data
     """All concepts of one framework, unique by name, with their order keys."""
     rows = concept_rows(files, profile, api_names)
     if profile.api_functions:
-        rows = stop_when_covered(rows, api_names)
+        rows = stop_when_covered(materialize(rows), api_names)  # parsed once, read twice
     return first_wins(rows, ["name"], [F.col("dir_rank"), F.split("path", "/"), F.col("pos")])
 
 

@@ -38,11 +38,17 @@ def encoder_column(factory: EncoderFactory) -> Callable[[Column], Column]:
     return encode
 
 
+def text_key(c: Column) -> Column:
+    """Short join key of a text, so long texts are shuffled once and not per match."""
+    return F.sha2(c, 256)
+
+
 def encode_distinct(texts: DataFrame, text: str, encode: Callable[[Column], Column]) -> DataFrame:
-    """``(text, vec)``, one row per distinct non-null text.
+    """``(key, text, vec)``, one row per distinct non-null text.
 
-    ``distinct`` combines on the map side, so a text repeated in a third of all
+    The grouping combines on the map side, so a text repeated in a third of all
     rows is encoded once.
     """
-    distinct = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
+    present = texts.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+    distinct = present.groupBy(text_key(F.col("text")).alias("key")).agg(F.any_value("text").alias("text"))
     return distinct.withColumn("vec", encode(F.col("text")))

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements whose text is not page text (fixed values).
 HIDDEN = {"script", "style", "template", "rt", "rp"}
@@ -53,7 +54,7 @@ def plain_text(html: str | None) -> str | None:
     return " ".join(parser.nodes)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _plain_text(html: pd.Series) -> pd.Series:
     return html.map(plain_text)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
 from conceptmine.operators import code, dedup, lookup
-from conceptmine.operators.encode import encode_distinct
+from conceptmine.operators.encode import encode_distinct, text_key
 from conceptmine.operators.ranking import numbered
 from conceptmine.operators.similarity import similarity_join
 from conceptmine.operators.skew import salted_join
@@ -29,21 +29,22 @@ def mine(files: DataFrame, profile: code.Profile, encode: Encode,
     kept = dedup.drop_wrappers(raw, profile.prefix)
     order = [F.col("dir_rank"), F.split("path", "/"), F.col("pos")]
     ordered = numbered(kept, order, "ord", start=0)
-    vectors = encode_distinct(ordered, "summary", encode)
-    encoded = materialize(salted_join(ordered, vectors.withColumnRenamed("text", "summary"), "summary"))
+    keyed = ordered.withColumn("key", text_key(F.col("summary")))
+    vectors = encode_distinct(ordered, "summary", encode).select("key", "vec")
+    encoded = materialize(salted_join(keyed, vectors, "key").drop("key"))
     return dedup.semantic_dedup(encoded, threshold)
 
 
 def _matches(uses: DataFrame, concepts: DataFrame, concept_text: str, encode: Encode, threshold: float) -> DataFrame:
     """``uses(path, text)`` against concepts: every text and every concept text is encoded once."""
-    texts = materialize(encode_distinct(uses, "text", encode))
-    targets = materialize(encode_distinct(concepts, concept_text, encode))
-    pairs = similarity_join(texts, targets, threshold, left_key="text", right_key="text")
-    scored = pairs.select(
-        F.col("left_id").alias("text"), F.col("right_id").alias(concept_text), F.col("score").alias("similarity_score"))
-    hits = scored.join(concepts.select(concept_text, "name", "pattern"), concept_text)
+    texts = materialize(encode_distinct(uses, "text", encode).select("key", "vec"))
+    targets = materialize(encode_distinct(concepts, concept_text, encode).select("key", "vec"))
+    pairs = similarity_join(texts, targets, threshold, left_key="key", right_key="key").select(
+        F.col("left_id").alias("key"), F.col("right_id").alias("concept_key"), F.col("score").alias("similarity_score"))
+    named = concepts.select(text_key(F.col(concept_text)).alias("concept_key"), "name", "pattern")
+    hits = pairs.join(named, "concept_key").drop("concept_key")
     # a few names ('print', 'range') are used by very many files
-    return salted_join(uses, hits.select("text", "name", "pattern", "similarity_score"), "text")
+    return salted_join(uses.withColumn("key", text_key(F.col("text"))), hits, "key").drop("key")
 
 
 def match(scripts: DataFrame, resolved: DataFrame, encode: Encode, name_threshold: float = NAME_THRESHOLD,

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, readable after executors are lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (what ``--py-files`` does), once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_conceptmine_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="conceptmine-code-")) / "conceptmine_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(here.rglob("*.py")):
+            z.write(source, source.relative_to(here.parent))
+    sc.addPyFile(str(archive))
+    sc._conceptmine_shipped = True

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conceptmine.functions import text as tx
 
@@ -18,7 +19,7 @@ SKIP_DIRS = [
 ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _lenient_utf8(content: pd.Series) -> pd.Series:
     return content.map(lambda b: bytes(b).decode("utf-8", errors="ignore"), na_action="ignore")
 
