@@ -188,57 +188,55 @@ def similar_pairs(df: DataFrame, threshold: float, key: str = "ord", vec: str =
 
 # --- greedy leader clustering ---------------------------------------------------
 
-def _earliest_neighbour(left: DataFrame, right: DataFrame, t: float, max_broadcast_values: int) -> DataFrame:
-    """Per left row the smallest ``id`` of an earlier right row with cosine > t: ``(id, first)``.
+def _smallest_earlier(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """Per row of ``a`` the smallest earlier id in ``b`` with cosine > t, -1 without one."""
+    order = np.argsort(ids_b)
+    ids_b, b = ids_b[order], b[order]
+    best = np.full(len(ids_a), -1, dtype=np.int64)
+    # walk the right side in order; a row is done with its first hit
+    step = 512
+    for start in range(0, len(b), step):
+        open_rows = np.flatnonzero((best < 0) & (ids_a > ids_b[start]))
+        if len(open_rows) == 0:
+            continue
+        part = slice(start, start + step)
+        i, j, _ = _hits(a[open_rows], b[part], t, True)
+        rows, ids = open_rows[i], ids_b[part][j]
+        earlier = ids < ids_a[rows]
+        # pairs come ordered by row, then by id: the first of a row is its smallest
+        rows, first = np.unique(rows[earlier], return_index=True)
+        best[rows] = ids[earlier][first]
+    return best
+
+
+def _with_earliest(left: DataFrame, right: DataFrame, right_rows: int, dim: int, t: float,
+                   max_broadcast_values: int) -> DataFrame:
+    """``left(id, vec)`` plus ``first``: the smallest id of an earlier right row with cosine > t, or null.
 
     Each block pair returns at most one row per left row, never its pairs.
     """
-    rows, dim = _shape(right)
-    schema = "id bigint, first bigint"
-    if rows == 0:
-        return left.sparkSession.createDataFrame([], schema)
-
-    def smallest(ids_a, a, ids_b, b):
-        order = np.argsort(ids_b)
-        ids_b, b = ids_b[order], b[order]
-        best = np.full(len(ids_a), -1, dtype=np.int64)
-        # walk the right side in order and stop looking once a row has its first hit
-        step = 512
-        for start in range(0, len(b), step):
-            open_rows = np.flatnonzero((best < 0) & (ids_a > ids_b[start]))
-            if len(open_rows) == 0:
-                continue
-            part = slice(start, start + step)
-            i, j, _ = _hits(a[open_rows], b[part], t, True)
-            earlier = ids_b[part][j] < ids_a[open_rows][i]
-            i, j = open_rows[i[earlier]], ids_b[part][j[earlier]]
-            found = np.full(len(ids_a), np.iinfo(np.int64).max)
-            np.minimum.at(found, i, j)
-            hit = np.unique(i)
-            best[hit] = found[hit]
-        hit = best >= 0
-        return ids_a[hit], best[hit]
-
-    if rows * dim <= max_broadcast_values:
-        table = right.toArrow()
-        shared = left.sparkSession.sparkContext.broadcast(
-            (table["id"].to_numpy(), _matrix(table["vec"], dim)))
+    if right_rows == 0:
+        return left.withColumn("first", F.lit(None).cast("bigint"))
+    if right_rows * dim <= max_broadcast_values:
+        table = right.select("id", "vec").toArrow()
+        shared = left.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), _matrix(table["vec"], dim)))
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, first = smallest(batch.column("id").to_numpy(), _matrix(batch.column("vec"), dim),
-                                      *shared.value)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(first)], ["id", "first"])
+                first = _smallest_earlier(batch.column("id").to_numpy(), _matrix(batch.column("vec"), dim),
+                                          *shared.value, t)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(first, mask=first < 0)], ["id", "vec", "first"])
 
-        return left.mapInArrow(match, schema)
+        return left.mapInArrow(match, "id bigint, vec array<double>, first bigint")
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        ids, first = smallest(lt["id"].to_numpy(), _matrix(lt["vec"], dim),
-                              rt["id"].to_numpy(), _matrix(rt["vec"], dim))
-        return pa.table({"id": ids, "first": first})
+        ids = lt["id"].to_numpy()
+        first = _smallest_earlier(ids, _matrix(lt["vec"], dim), rt["id"].to_numpy(), _matrix(rt["vec"], dim), t)
+        return pa.table({"id": ids[first >= 0], "first": first[first >= 0]})
 
-    found = _cell_join(left, right, rows, dim, t, kernel, schema)
-    return found.groupBy("id").agg(F.min("first").alias("first"))
+    found = _cell_join(left, right, right_rows, dim, t, kernel, "id bigint, first bigint")
+    return left.join(found.groupBy("id").agg(F.min("first").alias("first")), "id", "left")
 
 
 def leader_clusters(
@@ -250,11 +248,12 @@ def leader_clusters(
     The greedy loop lets each still free row take all later free rows with
     cosine > threshold. Its leaders are the rows without an earlier leader
     nearby, and every other row belongs to its smallest leader neighbour. That
-    is reached in rounds: a free row whose earlier neighbours are all settled
-    as members leads; a free row next to an earlier leader is a member.
+    is reached in rounds: a free row without an earlier free neighbour leads; a
+    free row next to an earlier leader is a member.
 
     Equal vectors collapse to their earliest row first (exact, they share all
-    neighbours). Rounds end when no row is free; none is cut short.
+    neighbours). Every round settles at least the earliest free row and rounds
+    end when no row is free; none is cut short.
     """
     if not threshold < 1.0:
         raise ValueError("threshold must be below 1")
@@ -263,28 +262,29 @@ def leader_clusters(
     # a row without direction is similar to nothing, not even to its copies
     alone = rows.where("blank").select("ord", F.col("ord").alias("leader"))
     solid = rows.where("NOT blank")
-    copies = solid.groupBy("vec").agg(F.min("ord").alias("id"))
-    points = materialize(copies.select("id", "vec"))
+    points = materialize(solid.groupBy("vec").agg(F.min("ord").alias("id")).select("id", "vec"))
 
-    free, leaders, rounds = points, points.limit(0), 0
-    left_over = free.count()
+    left_over, dim = _shape(points)
+    free, leaders, n_leaders, rounds = points, points.limit(0), 0, 0
     while left_over:
         rounds += 1
-        blocked = _earliest_neighbour(free, free, threshold, max_broadcast_values)
-        new_leaders = materialize(free.join(blocked, "id", "left_anti"))
-        rest = free.join(new_leaders, "id", "left_anti")
-        taken = _earliest_neighbour(rest, new_leaders, threshold, max_broadcast_values)
-        leaders = leaders.unionByName(new_leaders)
-        free = materialize(rest.join(taken, "id", "left_anti"))
+        seen = materialize(_with_earliest(free, free, left_over, dim, threshold, max_broadcast_values))
+        new_leaders = seen.where(F.col("first").isNull()).select("id", "vec")
+        rest = seen.where(F.col("first").isNotNull()).select("id", "vec")
+        found = new_leaders.count()
+        leaders, n_leaders = leaders.unionByName(new_leaders), n_leaders + found
+        if found == left_over:
+            break
+        settled = materialize(_with_earliest(rest, new_leaders, found, dim, threshold, max_broadcast_values))
+        free = settled.where(F.col("first").isNull()).select("id", "vec")
         left_over = free.count()
         if log:
             log(f"leader clustering round {rounds}: {left_over} rows free")
 
-    leaders = materialize(leaders)
-    members = points.join(leaders, "id", "left_anti")
-    owner = _earliest_neighbour(members, leaders, threshold, max_broadcast_values)
-    settled = leaders.select("id", F.col("id").alias("leader")).unionByName(
-        owner.select("id", F.col("first").alias("leader")))
-    by_vector = points.join(settled, "id").select("vec", "leader")
-    # one vector may be shared by a third of all rows
-    return salted_join(solid, by_vector, "vec").select("ord", "leader").unionByName(alone)
+    # leaders have no earlier leader nearby, so they own themselves
+    owned = _with_earliest(points, leaders, n_leaders, dim, threshold, max_broadcast_values)
+    owners = owned.select(F.xxhash64("vec").alias("hash"), F.col("vec").alias("own"),
+                          F.coalesce("first", "id").alias("leader"))
+    # sorted and salted by a short hash, decided by the vector; one vector may be shared by a third of all rows
+    placed = salted_join(solid.select(F.xxhash64("vec").alias("hash"), "ord", "vec"), owners, "hash")
+    return placed.where(F.col("vec") == F.col("own")).select("ord", "leader").unionByName(alone)

@@ -24,6 +24,7 @@ def salted_join(
         .orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS)
         .select(key, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices"))
     )
+    # rows of one key must differ somewhere to spread: hash all their columns
     others = [c for c in left.columns if c != key] or [key]
     slices = F.coalesce("_slices", F.lit(1))
     spread = left.join(F.broadcast(hot), key, "left").withColumn(

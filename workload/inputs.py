@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
+from conceptmine.session import spread
 from conceptmine.sources.tables import with_origin
 
 WS = tx.SPACE_CHARS.replace("'", "''")
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are expensive to work on."""
+    return spread(table(spark, sf_dir, name))
+
+
 def sql_strip(c: str) -> str:
     return f"trim({c}, '{WS}')"
 
@@ -31,7 +37,7 @@ def sql_squeeze(c: str) -> str:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match rows: one per line item, concept = part, file = nation of the supplier and order."""
-    line = table(spark, sf_dir, "lineitem").select(
+    line = wide(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_discount")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     home = table(spark, sf_dir, "supplier").join(
@@ -117,9 +123,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def letter_profile(c):
     """A caller-supplied encoder made of built-in expressions: letter counts of the text."""
-    low = F.lower(c)
     letters = F.array(*[F.lit(ch) for ch in LETTERS])
-    return F.transform(letters, lambda ch: F.length(low) - F.length(F.replace(low, ch, F.lit("")))).cast("array<float>")
+    # the one-element array binds the lower-cased text once for all letters
+    counts = F.transform(F.array(F.lower(c)), lambda low: F.transform(
+        letters, lambda ch: F.length(low) - F.length(F.replace(low, ch, F.lit("")))))
+    return F.element_at(counts, 1).cast("array<float>")
 
 
 def sql_letter_profile(c: str) -> str:
@@ -139,7 +147,7 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One small script per event; 'error' events do not parse."""
     ok = F.concat(F.lit("import api\nr = api."), "event_type", F.lit("(helper("), "event_id",
                   F.lit("), key='"), "user_id", F.lit("').done()\ntable[0](1)\n"))
-    return table(spark, sf_dir, "events").select(
+    return wide(spark, sf_dir, "events").select(
         F.concat(F.lit("u"), "user_id", F.lit("/e"), "event_id", F.lit(".py")).alias("path"),
         F.when(F.col("event_type") == "error", F.concat(F.lit("def broken(:\n    call("), "event_id", F.lit(")")))
         .otherwise(ok).alias("text"))

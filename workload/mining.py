@@ -13,7 +13,7 @@ from conceptmine.operators.ranking import first_wins, numbered
 from conceptmine.plans import pipeline
 from workload.inputs import (
     HARVEST, REPOS, SQL_CAMEL, SQL_SNAKE, camel, letter_profile, repos_harvest, repositories, scripts, sql_cosine,
-    sql_letter_profile, table, vectors,
+    sql_letter_profile, table, vectors, wide,
 )
 
 QUERIES = {}
@@ -104,7 +104,7 @@ def named_concepts(spark, d):
 
 def corpus(spark, d):
     """Event scripts and, as commented scripts, the documents."""
-    docs = table(spark, d, "documents").select(
+    docs = wide(spark, d, "documents").select(
         F.concat("source", F.lit("/d"), "doc_id", F.lit(".py")).alias("path"),
         F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n# "))).alias("text"))
     return scripts(spark, d).unionByName(docs)
@@ -162,7 +162,7 @@ def sdk_files(spark, d, root):
 
     PROMO parts sit in an excluded folder, MEDIUM ones in a test file, STANDARD ones in a second folder.
     """
-    part, snake = table(spark, d, "part"), F.replace("p_name", F.lit(" "), F.lit("_"))
+    part, snake = wide(spark, d, "part"), F.replace("p_name", F.lit(" "), F.lit("_"))
     kind = F.col("p_type")
     first, second = root
     folder = (F.when(kind == "PROMO", f"{first}templates/x/").when(kind == "STANDARD", second)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from conceptmine.functions import text as tx
 from conceptmine.operators.html import html_text
 from conceptmine.sources import catalogue, notebooks, scan
-from workload.inputs import SQL_CAMEL, WS_CLASS, camel, sql_squeeze, sql_strip, table
+from workload.inputs import SQL_CAMEL, WS_CLASS, camel, sql_squeeze, sql_strip, table, wide
 
 QUERIES = {}
 
@@ -22,7 +22,8 @@ def query(name: str, sql: str | None = None):
 def _scalar(name: str, source: str, key: str, expr, sql_expr: str, prefix: str = "") -> None:
     """A query that applies one text function to every row of a table."""
     query(name, f"{prefix} SELECT {key}, {sql_expr} AS out FROM {source}")(
-        lambda spark, d: table(spark, d, source).select(key, expr().alias("out")))
+        lambda spark, d: (wide if source in ("documents", "pages") else table)(spark, d, source).select(
+            key, expr().alias("out")))
 
 
 # --- names and paths ------------------------------------------------------------------
@@ -148,7 +149,7 @@ def notebook_files(spark, d):
         i.alias("execution_count")))
     cells = F.flatten(F.zip_with(prose, code, lambda p, c: F.array(p, c)))
     good = F.to_json(F.struct(cells.alias("cells")))
-    return table(spark, d, "documents").select(
+    return wide(spark, d, "documents").select(
         "doc_id", F.concat("source", F.lit("/d"), "doc_id", F.lit(".ipynb")).alias("path"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("n_chars"))).alias("modified"),
         F.when(F.col("lang") == "de", F.lit("{broken")).otherwise(good).alias("text"))
@@ -238,4 +239,4 @@ def catalogue_details(spark, d):
     content = F.create_map(F.lit("Intent"), F.col("html"),
                            F.lit("Context"), F.concat(F.lit("<p> "), "url", F.lit("</p><b>x</b>")))
     answer = F.to_json(F.struct(content.alias("renderedContent")))
-    return catalogue.details(table(spark, d, "pages").select(F.col("url").alias("name"), answer.alias("json")))
+    return catalogue.details(wide(spark, d, "pages").select(F.col("url").alias("name"), answer.alias("json")))
