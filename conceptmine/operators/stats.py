@@ -6,7 +6,7 @@ lists of names are built from rows that are already distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
@@ -19,6 +19,11 @@ WATCHED_PATTERNS = [
 ]
 
 
+def mean_score() -> Column:
+    """Mean score summed in decimals: the same value however the rows are partitioned."""
+    return F.avg(F.col("similarity_score").cast("decimal(18,9)"))
+
+
 def with_pattern(matches: DataFrame) -> DataFrame:
     return matches.where(tx.to_null(F.col("pattern")).isNotNull())
 
@@ -29,7 +34,7 @@ def counts_by(df: DataFrame, key: str, name: str = "matches") -> DataFrame:
 
 def mean_score_by(df: DataFrame, key: str, name: str = "avg_score") -> DataFrame:
     means = df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.round(F.avg("similarity_score"), 4).alias(name))
+        F.bround(mean_score(), 4).cast("double").alias(name))
     return means.orderBy(F.desc(name), key)
 
 
@@ -39,7 +44,7 @@ def overview(matches: DataFrame) -> DataFrame:
         F.count("*").alias("total_matches"),
         F.count_distinct("file_path").alias("files"),
         F.count_distinct("concept_name").alias("concepts"),
-        F.coalesce(F.avg("similarity_score"), F.lit(0.0)).alias("avg_score"),
+        F.coalesce(mean_score().cast("double"), F.lit(0.0)).alias("avg_score"),
     )
 
 
@@ -54,7 +59,7 @@ def basic_statistics(matches: DataFrame, defined: DataFrame) -> DataFrame:
     measured = matches.agg(
         F.count("*").alias("total_matches"),
         F.count_distinct(tx.to_null(F.col("pattern"))).alias("found_patterns"),
-        F.coalesce(F.avg("similarity_score"), F.lit(0.0)).alias("avg_score"),
+        F.coalesce(mean_score().cast("double"), F.lit(0.0)).alias("avg_score"),
     )
     missing = unmatched_patterns(matches, defined).agg(F.count("*").alias("n"))
     return measured.withColumn("unmatched_patterns", missing.scalar())

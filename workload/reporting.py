@@ -29,26 +29,32 @@ for _key in ("match_type", "framework", "project", "pattern"):
     _counts(_key)
 
 
-@query("avg_by_match_type", f"""WITH {FACTS} SELECT match_type, round(avg(similarity_score), 4) AS avg_score
-FROM facts GROUP BY 1""")
+def _mean4(keys: str, where: str = "true") -> str:
+    """Mean to four digits, ties to even, in exact integers."""
+    return f"""WITH {FACTS}, g AS (SELECT {keys}, count(similarity_score) * 100000::HUGEINT AS unit,
+  CAST(sum(CAST(similarity_score AS DECIMAL(18, 9))) * 1000000000 AS HUGEINT) AS total FROM facts WHERE {where} GROUP BY 1),
+q AS (SELECT *, total // unit AS q, 2 * (total - total // unit * unit) AS rest FROM g)
+SELECT {keys}, (q + CASE WHEN rest > unit OR (rest = unit AND q % 2 = 1) THEN 1 ELSE 0 END) / 10000 AS avg_score FROM q"""
+
+
+@query("avg_by_match_type", _mean4("match_type"))
 def avg_by_match_type(spark, d):
     return stats.mean_score_by(facts(spark, d), "match_type")
 
 
-@query("avg_by_pattern", f"""WITH {FACTS} SELECT pattern, round(avg(similarity_score), 4) AS avg_score
-FROM facts WHERE pattern IS NOT NULL GROUP BY 1""")
+@query("avg_by_pattern", _mean4("pattern", "pattern IS NOT NULL"))
 def avg_by_pattern(spark, d):
     return stats.mean_score_by(facts(spark, d), "pattern")
 
 
 @query("overview", f"""WITH {FACTS} SELECT count(*) AS total_matches, count(DISTINCT file_path) AS files,
-count(DISTINCT concept_name) AS concepts, round(coalesce(avg(similarity_score), 0), 6) AS avg_score FROM facts""")
+count(DISTINCT concept_name) AS concepts, round(coalesce(avg(CAST(similarity_score AS DECIMAL(18, 9))), 0), 6) AS avg_score FROM facts""")
 def overview(spark, d):
     return stats.overview(facts(spark, d)).withColumn("avg_score", F.round("avg_score", 6))
 
 
 @query("basic_stats", f"""WITH {FACTS}, {DEFINED} SELECT count(*) AS total_matches,
-count(DISTINCT pattern) AS found_patterns, round(coalesce(avg(similarity_score), 0), 6) AS avg_score,
+count(DISTINCT pattern) AS found_patterns, round(coalesce(avg(CAST(similarity_score AS DECIMAL(18, 9))), 0), 6) AS avg_score,
 (SELECT count(*) FROM defined WHERE pattern NOT IN (SELECT pattern FROM facts WHERE pattern IS NOT NULL))
   AS unmatched_patterns FROM facts""")
 def basic_stats(spark, d):

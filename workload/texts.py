@@ -212,7 +212,7 @@ def projects(spark, d):
 
 _NODES = """string_split_regex(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', '<x>', 'gs'), '<[^>]*>')"""
 _ENTITIES = [("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"),
-             ("&middot;", "·"), ("&mdash;", "—"), ("&eacute;", "é"), ("&amp;", "&")]
+             ("&middot;", "·"), ("&mdash;", "—"), ("&eacute;", "é"), ("&amp;", "&"), ("&amp", "&")]
 _DECODED = "x"
 for _name, _char in _ENTITIES:
     _DECODED = f"replace({_DECODED}, '{_name}', '{_char}')"
