@@ -30,31 +30,46 @@ from conceptmine.session import materialize
 
 MAX_BROADCAST_VALUES = 8_000_000  # doubles, 64 MB
 BLOCK_ROWS = 2048
-MAX_PIVOTS = 128
-SLACK = 1e-9  # wider than float error: candidates are decided on the exact value
+SLACK = 1e-5  # wider than single-precision error: candidates are decided on the exact double value
 
 
 def _prepared(df: DataFrame, key: str, vec: str) -> DataFrame:
-    """``(id, vec)`` in doubles; rows without direction can match nothing."""
-    v = vx.as_double(F.col(vec))
-    return df.select(F.col(key).alias("id"), v.alias("vec")).where(vx.norm(F.col("vec")) > 0)
+    """``(id, vec)`` of the rows that have a direction; the others can match nothing.
+
+    Single-precision vectors stay so on the wire, arithmetic is in doubles.
+    """
+    out = df.select(F.col(key).alias("id"), F.col(vec).alias("vec"))
+    return out.where(vx.norm(vx.as_double(F.col("vec"))) > 0)
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64, copy=False)
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+class _Side:
+    """One side of a block pair: vectors, their lengths, and unit vectors for the first cut."""
+
+    def __init__(self, vectors: np.ndarray) -> None:
+        self.vectors = vectors
+        self.lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        self.unit = (vectors / self.lengths[:, None]).astype(np.float32)
 
+    def __getitem__(self, rows) -> _Side:
+        part = object.__new__(_Side)
+        part.vectors, part.lengths, part.unit = self.vectors[rows], self.lengths[rows], self.unit[rows]
+        return part
 
-def _hits(a: np.ndarray, b: np.ndarray, t: float, strict: bool):
-    """Index pairs and scores of rows of ``a`` and ``b`` that reach the threshold."""
-    i, j = np.nonzero(_unit(a) @ _unit(b).T >= t - SLACK)
-    x, y = a[i], b[j]
-    score = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
+
+def _hits(a: _Side, b: _Side, t: float, strict: bool):
+    """Index pairs (by row, then column) and scores of the pairs that reach the threshold."""
+    i, j = np.nonzero(a.unit @ b.unit.T >= t - SLACK)
+    score = (a.vectors[i] * b.vectors[j]).sum(axis=1) / (a.lengths[i] * b.lengths[j])
     keep = score > t if strict else score >= t
     return i[keep], j[keep], score[keep]
 
@@ -76,8 +91,7 @@ def similarity_join(
     vectors come from an encoder.
     """
     a, b = _prepared(left, left_key, left_vec), _prepared(right, right_key, right_vec)
-    id_types = a.schema["id"].dataType.simpleString(), b.schema["id"].dataType.simpleString()
-    schema = f"left_id {id_types[0]}, right_id {id_types[1]}, score double"
+    schema = f"left_id {_type(a, 'id')}, right_id {_type(b, 'id')}, score double"
     rows, dim = _shape(b)
     if rows == 0:
         return left.sparkSession.createDataFrame([], schema)
@@ -85,7 +99,7 @@ def similarity_join(
         return _broadcast_join(a, b, dim, threshold, strict, schema)
 
     def pairs(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        i, j, score = _hits(_matrix(lt["vec"], dim), _matrix(rt["vec"], dim), threshold, strict)
+        i, j, score = _hits(_Side(_matrix(lt["vec"], dim)), _Side(_matrix(rt["vec"], dim)), threshold, strict)
         return pa.table({"left_id": lt["id"].take(i), "right_id": rt["id"].take(j), "score": score})
 
     return _cell_join(a, b, rows, dim, threshold, pairs, schema)
@@ -97,11 +111,12 @@ def _broadcast_join(a: DataFrame, b: DataFrame, dim: int, t: float, strict: bool
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = small.value
+        right = _Side(matrix)
         step = max(1, 4_000_000 // len(matrix))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                i, j, score = _hits(_matrix(part.column("vec"), dim), matrix, t, strict)
+                i, j, score = _hits(_Side(_matrix(part.column("vec"), dim)), right, t, strict)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id").take(pa.array(i)), ids.take(pa.array(j)), pa.array(score)],
                     ["left_id", "right_id", "score"])
@@ -109,10 +124,10 @@ def _broadcast_join(a: DataFrame, b: DataFrame, dim: int, t: float, strict: bool
     return a.mapInArrow(match, schema)
 
 
-def _with_cells(df: DataFrame, pivots: np.ndarray, extra: str, choose) -> DataFrame:
+def _with_cells(df: DataFrame, pivots: np.ndarray, choose) -> DataFrame:
     """One row per (row, cell) that ``choose(distances)`` marks; adds ``cell`` and ``dist``."""
     shared = df.sparkSession.sparkContext.broadcast(_unit(pivots))
-    id_type = df.schema["id"].dataType.simpleString()
+    schema = f"id {_type(df, 'id')}, vec {_type(df, 'vec')}, cell int, dist double"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
@@ -127,24 +142,28 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, extra: str, choose) -> DataFr
                 [*picked.columns, pa.array(cell.astype(np.int32)), pa.array(dist[row, cell])],
                 [*batch.schema.names, "cell", "dist"])
 
-    return df.mapInArrow(assign, f"id {id_type}, vec array<double>{extra}, cell int, dist double")
+    return df.mapInArrow(assign, schema)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def _nearest(dist: np.ndarray) -> np.ndarray:
     return np.arange(dist.shape[1]) == dist.argmin(axis=1)[:, None]
 
 
-def _cell_join(a: DataFrame, b: DataFrame, b_rows: int, dim: int, t: float, kernel, schema: str,
-               extra: str = "", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _cell_join(a: DataFrame, b: DataFrame, b_rows: int, dim: int, t: float, kernel, schema: str) -> DataFrame:
     """Run ``kernel(left block, right block)`` over all block pairs that can hold a match."""
     spark = a.sparkSession
-    # pivots: a hash-ordered handful of right rows, bounded by MAX_PIVOTS
-    wanted = int(min(MAX_PIVOTS, max(1, np.sqrt(b_rows / block_rows) * 4)))
-    top = b.select("vec").orderBy(F.xxhash64("vec")).limit(wanted).toArrow()
+    # pivots grow with the root of the table, within the broadcast budget, and
+    # stay near the number of blocks: more cells than that only add copies
+    wanted = min(b_rows ** 0.5, 4 * b_rows / BLOCK_ROWS, MAX_BROADCAST_VALUES / dim)
+    top = b.select("vec").orderBy(F.xxhash64("vec")).limit(max(1, int(wanted))).toArrow()
     pivots = _matrix(top["vec"], dim)
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * t))) + 1e-6
 
-    homes = _with_cells(a, pivots, extra, _nearest)
+    homes = _with_cells(a, pivots, _nearest)
     # one row per pivot
     left_cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).toPandas()
     radius = np.full(len(pivots), -np.inf)
@@ -154,13 +173,13 @@ def _cell_join(a: DataFrame, b: DataFrame, b_rows: int, dim: int, t: float, kern
         near = dist <= dist.min(axis=1, keepdims=True) + 2 * reach
         return near & (dist <= radius + reach)
 
-    guests = _with_cells(b, pivots, extra, can_match)
+    guests = _with_cells(b, pivots, can_match)
     right_cells = guests.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
     grid = left_cells[["cell", "n"]].merge(right_cells, on="cell", suffixes=("_left", "_right"))
     grid = pd.DataFrame({
         "cell": grid["cell"].astype("int32"),
-        "left_blocks": np.ceil(grid["n_left"] / block_rows).astype("int32"),
-        "right_blocks": np.ceil(grid["n_right"] / block_rows).astype("int32"),
+        "left_blocks": np.ceil(grid["n_left"] / BLOCK_ROWS).astype("int32"),
+        "right_blocks": np.ceil(grid["n_right"] / BLOCK_ROWS).astype("int32"),
     })
     if grid.empty:
         return spark.createDataFrame([], schema)
@@ -188,14 +207,12 @@ def similar_pairs(df: DataFrame, threshold: float, key: str = "ord", vec: str =
 
 # --- greedy leader clustering ---------------------------------------------------
 
-def _smallest_earlier(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
-    """Per row of ``a`` the smallest earlier id in ``b`` with cosine > t, -1 without one."""
-    order = np.argsort(ids_b)
-    ids_b, b = ids_b[order], b[order]
+def _smallest_earlier(ids_a: np.ndarray, a: _Side, ids_b: np.ndarray, b: _Side, t: float) -> np.ndarray:
+    """Per row of ``a`` the smallest earlier id in ``b`` (in id order) with cosine > t, -1 without one."""
     best = np.full(len(ids_a), -1, dtype=np.int64)
     # walk the right side in order; a row is done with its first hit
     step = 512
-    for start in range(0, len(b), step):
+    for start in range(0, len(ids_b), step):
         open_rows = np.flatnonzero((best < 0) & (ids_a > ids_b[start]))
         if len(open_rows) == 0:
             continue
@@ -209,6 +226,11 @@ def _smallest_earlier(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np
     return best
 
 
+def _in_order(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    table = table.sort_by("id")
+    return table["id"].to_numpy(), _matrix(table["vec"], dim)
+
+
 def _with_earliest(left: DataFrame, right: DataFrame, right_rows: int, dim: int, t: float,
                    max_broadcast_values: int) -> DataFrame:
     """``left(id, vec)`` plus ``first``: the smallest id of an earlier right row with cosine > t, or null.
@@ -218,21 +240,23 @@ def _with_earliest(left: DataFrame, right: DataFrame, right_rows: int, dim: int,
     if right_rows == 0:
         return left.withColumn("first", F.lit(None).cast("bigint"))
     if right_rows * dim <= max_broadcast_values:
-        table = right.select("id", "vec").toArrow()
-        shared = left.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), _matrix(table["vec"], dim)))
+        ordered = _in_order(right.select("id", "vec").toArrow(), dim)
+        shared = left.sparkSession.sparkContext.broadcast(ordered)
 
         def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = shared.value
+            side = _Side(matrix)
             for batch in batches:
-                first = _smallest_earlier(batch.column("id").to_numpy(), _matrix(batch.column("vec"), dim),
-                                          *shared.value, t)
+                first = _smallest_earlier(batch.column("id").to_numpy(), _Side(_matrix(batch.column("vec"), dim)),
+                                          ids, side, t)
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(first, mask=first < 0)], ["id", "vec", "first"])
 
-        return left.mapInArrow(match, "id bigint, vec array<double>, first bigint")
+        return left.mapInArrow(match, f"id bigint, vec {_type(left, 'vec')}, first bigint")
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        ids = lt["id"].to_numpy()
-        first = _smallest_earlier(ids, _matrix(lt["vec"], dim), rt["id"].to_numpy(), _matrix(rt["vec"], dim), t)
+        ids, (ids_b, matrix) = lt["id"].to_numpy(), _in_order(rt, dim)
+        first = _smallest_earlier(ids, _Side(_matrix(lt["vec"], dim)), ids_b, _Side(matrix), t)
         return pa.table({"id": ids[first >= 0], "first": first[first >= 0]})
 
     found = _cell_join(left, right, right_rows, dim, t, kernel, "id bigint, first bigint")
@@ -257,8 +281,9 @@ def leader_clusters(
     """
     if not threshold < 1.0:
         raise ValueError("threshold must be below 1")
-    rows = df.select(F.col("ord").cast("bigint").alias("ord"), vx.as_double(F.col("vec")).alias("vec"))
-    rows = materialize(rows.withColumn("blank", vx.norm(F.col("vec")) == 0))
+    rows = df.select(F.col("ord").cast("bigint").alias("ord"), "vec")
+    length = F.coalesce(vx.norm(vx.as_double(F.col("vec"))), F.lit(0.0))
+    rows = materialize(rows.withColumn("blank", length == 0))
     # a row without direction is similar to nothing, not even to its copies
     alone = rows.where("blank").select("ord", F.col("ord").alias("leader"))
     solid = rows.where("NOT blank")

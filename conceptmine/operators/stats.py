@@ -92,12 +92,12 @@ def adoption_table(matches: DataFrame) -> DataFrame:
 
 def top_concepts(matches: DataFrame, n: int = 20) -> DataFrame:
     """The n most matched concepts, one row per framework they appear under."""
-    named = matches.where(F.col("concept_name").isNotNull())
-    counted = named.groupBy("concept_name").agg(F.count("*").alias("matches"))
+    pairs = matches.where(F.col("concept_name").isNotNull()).groupBy("concept_name", "framework").agg(
+        F.count("*").alias("n"))
+    counted = pairs.groupBy("concept_name").agg(F.sum("n").alias("matches"))
     top = counted.orderBy(F.desc("matches"), "concept_name").limit(n)
-    # at most n rows: safe to broadcast, and the big side is cut to their uses
-    origins = named.join(F.broadcast(top), "concept_name").groupBy("concept_name", "framework", "matches").agg(
-        F.lit(1).alias("_one"))
+    # at most n rows: safe to broadcast; both uses of the counts share one exchange
+    origins = pairs.join(F.broadcast(top), "concept_name")
     return origins.select(
         "concept_name", tx.capitalize(F.col("framework")).alias("Framework"),
         tx.display_name(F.col("concept_name")).alias("Concept"), F.col("matches").alias("Matches"),

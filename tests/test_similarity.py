@@ -59,9 +59,7 @@ def test_blocks_cut_a_crowded_cell(spark, monkeypatch):
     points = np.array([1.0, 0, 0, 0]) + 0.01 * rng.normal(size=(150, 4))
     want = int(np.triu(cosines(points, points) > 0.999, 1).sum())
     df = frame(spark, points, "ord")
-    got = similarity._cell_join.__defaults__
-    assert got[-1] == similarity.BLOCK_ROWS
-    monkeypatch.setattr(similarity._cell_join, "__defaults__", (*got[:-1], 20))
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20)
     pairs = similarity.similar_pairs(df, 0.999, max_broadcast_values=0)
     assert pairs.count() == pairs.distinct().count() == want
 
@@ -75,6 +73,12 @@ def test_threshold_is_inclusive_in_joins_and_strict_in_pairs(spark):
     assert strict == {(0, 2)}
 
 
+def test_missing_vector_stays_alone(spark):
+    df = spark.createDataFrame([(0, None), (1, [1.0]), (2, [2.0])], "ord bigint, vec array<double>")
+    got = {r["ord"]: r["leader"] for r in similarity.leader_clusters(df, 0.5).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
+
+
 def test_zero_vectors_match_nothing(spark):
     df = frame(spark, [[0, 0], [0, 0], [1, 0]])
     assert similarity.similarity_join(df, df, -1.0).count() == 1
@@ -90,7 +94,8 @@ def test_empty_sides(spark):
 
 
 @pytest.mark.parametrize("limit", [similarity.MAX_BROADCAST_VALUES, 0])
-def test_clusters_equal_the_sequential_loop(spark, limit):
+def test_clusters_equal_the_sequential_loop(spark, monkeypatch, limit):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 32)
     rng = np.random.default_rng(11)
     points = clustered(rng, 150, 6, 12, 0.35)
     got = similarity.leader_clusters(frame(spark, points, "ord"), 0.8, max_broadcast_values=limit).collect()
