@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conceptmine.functions import text as tx
 from conceptmine.operators.ranking import first_wins
@@ -40,22 +41,22 @@ def _callees(source: str) -> list[str]:
     return sorted(names | {f.attr for f in funcs if isinstance(f, ast.Attribute)})
 
 
-def call_names(scripts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Distinct callee names per script: ``(path, element)``.
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _callee_lists(texts: pa.Array) -> pa.Array:
+    return pa.array([_callees(t) if t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+
 
-    Texts without an opening parenthesis hold no call and skip Python.
+def callees(text: Column) -> Column:
+    """Sorted distinct callee names of a script, empty for text that does not parse.
+
+    Text without an opening parenthesis holds no call and is not sent to Python.
     """
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_callees(t) for t in batch.column("text").to_pylist()]
-            rows = [i for i, names in enumerate(found) for _ in names]
-            elements = [name for names in found for name in names]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("path").take(pa.array(rows, pa.int64())), pa.array(elements, pa.string())],
-                ["path", "element"])
-
-    candidates = scripts.select(F.col(path).alias("path"), F.col(text).alias("text"))
-    return candidates.where(F.contains("text", F.lit("("))).mapInArrow(parse, "path string, element string")
+    return _callee_lists(F.when(F.contains(text, F.lit("(")), text))
+
+
+def call_names(scripts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Distinct callee names per script: ``(path, element)``."""
+    return scripts.select(F.col(path).alias("path"), F.explode(callees(F.col(text))).alias("element"))
 
 
 # --- documented definitions ---------------------------------------------------

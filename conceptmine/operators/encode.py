@@ -6,9 +6,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Builds an encoder: called once per task, then applied batch by batch.
 EncoderFactory = Callable[[], Callable[[list[str]], np.ndarray]]
@@ -30,11 +31,13 @@ def ngram_encoder(dim: int = 256, n: int = 3) -> EncoderFactory:
 
 
 def encoder_column(factory: EncoderFactory) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
         for texts in batches:
-            yield pd.Series(list(model(texts.tolist())))
+            vectors = np.ascontiguousarray(model(texts.to_pylist()), dtype=np.float32)
+            offsets = np.arange(len(vectors) + 1, dtype=np.int32) * (vectors.shape[1] if len(vectors) else 0)
+            yield pa.ListArray.from_arrays(offsets, vectors.ravel())
     return encode
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,9 +54,9 @@ def plain_text(html: str | None) -> str | None:
     return " ".join(parser.nodes)
 
 
-@F.pandas_udf(T.StringType())
-def _plain_text(html: pd.Series) -> pd.Series:
-    return html.map(plain_text)
+@F.arrow_udf(T.StringType())
+def _plain_text(html: pa.Array) -> pa.Array:
+    return pa.array([plain_text(h) for h in html.to_pylist()], pa.string())
 
 
 def html_text(c: Column) -> Column:

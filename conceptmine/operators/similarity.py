@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from conceptmine.functions import vectors as vx
 from conceptmine.operators.skew import salted_join
-from conceptmine.session import materialize
+from conceptmine.session import materialize, spread
 
 MAX_BROADCAST_VALUES = 8_000_000  # doubles, 64 MB
 BLOCK_ROWS = 2048
@@ -121,7 +121,7 @@ def _broadcast_join(a: DataFrame, b: DataFrame, dim: int, t: float, strict: bool
                     [part.column("id").take(pa.array(i)), ids.take(pa.array(j)), pa.array(score)],
                     ["left_id", "right_id", "score"])
 
-    return a.mapInArrow(match, schema)
+    return spread(a).mapInArrow(match, schema)
 
 
 def _with_cells(df: DataFrame, pivots: np.ndarray, choose) -> DataFrame:
@@ -142,7 +142,7 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, choose) -> DataFrame:
                 [*picked.columns, pa.array(cell.astype(np.int32)), pa.array(dist[row, cell])],
                 [*batch.schema.names, "cell", "dist"])
 
-    return df.mapInArrow(assign, schema)
+    return spread(df).mapInArrow(assign, schema)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -183,15 +183,19 @@ def _cell_join(a: DataFrame, b: DataFrame, b_rows: int, dim: int, t: float, kern
     })
     if grid.empty:
         return spark.createDataFrame([], schema)
+    # tasks by the work to do: sizes in bytes would put many block pairs into one
+    pairs = int((grid["left_blocks"].astype("int64") * grid["right_blocks"]).sum())
+    tasks = min(pairs, 100_000, max(spark.sparkContext.defaultParallelism, pairs // 32))
     grid = F.broadcast(spark.createDataFrame(grid))
 
+    keys = ["cell", "left_block", "right_block"]
+
     def blocks(df: DataFrame, own: str, other: str) -> DataFrame:
         """A row's own block by hash; a copy for every block of the other side of its cell."""
         placed = df.drop("dist").join(grid, "cell").withColumn(own, F.pmod(F.xxhash64("id"), f"{own}s").cast("int"))
-        spread = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
-        return spread.drop("left_blocks", "right_blocks")
+        copies = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
+        return copies.drop("left_blocks", "right_blocks").repartition(tasks, *keys)
 
-    keys = ["cell", "left_block", "right_block"]
     lefts = blocks(homes, "left_block", "right_block").groupBy(*keys)
     rights = blocks(guests, "right_block", "left_block").groupBy(*keys)
     return lefts.cogroup(rights).applyInArrow(kernel, schema)
@@ -252,7 +256,7 @@ def _with_earliest(left: DataFrame, right: DataFrame, right_rows: int, dim: int,
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(first, mask=first < 0)], ["id", "vec", "first"])
 
-        return left.mapInArrow(match, f"id bigint, vec {_type(left, 'vec')}, first bigint")
+        return spread(left).mapInArrow(match, f"id bigint, vec {_type(left, 'vec')}, first bigint")
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
         ids, (ids_b, matrix) = lt["id"].to_numpy(), _in_order(rt, dim)

@@ -94,10 +94,11 @@ def top_concepts(matches: DataFrame, n: int = 20) -> DataFrame:
     """The n most matched concepts, one row per framework they appear under."""
     pairs = matches.where(F.col("concept_name").isNotNull()).groupBy("concept_name", "framework").agg(
         F.count("*").alias("n"))
-    counted = pairs.groupBy("concept_name").agg(F.sum("n").alias("matches"))
+    # a concept carries few frameworks; listing them spares a second pass over the matches
+    counted = pairs.groupBy("concept_name").agg(
+        F.sum("n").alias("matches"), F.collect_list("framework").alias("frameworks"))
     top = counted.orderBy(F.desc("matches"), "concept_name").limit(n)
-    # at most n rows: safe to broadcast; both uses of the counts share one exchange
-    origins = pairs.join(F.broadcast(top), "concept_name")
+    origins = top.select("concept_name", "matches", F.explode("frameworks").alias("framework"))
     return origins.select(
         "concept_name", tx.capitalize(F.col("framework")).alias("Framework"),
         tx.display_name(F.col("concept_name")).alias("Concept"), F.col("matches").alias("Matches"),

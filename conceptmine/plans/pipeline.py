@@ -50,10 +50,13 @@ def _matches(uses: DataFrame, concepts: DataFrame, concept_text: str, encode: En
 def match(scripts: DataFrame, resolved: DataFrame, encode: Encode, name_threshold: float = NAME_THRESHOLD,
           summary_threshold: float = SUMMARY_THRESHOLD) -> DataFrame:
     """Scripts ``(path, text)`` and resolved concepts to the match table."""
-    calls = materialize(code.call_names(scripts).withColumnRenamed("element", "text"))
-    by_name = _matches(calls, resolved.where(F.col("short_name") != ""), "short_name", encode, name_threshold)
-    blocks = materialize(
-        scripts.select("path", tx.comment_block(F.col("text")).alias("text")).where(F.col("text") != ""))
+    resolved = materialize(resolved)
+    # the corpus is read and parsed once; both kinds of text come from this table
+    features = materialize(scripts.select(
+        "path", code.callees(F.col("text")).alias("elements"), tx.comment_block(F.col("text")).alias("block")))
+    calls = features.select("path", F.explode("elements").alias("text"))
+    blocks = features.where(F.col("block") != "").select("path", F.col("block").alias("text"))
+    by_name = _matches(calls, resolved, "short_name", encode, name_threshold)
     by_summary = _matches(blocks, resolved, "summary", encode, summary_threshold)
 
     def rows(df: DataFrame, kind: str, shown: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +19,9 @@ SKIP_DIRS = [
 ]
 
 
-@F.pandas_udf(T.StringType())
-def _lenient_utf8(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: bytes(b).decode("utf-8", errors="ignore"), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _lenient_utf8(content: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else b.decode("utf-8", errors="ignore") for b in content.to_pylist()], pa.string())
 
 
 def decode_lenient(content: Column) -> Column:
