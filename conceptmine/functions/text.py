@@ -35,30 +35,32 @@ def squeeze(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, WS + "+", " "), F.lit(" "))
 
 
-def last_part(c: Column, sep_regex: str) -> Column:
-    return F.element_at(F.split(c, sep_regex), -1)
+def last_part(c: Column, sep: str) -> Column:
+    return F.substring_index(c, sep, -1)
 
 
 def short_name(c: Column) -> Column:
     """Text after the last '/' and then after the last '.'; null gives ''."""
-    return F.coalesce(last_part(last_part(c, "/"), r"\."), F.lit(""))
+    return F.coalesce(last_part(last_part(c, "/"), "."), F.lit(""))
 
 
 def framework_of(c: Column) -> Column:
     blank = c.isNull() | (strip(c) == "")
     return F.when(blank, F.lit(NAME_UNKNOWN)).otherwise(
-        F.element_at(F.split(F.btrim(c, F.lit("/")), "/"), 1)
+        F.substring_index(F.btrim(c, F.lit("/")), "/", 1)
     )
 
 
 def project_of(c: Column) -> Column:
     """First component of a POSIX path; an absolute path gives its root."""
-    parts = F.filter(F.split(c, "/"), lambda p: ~p.isin("", "."))
+    # the first component that is neither empty nor '.'
+    first = F.regexp_extract(c, r"^(?:\.?/)*([^/]*)", 1)
     root = F.when(c.startswith("//") & ~c.startswith("///"), F.lit("//")).otherwise(F.lit("/"))
     return (
         F.when(c.isNull(), F.lit(""))
         .when(c.startswith("/"), root)
-        .otherwise(F.coalesce(F.get(parts, F.lit(0)), c))
+        .when(first.isin("", "."), c)
+        .otherwise(first)
     )
 
 
@@ -117,7 +119,7 @@ def module_of_concept(name: Column, prefix: str) -> Column:
 
 
 def display_name(c: Column) -> Column:
-    return F.concat(F.lit("..."), last_part(F.replace(c, F.lit("/"), F.lit(".")), r"\."))
+    return F.concat(F.lit("..."), last_part(F.replace(c, F.lit("/"), F.lit(".")), "."))
 
 
 def dotted_name(c: Column) -> Column:

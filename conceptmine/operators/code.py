@@ -264,7 +264,7 @@ def extract_concepts(files: DataFrame, profile: Profile, api_names: DataFrame |
 
 def api_gap(concepts: DataFrame, api_names: DataFrame) -> DataFrame:
     """``(name, status)``: which public names were documented and which are missing."""
-    found = concepts.select(tx.last_part(F.col("name"), r"\.").alias("name")).distinct()
+    found = concepts.select(tx.last_part(F.col("name"), ".").alias("name")).distinct()
     wanted = api_names.select("name").distinct().withColumn("wanted", F.lit(True))
     both = wanted.join(found.withColumn("found", F.lit(True)), "name", "full_outer")
     return both.select("name", F.when(F.col("found"), "documented").otherwise("missing").alias("status"))

@@ -16,14 +16,14 @@ def _wrapper_pairs(concepts: DataFrame, prefix: str) -> DataFrame:
     name = F.col("name")
     module = tx.module_of_concept(name, prefix)
     return concepts.where(F.col("type") == "Class").select(
-        module.alias("module"), tx.snake_case(tx.last_part(name, r"\.")).alias("def_name"),
+        module.alias("module"), tx.snake_case(tx.last_part(name, ".")).alias("def_name"),
         name.alias("class_name"))
 
 
 def _function_keys(concepts: DataFrame, prefix: str) -> DataFrame:
     name = F.col("name")
     return concepts.where(F.col("type") == "Function").select(
-        "*", tx.module_of_concept(name, prefix).alias("module"), tx.last_part(name, r"\.").alias("def_name"))
+        "*", tx.module_of_concept(name, prefix).alias("module"), tx.last_part(name, ".").alias("def_name"))
 
 
 def drop_wrappers(concepts: DataFrame, prefix: str) -> DataFrame:

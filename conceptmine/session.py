@@ -36,11 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    sc = spark.sparkContext
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="conceptmine-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not hasattr(sc, "_conceptmine_shared"):
+        sc._conceptmine_shared = tempfile.mkdtemp(prefix="conceptmine-shared-")
+    return sc._conceptmine_shared
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -50,6 +50,12 @@ def read_pattern_list(spark: SparkSession, path: str, header: bool = True) -> Da
     return pattern_names(rows)
 
 
+def read_pattern_column(spark: SparkSession, path: str, column: str = "pattern") -> DataFrame:
+    """Pattern names of a table whose header names the column, wherever it stands."""
+    rows = spark.read.csv(path, header=True, inferSchema=False, **CSV)
+    return pattern_names(rows.select(F.col(column).alias("pattern")))
+
+
 def read_concepts_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Concept arrays in JSON; rows lacking a name or a summary are dropped."""
     found = [p for p in paths if path_exists(spark, p)]

@@ -270,6 +270,8 @@ def test_other_readers(spark, tmp_path):
     assert [r["name"] for r in tables.read_concepts_json(spark, [str(tmp_path / "c.json"), "/none.json"]).collect()] == ["n"]
     (tmp_path / "list.csv").write_text("P1\n P2 \n\nP1\n")
     assert sorted(rows(tables.read_pattern_list(spark, str(tmp_path / "list.csv"), header=False))) == [("P1",), ("P2",)]
+    (tmp_path / "cols.csv").write_text("pattern,x\n P1,1\n,2\n")
+    assert rows(tables.read_pattern_column(spark, str(tmp_path / "cols.csv"))) == [("P1",)]
     (tmp_path / "lines.txt").write_text(" a/b \n\nc/d\n")
     assert rows(tables.read_lines(spark, str(tmp_path / "lines.txt"))) == [("a/b",), ("c/d",)]
     (tmp_path / "dist_1.json").write_text(json.dumps({"meta": {"total_repos": 3}, "distribution": {"C": 3}}))
@@ -333,6 +335,31 @@ def test_repository_writers(spark, tmp_path):
     assert rows(tables.read_language_distribution(spark, str(tmp_path / "lj"))) == [(2, "t", "Python", 2)]
 
 
+def test_shared_folder_is_the_sessions(spark, monkeypatch):
+    from types import SimpleNamespace
+    from conceptmine import session
+
+    assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    unset = SimpleNamespace(get=lambda key, default: default)
+    local = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[2]"))
+    assert session.shared_dir(local) == session.shared_dir(local)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.shared_dir(cluster)
+
+
+def test_no_driver_side_shortcuts_in_plans(spark, uses):
+    """Ranks are limited before their shuffle and no plan holds a cartesian product."""
+    from workload import mining, reporting, texts
+
+    plan = coverage.pattern_sources(uses)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    for name in ("lookup_tiers", "top_concepts", "pairwise_common", "repo_verdicts", "missing_extra", "cohen_kappa"):
+        fn = {**reporting.QUERIES, **mining.QUERIES, **texts.QUERIES}[name][0]
+        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
+
+
 # --- scans and flows ------------------------------------------------------------------------------
 
 @pytest.fixture

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from conceptmine.functions import text as tx
 from conceptmine.session import spread
@@ -16,8 +17,15 @@ WS = tx.SPACE_CHARS.replace("'", "''")
 WS_CLASS = "[" + WS.replace("\\", "\\\\") + "]"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the footer once, later reads start no job for it."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +45,7 @@ def sql_squeeze(c: str) -> str:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Match rows: one per line item, concept = part, file = nation of the supplier and order."""
-    line = wide(spark, sf_dir, "lineitem").select(
+    line = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_discount")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     home = table(spark, sf_dir, "supplier").join(
