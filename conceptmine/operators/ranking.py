@@ -29,7 +29,7 @@ def last_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> DataFrame:
-    """Consecutive row numbers in ``order`` for a table of any size.
+    """Consecutive row numbers in ``order`` (unique, end it with a key) for a table of any size.
 
     The sorted table is written once (its partitions are ranges of the order);
     each partition's offset is the row count before it, so the only table that

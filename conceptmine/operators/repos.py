@@ -73,10 +73,18 @@ def latest_by_id(harvest: DataFrame) -> DataFrame:
     return last_wins(harvest, ["id"], [F.col(c) for c in order]).join(seen, "id")
 
 
-def capped(harvest: DataFrame, group: str, cap: int, order: list[Column]) -> DataFrame:
-    """First ``cap`` rows of each group; Spark limits ranks before the shuffle."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return harvest.withColumn("_place", place).where(F.col("_place") <= cap).drop("_place")
+def capped(harvest: DataFrame, group: str, cap: int, order: list[Column], slices: int = 64) -> DataFrame:
+    """First ``cap`` rows of each group.
+
+    Ranks are cut inside hash slices of a group first (Spark limits them again
+    before the shuffle), so the last task of a group sees ``cap * slices`` rows
+    at most, however large the group is.
+    """
+    part = F.pmod(F.xxhash64(*harvest.columns), F.lit(slices))
+    in_slice = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(*order))
+    overall = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    few = harvest.withColumn("_slice", part).withColumn("_place", in_slice).where(F.col("_place") <= cap)
+    return few.withColumn("_place", overall).where(F.col("_place") <= cap).drop("_place", "_slice")
 
 
 def survey(harvest: DataFrame, cap: int = SURVEY_CAP) -> DataFrame:

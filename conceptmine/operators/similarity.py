@@ -30,6 +30,7 @@ from conceptmine.session import materialize, spread
 
 MAX_BROADCAST_VALUES = 8_000_000  # doubles, 64 MB
 BLOCK_ROWS = 2048
+TAIL_ROUNDS, TAIL_ROWS = 4, 4096  # after so many rounds, at most so many free rows are settled in one task
 SLACK = 1e-5  # wider than single-precision error: candidates are decided on the exact double value
 
 
@@ -267,6 +268,25 @@ def _with_earliest(left: DataFrame, right: DataFrame, right_rows: int, dim: int,
     return left.join(found.groupBy("id").agg(F.min("first").alias("first")), "id", "left")
 
 
+def _tail_leaders(free: DataFrame, dim: int, t: float) -> DataFrame:
+    """Leaders among at most ``TAIL_ROWS`` free rows, by the sequential loop itself."""
+    def loop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts).sort_by("id")
+        side = _Side(_matrix(table["vec"], dim))
+        open_rows, leads = np.arange(table.num_rows), []
+        while len(open_rows):
+            first, later = open_rows[:1], open_rows[1:]
+            leads.append(first[0])
+            _, near, _ = _hits(side[first], side[later], t, True)
+            open_rows = np.delete(later, near)
+        yield from table.take(pa.array(leads)).to_batches()
+
+    return free.repartition(1).mapInArrow(loop, f"id bigint, vec {_type(free, 'vec')}")
+
+
 def leader_clusters(
     df: DataFrame, threshold: float = 0.95, max_broadcast_values: int = MAX_BROADCAST_VALUES,
     log=None,
@@ -280,8 +300,9 @@ def leader_clusters(
     free row next to an earlier leader is a member.
 
     Equal vectors collapse to their earliest row first (exact, they share all
-    neighbours). Every round settles at least the earliest free row and rounds
-    end when no row is free; none is cut short.
+    neighbours). Every round settles at least the earliest free row. A chain of
+    neighbours settles only a few rows per round, so once few rows are left
+    (a fixed bound) one task finishes them. Nothing is cut short.
     """
     if not threshold < 1.0:
         raise ValueError("threshold must be below 1")
@@ -297,11 +318,17 @@ def leader_clusters(
     free, leaders, n_leaders, rounds = points, points.limit(0), 0, 0
     while left_over:
         rounds += 1
+        if rounds > TAIL_ROUNDS and left_over <= TAIL_ROWS:
+            last = materialize(_tail_leaders(free, dim, threshold))
+            leaders, n_leaders = leaders.unionByName(last), n_leaders + last.count()
+            break
         seen = materialize(_with_earliest(free, free, left_over, dim, threshold, max_broadcast_values))
         new_leaders = seen.where(F.col("first").isNull()).select("id", "vec")
         rest = seen.where(F.col("first").isNotNull()).select("id", "vec")
         found = new_leaders.count()
         leaders, n_leaders = leaders.unionByName(new_leaders), n_leaders + found
+        if rounds % 10 == 0:
+            leaders = materialize(leaders)  # one table instead of a union of ten
         if found == left_over:
             break
         settled = materialize(_with_earliest(rest, new_leaders, found, dim, threshold, max_broadcast_values))

@@ -113,6 +113,18 @@ def test_chain_copies_and_blank_rows(spark):
     assert logged
 
 
+@pytest.mark.parametrize("tail", [4096, 0])
+def test_long_sorted_chain(spark, monkeypatch, tail):
+    """Each row is close only to the next: every round settles two rows, the tail all of them."""
+    monkeypatch.setattr(similarity, "TAIL_ROWS", tail)
+    angle = np.deg2rad(np.arange(0, 32, 2))
+    points, t = np.stack([np.cos(angle), np.sin(angle)], axis=1), np.cos(np.deg2rad(2.5))
+    logged = []
+    got = similarity.leader_clusters(frame(spark, points, "ord"), t, log=logged.append).collect()
+    assert {r["ord"]: r["leader"] for r in got} == dict(enumerate(greedy(points, t)))
+    assert len(logged) == (4 if tail else 8)
+
+
 def test_threshold_must_be_below_one(spark):
     with pytest.raises(ValueError):
         similarity.leader_clusters(frame(spark, [[1, 0]], "ord"), 1.0)

@@ -348,18 +348,30 @@ def test_shared_folder_is_the_sessions(spark, monkeypatch):
         session.shared_dir(cluster)
 
 
-def test_no_driver_side_shortcuts_in_plans(spark, uses):
-    """Ranks are limited before their shuffle and no plan holds a cartesian product."""
+def plan_of(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+def test_plans_hold_no_pair_product(spark, uses, capsys):
+    """Ranks are limited before their shuffle; lookups and pairs stay equi-joins."""
     from workload import mining, reporting, texts
 
-    plan = coverage.pattern_sources(uses)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert "WindowGroupLimit" in plan_of(coverage.pattern_sources(uses), capsys)
     for name in ("lookup_tiers", "top_concepts", "pairwise_common", "repo_verdicts", "missing_extra", "cohen_kappa"):
         fn = {**reporting.QUERIES, **mining.QUERIES, **texts.QUERIES}[name][0]
-        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        plan = plan_of(fn(spark, "/root/testdata/sf0.001"), capsys)
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
 
 
+def test_pushdown_reaches_the_scan(spark, capsys):
+    from workload.inputs import facts
+
+    plan = plan_of(stats.counts_by(facts(spark, "/root/testdata/sf0.001"), "pattern"), capsys)
+    assert "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint>" in plan
+
+
 # --- scans and flows ------------------------------------------------------------------------------
 
 @pytest.fixture
