@@ -132,7 +132,7 @@ def capitalize(c: Column) -> Column:
 
 def score_text(c: Column) -> Column:
     """Four digits, ties to even as in Python; the JVM's own formatting rounds them up."""
-    return F.format_string("%.4f", F.bround(c, 4))
+    return F.when(c.isNotNull(), F.format_string("%.4f", F.bround(c, 4)))
 
 
 def snippet_key(name: Column, strip_all: bool = True) -> Column:

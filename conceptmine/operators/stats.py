@@ -21,7 +21,7 @@ WATCHED_PATTERNS = [
 
 def mean_score() -> Column:
     """Mean score summed in decimals: the same value however the rows are partitioned."""
-    return F.avg(F.col("similarity_score").cast("decimal(18,9)"))
+    return F.avg(F.col("similarity_score").try_cast("decimal(18,9)"))
 
 
 def with_pattern(matches: DataFrame) -> DataFrame:

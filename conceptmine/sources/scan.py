@@ -19,13 +19,17 @@ SKIP_DIRS = [
 ]
 
 
+def _text(content: bytes) -> str:
+    return content.decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n")
+
+
 @F.arrow_udf(T.StringType())
 def _lenient_utf8(content: pa.Array) -> pa.Array:
-    return pa.array([None if b is None else b.decode("utf-8", errors="ignore") for b in content.to_pylist()], pa.string())
+    return pa.array([None if b is None else _text(b) for b in content.to_pylist()], pa.string())
 
 
 def decode_lenient(content: Column) -> Column:
-    """UTF-8 text with bad bytes dropped. ``cast`` would keep them."""
+    """UTF-8 text with bad bytes dropped (``cast`` would keep them) and ``\\n`` line ends."""
     return _lenient_utf8(content)
 
 

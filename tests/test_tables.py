@@ -73,6 +73,13 @@ def test_basic_statistics(spark, matches):
     assert rows(stats.overview(matches))[0][:3] == (5, 3, 3)
 
 
+def test_scores_that_are_no_numbers(spark):
+    df = tables.with_origin(spark.createDataFrame(
+        [("p/a.py", "/f/a", "P", "name", "t", s) for s in ("0.5", "NaN", "", None, "0.7")], FACTS))
+    assert rows(stats.mean_score_by(df, "match_type")) == [("name", 0.6)]
+    assert rows(export.match_output(df.where("similarity_score IS NULL")).select("similarity_score").distinct()) == [(None,)]
+
+
 def test_empty_match_table(spark, matches):
     none = matches.limit(0)
     assert rows(stats.overview(none)) == [(0, 0, 0, 0.0)]
@@ -383,7 +390,7 @@ def corpus(tmp_path):
                                        .replace(b"\xff", b"# \xffend"))
     (root / "p2/tests/b.py").write_text("def broken(:\n# quantum phase estimation circuit\n")
     (root / "p2/n.ipynb").write_text("{}")
-    (root / "top.py").write_text("print(2)")
+    (root / "top.py").write_bytes(b"print(2)\r\nx = 1\r")
     return str(root)
 
 
@@ -392,6 +399,7 @@ def test_script_scan(spark, corpus):
     got = {r["path"]: (r["project"], r["text"]) for r in scripts.collect()}
     assert set(got) == {"p1/sub/a.py", "p2/tests/b.py", "top.py"}
     assert got["p1/sub/a.py"][0] == "p1" and got["p1/sub/a.py"][1].endswith("# end\n")
+    assert got["top.py"] == ("top.py", "print(2)\nx = 1\n")
     assert sorted(rows(scan.projects(scripts))) == [("p1",), ("p2",)]
     assert scan.scan_scripts(spark, corpus, scan.SKIP_DIRS).count() == 2
     found = scan.scan_notebooks(spark, corpus)

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
+from conceptmine.functions import vectors as vx
 from conceptmine.operators import code, dedup, repos, similarity
 from conceptmine.operators.encode import encode_distinct
 from conceptmine.operators.ranking import first_wins, numbered
@@ -375,6 +376,39 @@ def semantic_dedup(spark, d):
     return dedup.semantic_dedup(vector_concepts(spark, d), 0.35)[1]
 
 
+_MINED = f"""{_modules('/qiskit/', ROOT_A)},
+kept AS (SELECT *, string_split('qiskit/circuit/library/' || CASE WHEN p_type = 'STANDARD' THEN ''
+  ELSE lower(p_type) || '/' END || 'm' || p_partkey || '.py', '/') AS parts
+  FROM mods WHERE p_type NOT IN ('PROMO', 'MEDIUM')),
+found AS (
+  SELECT parts, 0 AS pos, module || camel AS name, p_name || ' of ' || p_brand || '.' AS summary,
+    length(p_name || ' of ' || p_brand || '..Size ' || p_size || '.') + 1 AS doc, p_size > 25 AS target, true AS class
+  FROM kept
+  UNION ALL SELECT parts, 1, module || 'Inner', 'Inner.', 6, false, true FROM kept
+  UNION ALL SELECT parts, 2, module || 'inside', 'Inside.', 7, false, false FROM kept),
+placed AS (SELECT *, row_number() OVER (ORDER BY parts, pos) - 1 AS ord, {sql_letter_profile('summary')} AS vec FROM found),
+points AS (SELECT vec, min(ord) AS ord FROM placed GROUP BY 1), {_greedy('points', 0.95)},
+ranked AS (SELECT f.name, f.summary, row_number() OVER (PARTITION BY c.leader
+  ORDER BY target DESC, class DESC, target DESC, doc DESC, f.ord) AS place
+  FROM placed f JOIN points p USING (vec) JOIN clusters c ON p.ord = c.ord)"""
+
+
+@query("mined_concepts", f"WITH RECURSIVE {_MINED} SELECT name, summary FROM ranked WHERE place = 1")
+def mined_concepts(spark, d):
+    """Flow A from SDK files to unique concepts: extraction, wrappers, near copies."""
+    kept, _ = pipeline.mine(sdk_files(spark, d, ROOT_A), code.PROFILE_A, letter_profile, 0.95)
+    return kept.select("name", "summary")
+
+
+@query("vector_cosine", f"""WITH {_VEC} SELECT a.ord, round({_COS}, 4) AS cosine
+FROM v a JOIN v b ON b.ord = a.ord + 1""")
+def vector_cosine(spark, d):
+    """Each vector with the one after it."""
+    v = vectors(spark, d)
+    after = v.select((F.col("ord") - 1).alias("ord"), F.col("vec").alias("next"))
+    return v.join(after, "ord").select("ord", F.round(vx.cosine(F.col("vec"), F.col("next")), 4).alias("cosine"))
+
+
 # --- repositories -------------------------------------------------------------------------
 
 # not a month end and not midnight, so the calendar rule shows
