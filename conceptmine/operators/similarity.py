@@ -29,6 +29,7 @@ from conceptmine.operators.skew import salted_join
 from conceptmine.session import materialize, spread
 
 MAX_BROADCAST_VALUES = 8_000_000  # doubles, 64 MB
+SLICE_VALUES = 4_000_000  # products held at once by a worker
 BLOCK_ROWS = 2048
 TAIL_ROUNDS, TAIL_ROWS = 4, 4096  # after so many rounds, at most so many free rows are settled in one task
 SLACK = 1e-5  # wider than single-precision error: candidates are decided on the exact double value
@@ -113,7 +114,7 @@ def _broadcast_join(a: DataFrame, b: DataFrame, dim: int, t: float, strict: bool
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = small.value
         right = _Side(matrix)
-        step = max(1, 4_000_000 // len(matrix))
+        step = max(1, SLICE_VALUES // len(matrix))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
@@ -132,16 +133,17 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, choose) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
+        step = max(1, SLICE_VALUES // len(p))
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            u = _unit(_matrix(batch.column("vec"), p.shape[1]))
-            dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ p.T)))
-            row, cell = np.nonzero(choose(dist))
-            picked = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays(
-                [*picked.columns, pa.array(cell.astype(np.int32)), pa.array(dist[row, cell])],
-                [*batch.schema.names, "cell", "dist"])
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                u = _unit(_matrix(part.column("vec"), p.shape[1]))
+                dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ p.T)))
+                row, cell = np.nonzero(choose(dist))
+                picked = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [*picked.columns, pa.array(cell.astype(np.int32)), pa.array(dist[row, cell])],
+                    [*batch.schema.names, "cell", "dist"])
 
     return spread(df).mapInArrow(assign, schema)
 
