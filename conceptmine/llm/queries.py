@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptmine.llm import sharding
+from conceptmine.llm import decontaminate, sharding
 
 QUERIES = {}
 
@@ -31,3 +31,9 @@ SHARDS = [f"shard-{i:03d}" for i in range(128)]
     SELECT doc_id, slot::INT AS slot, 'shard-' || lpad(s, 3, '0') AS shard FROM placed JOIN filled USING (slot)""")
 def op4(spark, d):
     return sharding.place(table(spark, d, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+@query("op7_decontamination")
+def op7(spark, d):
+    report = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
