@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptmine.llm import decontaminate, sharding
+from conceptmine.llm import decontaminate, line_rules, sharding
 
 QUERIES = {}
 
@@ -37,3 +37,10 @@ def op4(spark, d):
 def op7(spark, d):
     report = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+
+
+@query("op9_quality_rules")
+def op9(spark, d):
+    report = line_rules.quality_report(table(spark, d, "documents"))
+    return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept", "n_words_left", F.size("drop_lines").cast("long").alias("n_lines_removed"))
