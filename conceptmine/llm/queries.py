@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptmine.llm import decontaminate, line_rules, sharding
+from conceptmine.llm import decontaminate, line_rules, ngram_join, sharding
 
 QUERIES = {}
 
@@ -44,3 +44,8 @@ def op9(spark, d):
     report = line_rules.quality_report(table(spark, d, "documents"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "n_words_left", F.size("drop_lines").cast("long").alias("n_lines_removed"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark, d):
+    return ngram_join.similar_groups(table(spark, d, "documents"))
