@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptmine.llm import decontaminate, line_rules, ngram_join, sharding
+from conceptmine.llm import decontaminate, line_rules, ngram_join, packing, sharding
 
 QUERIES = {}
 
@@ -49,3 +49,13 @@ def op9(spark, d):
 @query("op3_ngram_jaccard_join")
 def op3(spark, d):
     return ngram_join.similar_groups(table(spark, d, "documents"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_best_fit_packing")
+def op6(spark, d):
+    return packing.pack(table(spark, d, "documents"), vocabulary())
