@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptmine.llm import decontaminate, line_rules, ngram_join, packing, sharding
+from conceptmine.llm import decontaminate, line_rules, ngram_join, packing, sharding, suffix_dedup
 
 QUERIES = {}
 
@@ -59,3 +59,11 @@ def vocabulary() -> str:
 @query("op6_best_fit_packing")
 def op6(spark, d):
     return packing.pack(table(spark, d, "documents"), vocabulary())
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark, d):
+    """One row per removed span: words [begin, end) of the document repeat a passage that first_doc_id has."""
+    found = suffix_dedup.repeated_spans(table(spark, d, "documents"))
+    return found.select("doc_id", F.explode("spans").alias("s")).select(
+        "doc_id", "s.begin", "s.end", (F.col("s.end") - F.col("s.begin")).alias("n_words"), F.col("s.first_doc").alias("first_doc_id"))
