@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptmine.llm import decontaminate, line_rules, ngram_join, packing, sharding, suffix_dedup
+from conceptmine.llm import decontaminate, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup
 
 QUERIES = {}
 
@@ -67,3 +67,8 @@ def op10(spark, d):
     found = suffix_dedup.repeated_spans(table(spark, d, "documents"))
     return found.select("doc_id", F.explode("spans").alias("s")).select(
         "doc_id", "s.begin", "s.end", (F.col("s.end") - F.col("s.begin")).alias("n_words"), F.col("s.first_doc").alias("first_doc_id"))
+
+
+@query("op8_html_extraction")
+def op8(spark, d):
+    return style_tree.main_text(table(spark, d, "pages"))

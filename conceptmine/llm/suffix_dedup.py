@@ -212,6 +212,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Documents without the words that repeat an earlier passage; only texts that change are shuffled."""
     found = repeated_spans(docs, doc_id, text, min_words)
     some = docs.sparkSession.sparkContext.broadcast(key_set(found, "text_hash"))
+    columns = docs.columns
     hashed = docs.withColumn("_hash", F.xxhash64(text))
 
     def side(wanted: bool):
@@ -230,7 +231,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 b = np.array([first[i] + s["end"] for i in have for s in spans[i]], np.int64)
                 gone = vec.mark(len(starts), a, b) if len(a) else np.zeros(len(starts), bool)
                 new = cut_words(buf, offsets, starts, ends, first, gone, np.array(have, np.int64))
-                yield replace_texts(part, text, n_chars, new).select(docs.columns)
+                yield replace_texts(part, text, n_chars, new).select(columns)
 
     plain = hashed.mapInArrow(side(False), hashed.schema).select(*docs.columns)
     touched = hashed.mapInArrow(side(True), hashed.schema).alias("d").join(
