@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptmine.llm import decontaminate, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup
+from conceptmine.llm import decontaminate, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup, toxicity
 
 QUERIES = {}
 
@@ -72,3 +72,9 @@ def op10(spark, d):
 @query("op8_html_extraction")
 def op8(spark, d):
     return style_tree.main_text(table(spark, d, "pages"))
+
+
+@query("op5_toxicity")
+def op5(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
