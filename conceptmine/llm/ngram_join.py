@@ -162,21 +162,30 @@ def postings(nodes: DataFrame, sim: Similarity) -> DataFrame:
     return materialize(rows.join(shared, "gram"))
 
 
+def _need(both, sim: Similarity):
+    """Least common n-grams of a pair with so many n-grams, at most one too low for rounding."""
+    return F.ceil(both * sim.num / F.lit(sim.num + sim.den) - 1e-6)
+
+
 def _possible(x: str, y: str, sim: Similarity):
     """Length and positional filters for x at least as large as y."""
     size, least = F.col(f"{x}.size"), F.col(f"{y}.size")
-    need = F.ceil((size + least) * sim.num / F.lit(sim.num + sim.den) - 1e-6)
     room = F.least(size - F.col(f"{x}.place"), least - F.col(f"{y}.place"))
-    return (least * sim.den >= size * sim.num) & (room >= need)
+    return (least * sim.den >= size * sim.num) & (room >= _need(size + least, sim))
 
 
 def leader_pairs(posts: DataFrame, sim: Similarity) -> DataFrame:
-    """Every class with the smallest class of its prefix n-gram and band."""
-    lead = posts.where("indexed").groupBy("gram", "band").agg(F.min(F.struct("size", "node", "place")).alias("l")).select(
-        "gram", "band", "l.*")
-    both = posts.alias("x").join(lead.alias("y"), ["gram", "band"])
-    larger = (F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") > F.col("y.node")))
-    return both.where(larger & _possible("x", "y", sim)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    """Every class with the leader of its prefix n-gram and band: the class that has the fewest rarer n-grams.
+
+    In a group of altered copies that is the one with the fewest alterations, which most others resemble.
+    """
+    lead = posts.groupBy("gram", "band").agg(F.min(F.struct("place", "size", "node")).alias("l")).select("gram", "band", "l.*")
+    x, y = posts.alias("x"), lead.alias("y")
+    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    room = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    fits = (small * sim.den >= large * sim.num) & (room >= _need(small + large, sim))
+    return x.join(y, ["gram", "band"]).where((F.col("x.node") != F.col("y.node")) & fits).select(
+        F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
 
 def other_pairs(posts: DataFrame, labels: DataFrame, done: DataFrame, sim: Similarity) -> DataFrame:
@@ -190,7 +199,7 @@ def other_pairs(posts: DataFrame, labels: DataFrame, done: DataFrame, sim: Simil
     larger = (F.col("x.size") > F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.node") > F.col("y.node")))
     pairs = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.band") == F.col("y.band"))
                    & (F.col("x.label") != F.col("y.label")) & larger & _possible("x", "y", sim))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
