@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptmine.llm import decontaminate, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup, toxicity
+from conceptmine.llm import (
+    decontaminate, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup, toxicity, weak_quality,
+)
 
 QUERIES = {}
 
@@ -78,3 +80,9 @@ def op8(spark, d):
 def op5(spark, d):
     docs = table(spark, d, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+
+
+@query("op2_quality_classifier")
+def op2(spark, d):
+    docs = table(spark, d, "documents")
+    return weak_quality.score(docs, weak_quality.fit(docs))
