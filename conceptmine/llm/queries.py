@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conceptmine.llm import (
-    decontaminate, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup, toxicity, weak_quality,
+    decontaminate, licenses, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup, toxicity, weak_quality,
 )
 
 QUERIES = {}
@@ -86,3 +86,8 @@ def op5(spark, d):
 def op2(spark, d):
     docs = table(spark, d, "documents")
     return weak_quality.score(docs, weak_quality.fit(docs))
+
+
+@query("op1_license_scan")
+def op1(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
