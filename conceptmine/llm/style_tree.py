@@ -27,7 +27,6 @@ import html as entities
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -184,71 +183,82 @@ def parse(page: str) -> tuple[list[tuple[list[int], str, bool]], dict[int, tuple
     return blocks, {n: (_signed(s), f) for n, (s, f) in nodes.items()}
 
 
-_PAGE = ("page array<struct<nodes: array<long>, text: string, hash: long, beside: boolean>>, "
-         "styles array<struct<node: long, children: long, factor: double>>")
-
-
-def parsed(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
-    """Blocks and nodes of every page, written once."""
-    rows = pages.select(
-        F.col(page_id).alias("page_id"), F.col(url).alias("url"),
-        F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
-        F.xxhash64(html).alias("copy"), F.col(html).alias("_html"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "_html")
-    block = pa.list_(pa.struct([("nodes", pa.list_(pa.int64())), ("text", pa.string()), ("hash", pa.int64()), ("beside", pa.bool_())]))
+def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
+    """Every page's blocks with their texts, or what the tree needs of it: hashes of the blocks, and the nodes."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "_html")
+    at = len(pages.columns) - 1  # the html is the last column
+    block = [("nodes", pa.list_(pa.int64())), ("text", pa.string()), ("beside", pa.bool_())] if with_text else [
+        ("nodes", pa.list_(pa.int64())), ("hash", pa.int64())]
     style = pa.list_(pa.struct([("node", pa.int64()), ("children", pa.int64()), ("factor", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
                 page, styles = [], []
-                for text in part.column(4).to_pylist():
+                for text in part.column(at).to_pylist():
                     blocks, nodes = parse(text or "")
-                    has = any(inside for _, _, inside in blocks)
-                    page.append([{"nodes": n, "text": t, "hash": _signed(_text_hash(t)), "beside": has and not inside}
-                                 for n, t, inside in blocks])
-                    styles.append([{"node": n, "children": c, "factor": f} for n, (c, f) in nodes.items()])
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:4], pa.array(page, block), pa.array(styles, style)], [*part.schema.names[:4], "page", "styles"])
+                    if with_text:
+                        has = any(inside for _, _, inside in blocks)
+                        page.append([{"nodes": n, "text": t, "beside": has and not inside} for n, t, inside in blocks])
+                    else:
+                        page.append([{"nodes": n, "hash": _signed(_text_hash(t))} for n, t, _ in blocks])
+                        styles.append([{"node": n, "children": c, "factor": f} for n, (c, f) in nodes.items()])
+                out, names = [*part.columns[:at], pa.array(page, pa.list_(pa.struct(block)))], [*part.schema.names[:at], "page"]
+                if not with_text:
+                    out, names = [*out, pa.array(styles, style)], [*names, "styles"]
+                yield pa.RecordBatch.from_arrays(out, names)
+
+    schema = "page array<struct<nodes: array<long>, text: string, beside: boolean>>" if with_text else (
+        "page array<struct<nodes: array<long>, hash: long>>, styles array<struct<node: long, children: long, factor: double>>")
+    return pages.mapInArrow(run, f"{kinds}, {schema}")
 
-    return materialize(rows.mapInArrow(run, f"{kinds}, {_PAGE}"))
 
+def _host(url: str):
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host")
 
-def importance(rows: DataFrame) -> DataFrame:
+
+def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``host``, ``node``, ``importance``, by the entropies of the host's tree and of the tree of all hosts."""
-    looks = rows.select("host", "copy", F.explode("styles").alias("s")).select(
-        "host", "copy", "s.node", F.lit(False).alias("content"), F.col("s.children").alias("value"), "s.factor")
-    texts = rows.select("host", "copy", F.explode("page").alias("b")).select(
-        "host", "copy", F.explode("b.nodes").alias("node"), F.lit(True).alias("content"), F.col("b.hash").alias("value"),
-        F.lit(None).cast("double").alias("factor"))
-    counted = materialize(looks.union(texts).groupBy("host", "node", "content", "value").agg(
-        F.count_distinct("copy").alias("k"), F.max("factor").alias("factor")))
-
-    def entropies(x: DataFrame, *by: str) -> DataFrame:
-        k = F.col("k")
-        spread = k * F.log(k)
-        x = x.groupBy(*by, "node").agg(
-            F.sum(F.when(~F.col("content"), k)).alias("m"), F.sum(F.when(~F.col("content"), spread)).alias("look"),
-            F.sum(F.when(F.col("content"), k)).alias("n"), F.sum(F.when(F.col("content"), spread)).alias("text"), F.max("factor").alias("factor"))
-        ln = F.log("m")
+    rows = _parsed(pages.select(_host(url), F.xxhash64(html).alias("copy"), F.col(html).alias("_html")), False)
+    rows = materialize(rows.dropDuplicates(["host", "copy"]))
+    looks = rows.select("host", F.explode("styles").alias("s")).groupBy("host", "s.node", "s.children").agg(
+        F.count("*").alias("k"), F.max("s.factor").alias("factor"))
+    blocks = rows.select("host", F.explode("page").alias("b")).where(F.size("b.nodes") > 0).select(
+        "host", "b.nodes", F.element_at("b.nodes", -1).alias("leaf"), "b.hash")
+    texts = blocks.groupBy("host", "leaf", "hash").agg(F.count("*").alias("k"))
+    chains = blocks.select("leaf", "nodes").distinct().dropDuplicates(["leaf"]).select("leaf", F.explode("nodes").alias("node"))
+    k = F.col("k")
+    weighed = k * F.log(k)
+
+    def entropies(looks: DataFrame, texts: DataFrame, *by: str) -> DataFrame:
+        look = looks.groupBy(*by, "node").agg(F.sum("k").alias("m"), F.sum(weighed).alias("look"), F.max("factor").alias("factor"))
+        text = texts.groupBy(*by, "leaf").agg(F.sum("k").alias("n"), F.sum(weighed).alias("text")).join(chains, "leaf").groupBy(
+            *by, "node").agg(F.sum("n").alias("n"), F.sum("text").alias("text"))
+        both, ln = look.join(text, [*by, "node"], "left"), F.log("m")
         look = F.when(F.col("m") > 1, 1 - F.col("look") / (F.col("m") * ln)).otherwise(1.0)
-        text = F.when(F.col("m") > 1, 1 - F.col("text") / (F.col("n") * ln)).otherwise(1.0)
-        return x.select(*by, "node", "m", ((look + F.coalesce(text, F.lit(1.0))) / 2).alias("i"), "factor")
+        # a block may stand more than once on a page
+        text = F.when(F.col("m") > 1, F.greatest(1 - F.col("text") / (F.col("n") * ln), F.lit(0.0))).otherwise(1.0)
+        return both.select(*by, "node", "m", ((look + F.coalesce(text, F.lit(1.0))) / 2).alias("i"), "factor")
 
-    all_hosts = entropies(counted.groupBy("node", "content", "value").agg(F.sum("k").alias("k"), F.max("factor").alias("factor")))
-    both = entropies(counted, "host").join(all_hosts.select("node", F.col("m").alias("all_m"), F.col("i").alias("all_i")), "node")
+    all_hosts = entropies(looks.groupBy("node", "children").agg(F.sum("k").alias("k"), F.max("factor").alias("factor")),
+                          texts.groupBy("leaf", "hash").agg(F.sum("k").alias("k")))
+    both = entropies(looks, texts, "host").join(all_hosts.select("node", F.col("m").alias("all_m"), F.col("i").alias("all_i")), "node")
     lean = F.least("all_m", F.lit(LEAN))
     mixed = (F.col("m") * F.col("i") + lean * F.col("all_i")) / (F.col("m") + lean)
     return both.select("host", "node", F.when(F.col("factor") == 9, 1.0).otherwise(F.col("factor") * mixed).alias("importance"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``page_id``, ``url``, ``text`` and ``n_chars`` of every page."""
-    rows = parsed(pages, page_id, url, html)
-    weak = importance(rows).where(F.col("importance") < LEAST_BESIDE).groupBy("host").agg(
-        F.collect_list(F.when(F.col("importance") < LEAST, F.col("node"))).alias("low"), F.collect_list("node").alias("weak"))
-    joined = rows.select("page_id", "url", "host", "page").join(weak, "host", "left")
+    """``page_id``, ``url``, ``text`` and ``n_chars`` of every page.
+
+    Pages are parsed twice, so no page moves: what is cut of each host is a small written table,
+    which Spark broadcasts if its size allows and joins by host otherwise.
+    """
+    weak = materialize(importance(pages, url, html).where(F.col("importance") < LEAST_BESIDE).groupBy("host").agg(
+        F.collect_list(F.when(F.col("importance") < LEAST, F.col("node"))).alias("low"), F.collect_list("node").alias("weak")))
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _host(url), F.col(html).alias("_html"))
+    joined = _parsed(rows, True).join(weak, "host", "left")
     none = F.array().cast("array<long>")
     low, weak = F.coalesce("low", none), F.coalesce("weak", none)
     keep = F.filter("page", lambda b: ~F.arrays_overlap(b["nodes"], F.when(b["beside"], weak).otherwise(low)))
