@@ -127,12 +127,37 @@ def dotted_name(c: Column) -> Column:
 
 
 def capitalize(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
+    """First letter in title form (not always the upper one: ß, ǆ), the rest in lower case."""
+    first = F.substring(c, 1, 1)
+    upper = F.upper(first)
+    title = F.when(first.rlike("[Ǆ-ǌǱ-ǳ]"), F.translate(first, "ǄǅǆǇǈǉǊǋǌǱǲǳ", "ǅǅǅǈǈǈǋǋǋǲǲǲ")).otherwise(
+        F.concat(F.substring(upper, 1, 1), F.lower(F.substr(upper, F.lit(2)))))
+    return F.concat(title, F.lower(F.substr(c, F.lit(2))))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def score_text(c: Column) -> Column:
-    """Four digits, ties to even as in Python; the JVM's own formatting rounds them up."""
-    return F.when(c.isNotNull(), F.format_string("%.4f", F.bround(c, 4)))
+    """Four digits as Python prints them: by the exact binary value, exact ties to even.
+
+    x * 10000 is taken as the exact sum of two products of x's halves, so the sign of its
+    distance to the next tie is exact.
+    """
+    def digits(x: Column) -> Column:
+        upper = _let(x * 134217729.0, lambda big: big - (big - x))
+        halves = _let(upper, lambda u: F.array(u * 10000.0, (x - u) * 10000.0))
+        return _let(halves, lambda h: _let(F.floor(h[0] + h[1]).cast("double"), lambda n: _let(
+            n - F.when((h[0] - n) + h[1] < 0, 1.0).otherwise(0.0), lambda n: _let((h[0] - n - 0.5) + h[1], lambda rest:
+                n + F.when((rest > 0) | ((rest == 0) & (n % 2 == 1)), 1.0).otherwise(0.0)))))
+
+    sign = F.when(c < 0, "-").otherwise("")
+    text = _let(digits(F.abs(c.cast("double"))), lambda n: F.concat(
+        F.floor(n / 10000).cast("long").cast("string"), F.lit("."), F.lpad((n % 10000).cast("long").cast("string"), 4, "0")))
+    plain = F.when(F.isnan(c), "nan").otherwise(F.format_string("%.4f", c))
+    return F.when(c.isNotNull(), F.when(F.abs(c) < 1e11, F.concat(sign, text)).otherwise(plain))
 
 
 def snippet_key(name: Column, strip_all: bool = True) -> Column:

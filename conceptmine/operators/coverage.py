@@ -89,11 +89,9 @@ def extra_pattern_sources(uses: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def coverage_matrix(uses: DataFrame, frameworks: list[str]) -> DataFrame:
-    """One row per pattern, one 0/1 column per framework, and how many have it."""
-    marks = framework_patterns(uses).groupBy("pattern").pivot("framework", frameworks).agg(F.lit(1))
-    flags = [F.coalesce(F.col(f"`{f}`"), F.lit(0)).alias(f) for f in frameworks]
-    total = sum((F.coalesce(F.col(f"`{f}`"), F.lit(0)) for f in frameworks), F.lit(0))
-    return marks.select("pattern", *flags, total.alias("frameworks"))
+    """One row per pattern, one 0/1 column per listed framework, and how many frameworks have it, listed or not."""
+    flags = [F.max(F.when(F.col("framework") == f, 1).otherwise(0)).alias(f) for f in frameworks]
+    return framework_patterns(uses).groupBy("pattern").agg(*flags, F.count("*").cast("int").alias("frameworks"))
 
 
 def common_patterns(matrix: DataFrame, frameworks: list[str]) -> DataFrame:

@@ -25,6 +25,7 @@ def resolve_patterns(concepts: DataFrame, kb_map: DataFrame) -> DataFrame:
     Tiers: the full name is a key; else the short name equals a key's short
     name; else the first key, in map order, that ends the name. The last tier is
     an equi-join on the name's own suffixes, so no name is compared with every key.
+    A key whose pattern is 'N/A' ends the search but resolves nothing.
     """
     concepts = concepts.withColumn("short_name", tx.short_name(F.col("name")))
     names = concepts.select("name", "short_name").distinct()
@@ -45,7 +46,7 @@ def resolve_patterns(concepts: DataFrame, kb_map: DataFrame) -> DataFrame:
     )
     resolved = known.join(by_suffix, "name", "left").select(
         "name",
-        F.coalesce("full_pattern", "short_pattern", "suffix_pattern").alias("pattern"),
+        F.nullif(F.coalesce("full_pattern", "short_pattern", "suffix_pattern"), F.lit("N/A")).alias("pattern"),
         F.when(F.col("full_pattern").isNotNull(), "full")
         .when(F.col("short_pattern").isNotNull(), "short")
         .when(F.col("suffix_pattern").isNotNull(), "suffix")

@@ -15,7 +15,6 @@ MIN_STARS = 30
 MIN_CONTRIBUTORS = 10
 MAX_INACTIVE_MONTHS = 12
 TOP_REPOSITORIES = 200
-SEARCH_CAP = 200
 SURVEY_CAP = 500
 SURVEY_MIN_STARS = 10
 EXCLUSION_KEYWORDS = ["awesome-list", "books"]

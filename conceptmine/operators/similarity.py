@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from conceptmine.functions import vectors as vx
 from conceptmine.operators.skew import salted_join
-from conceptmine.session import materialize, spread
+from conceptmine.session import materialize
 
 MAX_BROADCAST_VALUES = 8_000_000  # doubles, 64 MB
 SLICE_VALUES = 4_000_000  # products held at once by a worker
@@ -41,7 +41,8 @@ def _prepared(df: DataFrame, key: str, vec: str) -> DataFrame:
     Single-precision vectors stay so on the wire, arithmetic is in doubles.
     """
     out = df.select(F.col(key).alias("id"), F.col(vec).alias("vec"))
-    return out.where(vx.norm(vx.as_double(F.col("vec"))) > 0)
+    length = vx.norm(vx.as_double(F.col("vec")))
+    return out.where((length > 0) & ~F.isnan(length))
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -71,7 +72,12 @@ class _Side:
 def _hits(a: _Side, b: _Side, t: float, strict: bool):
     """Index pairs (by row, then column) and scores of the pairs that reach the threshold."""
     i, j = np.nonzero(a.unit @ b.unit.T >= t - SLACK)
-    score = (a.vectors[i] * b.vectors[j]).sum(axis=1) / (a.lengths[i] * b.lengths[j])
+    score = np.empty(len(i))
+    # exact values of a bounded number of pairs at a time, whatever the dimension
+    step = max(1, SLICE_VALUES // a.vectors.shape[1])
+    for at in range(0, len(i), step):
+        x, y = i[at:at + step], j[at:at + step]
+        score[at:at + step] = (a.vectors[x] * b.vectors[y]).sum(axis=1) / (a.lengths[x] * b.lengths[y])
     keep = score > t if strict else score >= t
     return i[keep], j[keep], score[keep]
 
@@ -123,7 +129,7 @@ def _broadcast_join(a: DataFrame, b: DataFrame, dim: int, t: float, strict: bool
                     [part.column("id").take(pa.array(i)), ids.take(pa.array(j)), pa.array(score)],
                     ["left_id", "right_id", "score"])
 
-    return spread(a).mapInArrow(match, schema)
+    return a.mapInArrow(match, schema)
 
 
 def _with_cells(df: DataFrame, pivots: np.ndarray, choose) -> DataFrame:
@@ -145,7 +151,7 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, choose) -> DataFrame:
                     [*picked.columns, pa.array(cell.astype(np.int32)), pa.array(dist[row, cell])],
                     [*batch.schema.names, "cell", "dist"])
 
-    return spread(df).mapInArrow(assign, schema)
+    return df.mapInArrow(assign, schema)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -162,7 +168,7 @@ def _cell_join(a: DataFrame, b: DataFrame, b_rows: int, dim: int, t: float, kern
     # pivots grow with the root of the table, within the broadcast budget, and
     # stay near the number of blocks: more cells than that only add copies
     wanted = min(b_rows ** 0.5, 4 * b_rows / BLOCK_ROWS, MAX_BROADCAST_VALUES / dim)
-    top = b.select("vec").orderBy(F.xxhash64("vec")).limit(max(1, int(wanted))).toArrow()
+    top = b.select("vec").distinct().orderBy(F.xxhash64("vec")).limit(max(1, int(wanted))).toArrow()
     pivots = _matrix(top["vec"], dim)
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * t))) + 1e-6
 
@@ -188,7 +194,7 @@ def _cell_join(a: DataFrame, b: DataFrame, b_rows: int, dim: int, t: float, kern
         return spark.createDataFrame([], schema)
     # tasks by the work to do: sizes in bytes would put many block pairs into one
     pairs = int((grid["left_blocks"].astype("int64") * grid["right_blocks"]).sum())
-    tasks = min(pairs, 100_000, max(spark.sparkContext.defaultParallelism, pairs // 32))
+    tasks = min(pairs, max(spark.sparkContext.defaultParallelism, pairs // 32))
     grid = F.broadcast(spark.createDataFrame(grid))
 
     keys = ["cell", "left_block", "right_block"]
@@ -259,7 +265,7 @@ def _with_earliest(left: DataFrame, right: DataFrame, right_rows: int, dim: int,
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(first, mask=first < 0)], ["id", "vec", "first"])
 
-        return spread(left).mapInArrow(match, f"id bigint, vec {_type(left, 'vec')}, first bigint")
+        return left.mapInArrow(match, f"id bigint, vec {_type(left, 'vec')}, first bigint")
 
     def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
         ids, (ids_b, matrix) = lt["id"].to_numpy(), _in_order(rt, dim)
@@ -310,7 +316,7 @@ def leader_clusters(
         raise ValueError("threshold must be below 1")
     rows = df.select(F.col("ord").cast("bigint").alias("ord"), "vec")
     length = F.coalesce(vx.norm(vx.as_double(F.col("vec"))), F.lit(0.0))
-    rows = materialize(rows.withColumn("blank", length == 0))
+    rows = materialize(rows.withColumn("blank", (length == 0) | F.isnan(length)))
     # a row without direction is similar to nothing, not even to its copies
     alone = rows.where("blank").select("ord", F.col("ord").alias("leader"))
     solid = rows.where("NOT blank")

@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1000
+#: A key is hot from so many left rows on, if that is more than its share of the shuffle partitions too.
+HOT_ROWS = 100_000
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "inner",
-    hot_rows: int = 1_000_000, rows_per_slice: int = 250_000,
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join on ``key``; left rows of hot keys are spread over slices.
 
-    A key is hot from ``hot_rows`` left rows on. The table of hot keys is small
-    by a hard limit (the ``MAX_HOT_KEYS`` largest), so it may be broadcast; any
-    key beyond it takes the plain path, nothing is lost. Only right rows of hot
-    keys are repeated, once per slice. ``left`` is read twice: pass a written table.
+    A key is hot when it has more rows than a shuffle partition gets on average
+    (and at least ``hot_rows``), so there can be no more hot keys than partitions:
+    that bounds their table, which is broadcast, and leaves no hot key out. A
+    slice is one partition's share. Only right rows of hot keys are repeated, once
+    per slice. ``left`` is read twice: pass a written table.
     """
-    hot = (
-        left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), key).limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("_n") / rows_per_slice).cast("int").alias("_slices"))
-    )
+    spark = left.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(hot_rows, -(-left.count() // partitions))
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > share).select(
+        key, F.ceil(F.col("_n") / share).cast("int").alias("_slices"))
     # rows of one key must differ somewhere to spread: hash all their columns
     others = [c for c in left.columns if c != key] or [key]
     slices = F.coalesce("_slices", F.lit(1))

@@ -11,13 +11,6 @@ from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
 
-# Patterns tracked as newly defined (fixed values).
-WATCHED_PATTERNS = [
-    "Basis Change", "Circuit Construction Utility", "Data Encoding", "Domain Specific Application",
-    "Hamiltonian Simulation", "Linear Combination of Unitaries", "Quantum Amplitude Estimation",
-    "Quantum Arithmetic", "Quantum Logical Operators",
-]
-
 
 def mean_score() -> Column:
     """Mean score summed in decimals: the same value however the rows are partitioned."""
@@ -81,8 +74,8 @@ def source_table(matches: DataFrame) -> DataFrame:
 
 
 def adoption_table(matches: DataFrame) -> DataFrame:
-    """Per pattern the projects that use it, with the number of matches."""
-    pairs = with_pattern(matches).groupBy("pattern", "project").agg(F.count("*").alias("n"))
+    """Per pattern the projects that use it, with the number of matches that have a score."""
+    pairs = with_pattern(matches).groupBy("pattern", "project").agg(F.count("similarity_score").alias("n"))
     return pairs.groupBy("pattern").agg(
         F.sum("n").alias("total_matches"),
         F.count("project").alias("target_project_coverage"),

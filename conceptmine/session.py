@@ -32,16 +32,11 @@ def get_session(app: str = "conceptmine", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only in local mode."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a folder in the session's warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    if not hasattr(sc, "_conceptmine_shared"):
-        sc._conceptmine_shared = tempfile.mkdtemp(prefix="conceptmine-shared-")
-    return sc._conceptmine_shared
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/conceptmine-shared"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -55,13 +50,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Before heavy per-row work on a scan: use all cores when the scan has fewer splits than cores.
+def spread(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Deal the rows to ``tasks`` tasks before heavy work on each; None leaves them as they come.
 
-    A large table has far more splits than cores and is returned as it is.
+    For callers that know their scan has fewer splits than cores, as a small file has.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df if tasks is None else df.repartition(tasks)
 
 
 def ship_package(spark: SparkSession) -> None:

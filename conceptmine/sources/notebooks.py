@@ -2,72 +2,50 @@
 
 A notebook is converted inside its own row with array functions: no explode,
 no regrouping, so notebooks of any number spread over tasks as they were read.
+Python sees only the code cells that may hold shell syntax.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from conceptmine.sources.shell import MARKS, plain_code
 
 # Head of every converted script (fixed value).
 SCRIPT_HEAD = "#!/usr/bin/env python\n# coding: utf-8\n"
 CELL = "struct<cell_type string, source variant, input variant, execution_count int, prompt_number int>"
 
 
-def _quoted(c: Column) -> Column:
-    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
-    return F.concat(F.lit("'"), F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("'"))
-
-
-# Line forms of the interactive shell: pattern, shell call, groups passed on.
-SHELL_LINES = [
-    (r"^(\s*)%([A-Za-z_]\w*)[ \t]*(.*)$", "run_line_magic", True),
-    (r"^(\s*)!!(.*)$", "getoutput", False),
-    (r"^(\s*)!(.*)$", "system", False),
-    (r"^(\s*[\w., \[\]]+=\s*)%([A-Za-z_]\w*)[ \t]*(.*)$", "run_line_magic", True),
-    (r"^(\s*[\w., \[\]]+=\s*)!(.*)$", "getoutput", False),
-]
-
-
-def _plain_line(line: Column) -> Column:
-    """One code line with shell syntax turned into calls Python can parse."""
-    out = line
-    for pattern, call, named in reversed(SHELL_LINES):
-        args = [_quoted(F.regexp_extract(line, pattern, i)) for i in ((2, 3) if named else (2,))]
-        text = F.concat(F.regexp_extract(line, pattern, 1), F.lit(f"get_ipython().{call}("),
-                        F.concat_ws(", ", *args), F.lit(")"))
-        out = F.when(line.rlike(pattern), text).otherwise(out)
-    help_form = r"^(\s*)(?:\?{1,2}([\w.]+)|([\w.]+)\?{1,2})\s*$"
-    subject = F.concat(F.regexp_extract(line, help_form, 2), F.regexp_extract(line, help_form, 3))
-    call = F.concat(F.regexp_extract(line, help_form, 1), F.lit("get_ipython().run_line_magic('pinfo', "),
-                    _quoted(subject), F.lit(")"))
-    return F.when(line.rlike(help_form), call).otherwise(out)
-
-
-def _plain_code(source: Column) -> Column:
-    lines = F.split(source, "\n")
-    first = F.element_at(lines, 1)
-    cell_magic = r"^%%(\w+)[ \t]*(.*)$"
-    body = F.concat(F.array_join(F.slice(lines, 2, F.size(lines)), "\n"), F.lit("\n"))
-    whole_cell = F.concat(
-        F.lit("get_ipython().run_cell_magic("), _quoted(F.regexp_extract(first, cell_magic, 1)), F.lit(", "),
-        _quoted(F.regexp_extract(first, cell_magic, 2)), F.lit(", "), _quoted(body), F.lit(")"))
-    by_line = F.array_join(F.transform(lines, _plain_line), "\n")
-    return (
-        F.when(first.rlike(cell_magic), whole_cell)
-        .when(source.rlike(r"[%!?]"), by_line)  # most cells hold no shell syntax
-        .otherwise(source)
-    )
-
-
-def _cell_text(cell: Column) -> Column:
+SHEET = f"struct<cells array<{CELL}>>"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _plain_cells(cells: pd.Series) -> pd.Series:
+    """Code cells as plain Python; null entries are left alone."""
+    return cells.map(lambda own: own if own is None else [c if c is None else plain_code(c) for c in own])
+
+
+def _source(cell: Column) -> Column:
     raw = F.coalesce(cell["source"], cell["input"])
-    source = F.coalesce(
+    return F.coalesce(
         F.array_join(F.try_variant_get(raw, "$", "array<string>"), ""),
         F.try_variant_get(raw, "$", "string"), F.lit(""))
+
+
+def _cells(tree: Column) -> Column:
+    """All cells; an older format has them in worksheets."""
+    sheets = F.try_variant_get(tree, "$.worksheets", f"array<{SHEET}>")
+    old = F.flatten(F.transform(sheets, lambda s: F.coalesce(s["cells"], F.array().cast(f"array<{CELL}>"))))
+    return F.coalesce(F.try_variant_get(tree, "$.cells", f"array<{CELL}>"), old)
+
+
+def _cell_text(cell: Column, source: Column, plain: Column) -> Column:
     count = F.coalesce(cell["execution_count"], cell["prompt_number"])
     label = F.when(count != 0, count.cast("string")).otherwise(" ")
-    code = F.concat(F.lit("\n# In["), label, F.lit("]:\n\n\n"), _plain_code(source), F.lit("\n\n"))
+    code = F.concat(F.lit("\n# In["), label, F.lit("]:\n\n\n"), F.coalesce(plain, source), F.lit("\n\n"))
     prose = F.concat(F.lit("\n# "), F.replace(source, F.lit("\n"), F.lit("\n# ")), F.lit("\n"))
     return F.when(cell["cell_type"] == "code", code).when(
         cell["cell_type"].isin("markdown", "heading"), prose).otherwise("")
@@ -82,15 +60,18 @@ def convert(notebooks: DataFrame) -> DataFrame:
 
     ``text`` is null where the JSON holds no cells.
     """
-    tree = F.try_parse_json("text")
-    cells = F.coalesce(
-        F.try_variant_get(tree, "$.cells", f"array<{CELL}>"),
-        F.try_variant_get(tree, "$.worksheets[0].cells", f"array<{CELL}>"))
-    body = F.array_join(F.transform(cells, _cell_text), "")
-    return notebooks.withColumns({
-        "text": F.when(cells.isNotNull(), F.concat(F.lit(SCRIPT_HEAD), body)),
+    parsed = notebooks.withColumn("_cells", _cells(F.try_parse_json("text")))
+    parsed = parsed.withColumn("_sources", F.transform("_cells", _source))
+    # only cells that may hold shell syntax go to Python, and no notebook without one
+    odd = F.zip_with("_cells", "_sources", lambda c, s: F.when((c["cell_type"] == "code") & s.rlike(MARKS), s))
+    parsed = parsed.withColumn("_plain", _plain_cells(F.when(F.exists(odd, lambda s: s.isNotNull()), odd)))
+    place = F.sequence(F.lit(1), F.size("_cells"))
+    body = F.array_join(F.when(F.size("_cells") > 0, F.transform(place, lambda i: _cell_text(
+        F.element_at("_cells", i), F.element_at("_sources", i), F.element_at("_plain", i)))).otherwise(F.array()), "")
+    return parsed.withColumns({
+        "text": F.when(F.col("_cells").isNotNull(), F.concat(F.lit(SCRIPT_HEAD), body)),
         "path": script_path(F.col("path")),
-    })
+    }).drop("_cells", "_sources", "_plain")
 
 
 def conversion_status(notebooks: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -101,7 +82,7 @@ def conversion_status(notebooks: DataFrame, manifest: DataFrame) -> DataFrame:
     target = manifest.select(F.col("path").alias("script_path"), F.col("converted"))
     joined = notebooks.withColumn("script_path", script_path(F.col("path"))).join(target, "script_path", "left")
     readable = F.try_variant_get(F.try_parse_json("text"), "$.cells", "array<variant>").isNotNull() | (
-        F.try_variant_get(F.try_parse_json("text"), "$.worksheets[0].cells", "array<variant>").isNotNull())
+        F.try_variant_get(F.try_parse_json("text"), "$.worksheets", "array<struct<cells array<variant>>>").isNotNull())
     status = (
         F.when(F.col("converted") >= F.col("modified"), "SKIPPED")
         .when(readable, "SUCCESS").otherwise("ERROR"))

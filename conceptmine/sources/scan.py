@@ -10,14 +10,6 @@ from pyspark.sql import types as T
 
 from conceptmine.functions import text as tx
 
-# Folder names that may be left out of a corpus scan (fixed values).
-SKIP_DIRS = [
-    "docs", "examples", "example_notebooks", "optimizers", "build", "dist", "__pycache__", "venv",
-    ".venv", "releasenotes", "node_modules", ".git", ".mypy_cache", "benchmarks", "jupyter_execute",
-    "_build", "jupyter_notebooks", "scripts", "tools", "dev_tools", "binder", ".github",
-    ".pytest_cache", ".ipynb_checkpoints", "htmlcov", "test_data", "utils", "tests", "test",
-]
-
 
 def _text(content: bytes) -> str:
     return content.decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n")

@@ -1,5 +1,6 @@
 """Call names, concept extraction profiles and notebooks."""
 
+import ast
 import json
 
 import pytest
@@ -181,6 +182,36 @@ def test_incremental_conversion(spark):
     assert sorted(r["path"] for r in notebooks.pending(nb, done).collect()) == ["a.ipynb", "c.ipynb", "d.ipynb"]
 
 
+def test_all_worksheets_are_read(spark):
+    old = json.dumps({"worksheets": [
+        {"cells": [{"cell_type": "code", "input": ["a(1)"], "prompt_number": 1}]}, {},
+        {"cells": [{"cell_type": "code", "input": "b(2)", "prompt_number": 2}]}]})
+    df = spark.createDataFrame([("o.ipynb", old)], "path string, text string")
+    text = notebooks.convert(df).first()["text"]
+    assert "a(1)" in text and "b(2)" in text
+
+
+def test_shell_forms_keep_the_notebook(spark):
+    forms = [
+        "!pip install \\\n  thing", "\n\n%%bash\necho hi", "x = [1,\n %name\n]" , "    indented(1)\n    also(2)", ">>> prompt(1)\n... ",
+        "obj.*load*?", "f??", "%timeit?", "In [1]: numbered(1)", "text = \"\"\"\n!not a command\n%nor this\n\"\"\"\n%time run(1)",
+        "name = 7\nx = (9\n%name)", "if x:\n    !ls\n    y = %sx pwd", "out = !ls | wc", "# 100% done!\nplain(1)"]
+    df = spark.createDataFrame([(f"{i}.ipynb", notebook(("code", f, 1), ("code", "keep(1)", 2))) for i, f in enumerate(forms)],
+                               "path string, text string")
+    got = {r["path"]: r["text"] for r in notebooks.convert(df).collect()}
+    for i, form in enumerate(forms):
+        text = got[f"{i}.py"]
+        assert "keep(1)" in text
+        if form != "x = [1,\n %name\n]":  # no Python in any reading
+            ast.parse(text)
+    assert "system('pip install    thing')" in got["0.py"]
+    assert "run_cell_magic('bash', '', 'echo hi\\n')" in got["1.py"]
+    assert "\nindented(1)\nalso(2)" in got["3.py"] and "\nprompt(1)" in got["4.py"] and "\nnumbered(1)" in got["8.py"]
+    assert "('psearch', 'obj.*load*')" in got["5.py"] and "('pinfo2', 'f')" in got["6.py"] and "('pinfo', '%timeit')" in got["7.py"]
+    assert "\n!not a command\n%nor this\n" in got["9.py"] and "run_line_magic('time', 'run(1)')" in got["9.py"]
+    assert "x = (9\n%name)" in got["10.py"]
+
+
 def test_file_stream_converts_new_notebooks_only(spark, tmp_path):
     root, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
     (root / "p").mkdir(parents=True)

@@ -193,6 +193,32 @@ def test_salted_join_equals_plain_join(spark, how):
     left = spark.range(600).select(F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 9).alias("k"), "id")
     left = left.unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS k, CAST(-1 AS BIGINT) AS id"))
     right = spark.createDataFrame([(0, "a"), (0, "b"), (5, "c")], "k bigint, w string")
-    got = salted_join(left, right, "k", how, hot_rows=100, rows_per_slice=50).select("k", "id", "w")
+    got = salted_join(left, right, "k", how, hot_rows=50).select("k", "id", "w")
     want = left.join(right, "k", how).select("k", "id", "w")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_many_hot_keys_are_all_spread(spark):
+    left = spark.range(4500).select((F.col("id") % 1500).alias("k"), "id")
+    right = spark.range(1500).select(F.col("id").alias("k"), F.lit("w").alias("w"))
+    got = salted_join(left, right, "k", hot_rows=1)
+    assert got.count() == 4500 and got.select("id").distinct().count() == 4500
+
+
+@pytest.mark.parametrize("limit", [similarity.MAX_BROADCAST_VALUES, 0])
+def test_vectors_that_are_no_numbers_stay_alone(spark, limit):
+    df = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [float("nan"), 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0])], "ord long, vec array<double>")
+    got = {r["ord"]: r["leader"] for r in similarity.leader_clusters(df, 0.9, limit).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+    pairs = similarity.similarity_join(df, df, 0.5, left_key="ord", right_key="ord", max_broadcast_values=limit)
+    assert sorted((r["left_id"], r["right_id"]) for r in pairs.collect()) == [(3, 3), (3, 4), (4, 3), (4, 4)]
+
+
+def test_exact_check_holds_a_bounded_number_of_products():
+    import tracemalloc
+    side = similarity._Side(np.ones((800, 768)))
+    tracemalloc.start()
+    i, _, _ = similarity._hits(side, side, 0.9, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(i) == 800 * 800 and peak < 150e6  # all products at once would take 3.9 GB

@@ -134,6 +134,9 @@ def test_pattern_sources(spark, uses):
 def test_coverage_matrix(uses, spark):
     matrix = coverage.coverage_matrix(uses, ["A", "B", "C"])
     assert sorted(rows(matrix)) == [("P1", 1, 0, 0, 1), ("P2", 1, 1, 0, 2)]
+    # a framework that is not listed still counts, and its patterns stay
+    assert sorted(rows(coverage.coverage_matrix(uses, ["A"]))) == [("P1", 1, 1), ("P2", 1, 2)]
+    assert sorted(rows(coverage.coverage_matrix(uses, ["C"]))) == [("P1", 0, 1), ("P2", 0, 2)]
     assert rows(coverage.common_patterns(matrix, ["A", "B"])) == [("P2",)]
     assert rows(coverage.pairwise_common(uses)) == [("A", "B", 1)]
     assert rows(coverage.only_in(uses, names(spark, "P2"))) == [("P1",)]
@@ -305,7 +308,7 @@ def test_match_table_round_trip(spark, tmp_path, matches):
 
 
 def test_report_bundle(spark, tmp_path, matches):
-    defined, watched = names(spark, "P1", "P2", "P3"), names(spark, *stats.WATCHED_PATTERNS)
+    defined, watched = names(spark, "P1", "P2", "P3"), names(spark, "P2", "W1")
     written = export.write_report(matches, defined, watched, str(tmp_path / "all"))
     assert len(written) == 12
     per = spark.read.option("header", True).csv(str(tmp_path / "all/patterns_in_frameworks"))
@@ -347,12 +350,8 @@ def test_shared_folder_is_the_sessions(spark, monkeypatch):
     from conceptmine import session
 
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
-    unset = SimpleNamespace(get=lambda key, default: default)
-    local = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[2]"))
-    assert session.shared_dir(local) == session.shared_dir(local)
-    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077"))
-    with pytest.raises(ValueError):
-        session.shared_dir(cluster)
+    unset = SimpleNamespace(get=lambda key, default=None: "s3a://lake/warehouse/" if "warehouse" in key else default)
+    assert session.shared_dir(SimpleNamespace(conf=unset)) == "s3a://lake/warehouse/conceptmine-shared"
 
 
 def plan_of(df, capsys):
@@ -401,7 +400,7 @@ def test_script_scan(spark, corpus):
     assert got["p1/sub/a.py"][0] == "p1" and got["p1/sub/a.py"][1].endswith("# end\n")
     assert got["top.py"] == ("top.py", "print(2)\nx = 1\n")
     assert sorted(rows(scan.projects(scripts))) == [("p1",), ("p2",)]
-    assert scan.scan_scripts(spark, corpus, scan.SKIP_DIRS).count() == 2
+    assert scan.scan_scripts(spark, corpus, ["tests", "build"]).count() == 2
     found = scan.scan_notebooks(spark, corpus)
     assert rows(scan.notebook_counts(found)) == [("p2", 1)] and found.first()["modified"] is not None
     assert scan.path_exists(spark, corpus) and not scan.path_exists(spark, corpus + "/none")

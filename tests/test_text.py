@@ -87,7 +87,8 @@ def test_pattern_markdown_skips_empty_parts(spark):
 
 def test_small_ones(apply):
     assert apply(tx.display_name, ["/a/b.C"]) == ["...C"]
-    assert apply(tx.capitalize, ["pENNY lane"]) == ["Penny lane"]
+    names = ["pENNY lane", "ßa", "ǆA", "ﬁN", "", "éT"]
+    assert apply(tx.capitalize, names) == [n.capitalize() for n in names]
     assert apply(tx.snippet_key, ["/__a/b.c"]) == ["a_b_c"]
     assert apply(lambda c: tx.snippet_key(c, False), ["/__a/b.c"]) == ["__a_b_c"]
     assert apply(tx.module_path, ["a/b/c.py", "a.b/c.d.py"]) == ["a.b.c", "a.b.c.d"]
@@ -95,6 +96,10 @@ def test_small_ones(apply):
     assert apply(tx.repo_folder, ["tensorflow/quantum", "org/name"]) == ["tensorflow-quantum", "name"]
     assert apply(tx.preview, [None, "x" * 101]) == ["N/A", "x" * 100 + "..."]
     assert apply(tx.score_text, [0.03125, 0.09375, 0.9], "double") == ["0.0312", "0.0938", "0.9000"]
+    rnd = random.Random(1)
+    near = [0.41205, 0.68225, -0.00005, -0.41205, 0.0, 1.0, 12345.00005, 99999.99995, None] + [n / 20000 for n in range(1, 4001, 2)] + [
+        rnd.uniform(-1, 1) for _ in range(1000)]
+    assert apply(tx.score_text, near, "double") == [None if x is None else "%.4f" % x for x in near]
     assert apply(tx.kappa_label, [-0.1, 0.2, 0.21, 0.6, 0.8, 0.81], "double") == [
         "Poor agreement", "Slight agreement", "Fair agreement", "Moderate agreement", "Substantial agreement",
         "Almost perfect agreement"]

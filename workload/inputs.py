@@ -29,8 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are expensive to work on."""
-    return spread(table(spark, sf_dir, name))
+    """A table whose rows are expensive to work on. The given tables can be one file with one row group."""
+    return spread(table(spark, sf_dir, name), spark.sparkContext.defaultParallelism)
 
 
 def sql_strip(c: str) -> str:

@@ -81,7 +81,7 @@ def source_table(spark, d):
     return stats.source_table(facts(spark, d))
 
 
-@query("adoption_table", f"""WITH {FACTS} SELECT pattern, count(*) AS total_matches,
+@query("adoption_table", f"""WITH {FACTS} SELECT pattern, count(similarity_score) AS total_matches,
 count(DISTINCT project) AS target_project_coverage,
 array_to_string(list_sort(list(DISTINCT project)), ', ') AS target_project_names
 FROM facts WHERE pattern IS NOT NULL GROUP BY 1""")
@@ -298,7 +298,8 @@ def knowledge_base(spark, d):
     return part.select(
         F.lower("p_brand").alias("framework"), F.when(kind == "PROMO", 1).otherwise(0).alias("file_no"),
         F.col("p_partkey").alias("ord"), key.alias("name"), F.col("p_name").alias("summary"),
-        F.when(F.col("p_size") == 50, "").otherwise(F.concat_ws("-", "p_brand", "p_type")).alias("pattern"))
+        F.when(F.col("p_size") == 50, "").when(F.col("p_size") == 49, "N/A").otherwise(
+            F.concat_ws("-", "p_brand", "p_type")).alias("pattern"))
 
 
 KB = """
@@ -308,14 +309,14 @@ concepts AS (SELECT p_partkey AS id, p_name AS summary,
 kb AS (SELECT lower(p_brand) AS framework, p_name AS summary,
   CASE p_type WHEN 'ECONOMY' THEN '/' || p_brand || '/lib.economy_' WHEN 'SMALL' THEN '/kb/x.small_'
     WHEN 'LARGE' THEN 'arge_' ELSE '' END || replace(p_name, ' ', '_') || '_' || p_size AS name,
-  CASE WHEN p_size = 50 THEN '' ELSE p_brand || '-' || p_type END AS pattern,
+  CASE p_size WHEN 50 THEN '' WHEN 49 THEN 'N/A' ELSE p_brand || '-' || p_type END AS pattern,
   [CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END, p_partkey] AS place FROM part),
 keys AS (SELECT name, max_by(pattern, place) AS pattern, min(place) AS pos FROM kb WHERE pattern <> '' GROUP BY 1),
 shorts AS (SELECT split_part(split_part(name, '/', -1), '.', -1) AS short_name, max_by(pattern, pos) AS pattern
   FROM keys GROUP BY 1),
 ends AS (SELECT c.name, min_by(k.pattern, k.pos) AS pattern FROM (SELECT DISTINCT name FROM concepts) c
   JOIN keys k ON ends_with(c.name, k.name) GROUP BY 1),
-resolved AS (SELECT c.id, c.name, c.short_name, c.summary, coalesce(f.pattern, s.pattern, e.pattern) AS pattern,
+resolved AS (SELECT c.id, c.name, c.short_name, c.summary, nullif(coalesce(f.pattern, s.pattern, e.pattern), 'N/A') AS pattern,
   CASE WHEN f.pattern IS NOT NULL THEN 'full' WHEN s.pattern IS NOT NULL THEN 'short'
     WHEN e.pattern IS NOT NULL THEN 'suffix' ELSE 'none' END AS tier
   FROM concepts c LEFT JOIN keys f ON c.name = f.name LEFT JOIN shorts s ON c.short_name = s.short_name

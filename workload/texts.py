@@ -67,8 +67,9 @@ _scalar("repo_folder", "customer", "c_custkey",
 _scalar("archive_path", "documents", "doc_id",
         lambda: tx.archive_path(F.concat_ws("/", F.lit(""), "source", "lang", F.lit("")), F.concat("doc_id", F.lit("/n.ipynb"))),
         "source || '_' || lang || '/' || doc_id || '/n.ipynb'")
-_scalar("score_text", "documents", "doc_id", lambda: tx.score_text(F.col("n_chars") / 512),
-        "printf('%.4f', n_chars / 512)")
+_scalar("score_text", "documents", "doc_id", lambda: tx.score_text(F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") / 512).otherwise(
+            F.col("n_chars") / 20000)),
+        "printf('%.4f', n_chars / CASE WHEN doc_id % 2 = 0 THEN 512 ELSE 20000 END)")
 
 # --- prose ------------------------------------------------------------------------------
 
