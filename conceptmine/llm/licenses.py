@@ -17,6 +17,7 @@ read. Words are runs of letters and digits, lower-cased.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -53,15 +54,23 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def telling_words(templates: list[tuple[str, str]]) -> list[str]:
-    """A few long words of which every shingle of every template has at least one."""
-    open_ = {tuple(w[i:i + SHINGLE]) for _, t in templates for w in [_words(t)] for i in range(len(w) - SHINGLE + 1)}
-    out = []
-    while open_:
-        words = sorted({w for s in open_ for w in s})
-        best = max(words, key=lambda w: (sum(w in s for s in open_) * (len(w) > 4), len(w), w))
-        out.append(best)
-        open_ = {s for s in open_ if best not in s}
+def telling_words(templates: list[tuple[str, str]], least: float = LEAST) -> list[str]:
+    """A few long words, of which every match has at least one.
+
+    A match lacks fewer than ``missing`` shingles of its template, so it has a word of the list
+    if ``missing`` shingles of each template have one.
+    """
+    grams = [[set(w[i:i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)] for w in (_words(t) for _, t in templates)]
+    missing = [len(g) - math.ceil(least * len(g) - 1e-9) + 1 for g in grams]
+    out: list[str] = []
+
+    def hit(g: list[set[str]], words: list[str]) -> int:
+        return sum(bool(s.intersection(words)) for s in g)
+
+    while any(hit(g, out) < n for g, n in zip(grams, missing)):
+        words = sorted({w for g, n in zip(grams, missing) if hit(g, out) < n for s in g for w in s} - set(out))
+        out.append(max(words, key=lambda w: (
+            sum(min(n, hit(g, [*out, w])) - min(n, hit(g, out)) for g, n in zip(grams, missing)) * (len(w) > 6), len(w), w)))
     return out
 
 
@@ -95,7 +104,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     every = F.array_distinct(F.concat(*[shingles(F.array(*map(F.lit, _words(t)))) for _, t in templates]))
 
     low = F.lower(text)
-    telling = telling_words(templates)
+    telling = telling_words(templates, least)
     some = low.contains(telling[0])
     for word in telling[1:]:
         some = some | low.contains(word)
