@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from conceptmine.llm import vec
 
 #: Pieces kept; the cache starts anew when it is full. It decides nothing but speed.
-CACHE = 400_000
+CACHE = 200_000
 #: Latin, Greek, Cyrillic: the classes of these characters have not changed for long.
 _KNOWN = 0x530
 _LETTER, _NUMBER, _OTHER, _SPACE = 1, 2, 3, 4
