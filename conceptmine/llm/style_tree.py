@@ -1,17 +1,19 @@
 """Main text of pages by a site style tree.
 
 The DOMs of a host are merged: elements with the same chain of tags and presentation
-names are one node of the tree. For every node two entropies over the host's distinct
-pages are computed with plain aggregations:
-
-* presentation: how evenly the sequences of child elements are spread (a menu always
-  looks alike, an article does not);
-* content: one minus the mean entropy of the node's text blocks (a block on all pages
-  says nothing, a block on one page says much).
-
-Their mean, times a factor for the node's own names, is its importance. A host with few
-pages leans on the tree of all hosts. Branches of low importance are cut from each page;
-on pages that have an ``article`` or ``main``, branches beside it need a higher one.
+names are one node of the tree. Two entropies over the host's distinct pages decide about
+the text that stands directly in a node, computed with plain aggregations:
+
+* content: how much text a page has there that other pages do not have (a block on all
+  pages counts nothing, a block on one page counts in full; one such block a page is enough);
+* presentation: how evenly the sequences of child elements are spread (a menu always looks
+  alike, an article does not), of the node, or of the one above if it has no elements.
+
+Content times a half to one for presentation, times a factor for the names on the branch,
+is the node's importance. A host with few pages leans on the tree of all hosts. Text in nodes
+of low importance is cut from each page; on pages that have an ``article`` or ``main``, text
+beside it needs a higher one. A low node takes nothing with it that stands in nodes below
+it, so repeated blocks, however many, never cost a page its own text.
 Tags that never hold an article's text (scripts, menus, forms, ...) have the factor 0.
 
 Defined results: a null or empty page has an empty text; pages with equal ids are done
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from conceptmine.session import materialize
 
-#: Branches below the first importance go; beside an article or main, below the second.
+#: Text below the first importance goes; beside an article or main, below the second.
 LEAST, LEAST_BESIDE = 0.3, 0.6
 #: Factor of elements whose names speak against an article's text: they go whatever their entropies.
 NAMED = 0.25
@@ -219,31 +221,35 @@ def _host(url: str):
 
 
 def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host``, ``node``, ``importance``, by the entropies of the host's tree and of the tree of all hosts."""
+    """``host``, ``node``, ``importance`` of the nodes that have text of their own.
+
+    By the entropies of the host's tree and of the tree of all hosts.
+    """
     rows = _parsed(pages.select(_host(url), F.xxhash64(html).alias("copy"), F.col(html).alias("_html")), False)
     rows = materialize(rows.dropDuplicates(["host", "copy"]))
     looks = rows.select("host", F.explode("styles").alias("s")).groupBy("host", "s.node", "s.children").agg(
         F.count("*").alias("k"), F.max("s.factor").alias("factor"))
     blocks = rows.select("host", F.explode("page").alias("b")).where(F.size("b.nodes") > 0).select(
-        "host", "b.nodes", F.element_at("b.nodes", -1).alias("leaf"), "b.hash")
-    texts = blocks.groupBy("host", "leaf", "hash").agg(F.count("*").alias("k"))
-    chains = blocks.select("leaf", "nodes").distinct().dropDuplicates(["leaf"]).select("leaf", F.explode("nodes").alias("node"))
-    k = F.col("k")
-    weighed = k * F.log(k)
-
-    def entropies(looks: DataFrame, texts: DataFrame, *by: str) -> DataFrame:
-        look = looks.groupBy(*by, "node").agg(F.sum("k").alias("m"), F.sum(weighed).alias("look"), F.max("factor").alias("factor"))
-        text = texts.groupBy(*by, "leaf").agg(F.sum("k").alias("n"), F.sum(weighed).alias("text")).join(chains, "leaf").groupBy(
-            *by, "node").agg(F.sum("n").alias("n"), F.sum("text").alias("text"))
-        both, ln = look.join(text, [*by, "node"], "left"), F.log("m")
-        look = F.when(F.col("m") > 1, 1 - F.col("look") / (F.col("m") * ln)).otherwise(1.0)
+        "host", F.element_at("b.nodes", -1).alias("leaf"), F.try_element_at("b.nodes", F.lit(-2)).alias("up"), "b.hash")
+    texts = blocks.groupBy("host", "leaf", "up", "hash").agg(F.count("*").alias("k"))
+
+    def scores(looks: DataFrame, texts: DataFrame, *by: str) -> DataFrame:
+        k, m = F.col("k"), F.col("m")
+        look = looks.groupBy(*by, "node").agg(
+            F.sum("k").alias("m"), F.sum(k * F.log(k)).alias("look"), F.max(F.col("children") != 1).alias("parted"),
+            F.max("factor").alias("factor"))
+        look = look.select(*by, "node", "m", "factor", "parted", F.when(m > 1, 1 - F.col("look") / (m * F.log(m))).otherwise(1.0).alias("look"))
         # a block may stand more than once on a page
-        text = F.when(F.col("m") > 1, F.greatest(1 - F.col("text") / (F.col("n") * ln), F.lit(0.0))).otherwise(1.0)
-        return both.select(*by, "node", "m", ((look + F.coalesce(text, F.lit(1.0))) / 2).alias("i"), "factor")
-
-    all_hosts = entropies(looks.groupBy("node", "children").agg(F.sum("k").alias("k"), F.max("factor").alias("factor")),
-                          texts.groupBy("leaf", "hash").agg(F.sum("k").alias("k")))
-    both = entropies(looks, texts, "host").join(all_hosts.select("node", F.col("m").alias("all_m"), F.col("i").alias("all_i")), "node")
+        news = F.when(m > 1, k * F.greatest(1 - F.log(k) / F.log(m), F.lit(0.0))).otherwise(k.cast("double"))
+        text = texts.withColumnRenamed("leaf", "node").join(look, [*by, "node"]).groupBy(*by, "node", "up", "m", "factor", "parted", "look").agg(
+            F.least(F.sum(news) / m, F.lit(1.0)).alias("text"))
+        above = look.select(*by, F.col("node").alias("up"), F.col("look").alias("up_look"))
+        own = F.when(F.col("parted") | F.col("up_look").isNull(), F.col("look")).otherwise(F.col("up_look"))
+        return text.join(above, [*by, "up"], "left").select(*by, "node", "m", (F.col("text") * (1 + own) / 2).alias("i"), "factor")
+
+    all_hosts = scores(looks.groupBy("node", "children").agg(F.sum("k").alias("k"), F.max("factor").alias("factor")),
+                       texts.groupBy("leaf", "up", "hash").agg(F.sum("k").alias("k")))
+    both = scores(looks, texts, "host").join(all_hosts.select("node", F.col("m").alias("all_m"), F.col("i").alias("all_i")), "node")
     lean = F.least("all_m", F.lit(LEAN))
     mixed = (F.col("m") * F.col("i") + lean * F.col("all_i")) / (F.col("m") + lean)
     return both.select("host", "node", F.when(F.col("factor") == 9, 1.0).otherwise(F.col("factor") * mixed).alias("importance"))
@@ -261,6 +267,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     joined = _parsed(rows, True).join(weak, "host", "left")
     none = F.array().cast("array<long>")
     low, weak = F.coalesce("low", none), F.coalesce("weak", none)
-    keep = F.filter("page", lambda b: ~F.arrays_overlap(b["nodes"], F.when(b["beside"], weak).otherwise(low)))
+    leaf = lambda b: F.coalesce(F.try_element_at(b["nodes"], F.lit(-1)), F.lit(0))
+    keep = F.filter("page", lambda b: ~F.array_contains(F.when(b["beside"], weak).otherwise(low), leaf(b)))
     text = F.array_join(F.transform(keep, lambda b: b["text"]), "\n\n")
     return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

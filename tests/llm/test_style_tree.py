@@ -43,6 +43,23 @@ def test_noise_of_a_site_without_article_tags(spark):
     assert run(spark, pages) == want
 
 
+def test_more_repeated_than_unique_blocks(spark):
+    """Repeated blocks never cost a page its own text: beside it, in its wrapper, among equal elements."""
+    rnd = random.Random(7)
+    word = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    menu = "<div><ul>" + "".join(f"<li>Menu entry {k}" for k in range(12)) + "</ul></div>"
+    for start, end in (("", ""), ("<article>", "</article>"), ("<div><div class=page>", "</div></div>")):
+        pages, want = [], {}
+        for i in range(60):
+            own = [word(20) for _ in range(rnd.randrange(1, 4))]
+            pages.append((i, f"http://m.example/{i}", f"<html><head></head><body>{menu}{start}{''.join(f'<p>{p}</p>' for p in own)}{end}</body>"))
+            want[i] = "\n\n".join(own)
+        assert run(spark, pages) == want
+    same = "".join(f"<p>Rule {k}</p>" for k in range(6))
+    got = run(spark, [(i, f"http://n.example/{i}", f"<html><head></head><body>{same}<p>own {i}</p></body>") for i in range(60)])
+    assert all(f"own {i}" in got[i] for i in got)
+
+
 def test_edges(spark):
     art = "<article><h1>T &amp; U</h1><p>One<br>two&nbsp;three &lt;b&gt; <b>bo</b>ld</p><ul><li>x<li>y</ul><p>cut &am"
     pages = [(1, "http://b.example/1", art), (2, None, None), (3, "odd url", ""), (4, "http://b.example/1", art),
