@@ -9,12 +9,14 @@ the text that stands directly in a node, computed with plain aggregations:
 * presentation: how evenly the sequences of child elements are spread (a menu always looks
   alike, an article does not), of the node, or of the one above if it has no elements.
 
-Content times a half to one for presentation, times a factor for the names on the branch,
-is the node's importance. A host with few pages leans on the tree of all hosts. Text in nodes
+Content times a half to one for presentation is the node's importance. Names that speak against
+an article's text halve it, once for each element on the branch; they count nothing on html,
+body, main and article, nor on a branch that has most of the host's unique text. A host with few pages leans on the tree of all hosts. Text in nodes
 of low importance is cut from each page; on pages that have an ``article`` or ``main``, text
 beside it needs a higher one. A low node takes nothing with it that stands in nodes below
 it, so repeated blocks, however many, never cost a page its own text.
-Tags that never hold an article's text (scripts, menus, forms, ...) have the factor 0.
+Tags that never hold an article's text (scripts, menus, forms, ...) and elements that their
+attributes hide have the factor 0.
 
 Defined results: a null or empty page has an empty text; pages with equal ids are done
 one by one; equal pages of a host count once in its tree; a null or odd url is a host of
@@ -37,8 +39,9 @@ from conceptmine.session import materialize
 
 #: Text below the first importance goes; beside an article or main, below the second.
 LEAST, LEAST_BESIDE = 0.3, 0.6
-#: Factor of elements whose names speak against an article's text: they go whatever their entropies.
-NAMED = 0.25
+#: Factor of every element with a name that speaks against an article's text. It is a prior only: it lowers the
+#: importance of the text below, and not at all where a branch has more than this share of its host's unique text.
+NAMED, MOST = 0.5, 0.5
 #: Pages of all hosts' tree that count like the host's own.
 LEAN = 20
 
@@ -50,6 +53,8 @@ BLOCKS = frozenset(
     "html body main article section header div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption address hr fieldset details summary center hgroup search".split())
 ARTICLE = frozenset(("article", "main"))
+#: Names of these say nothing about their text: of the page, or of what it is there for.
+PLAIN = ARTICLE | {"html", "body"}
 #: A start tag of these closes an open one of the given kinds.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
           "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
@@ -61,8 +66,8 @@ NOISE_NAMES = frozenset(
     "widget search pagination pager skip disclaimer".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
 _MASK = (1 << 64) - 1
 
@@ -81,14 +86,30 @@ def _text_hash(text: str) -> int:
 _STYLES: dict[str, tuple[int, float]] = {}
 
 
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), entities.unescape(a or b or c))
+    return out
+
+
+def _hidden(have: dict[str, str]) -> bool:
+    """Whether the attributes themselves hide the element; ``hidden`` as a word elsewhere does not."""
+    return ("hidden" in have and have["hidden"].strip().lower() != "until-found"
+            or have.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(have.get("style", ""))))
+
+
 def _style(tag: str, attributes: str) -> tuple[int, float]:
     """Number and factor of an element's presentation: its tag and names, without digits."""
     key = f"{tag} {attributes}"
     have = _STYLES.get(key)
     if have is None:
-        names = [re.sub(r"\d+", "#", (a or b or c).lower()) for _, a, b, c in _NAMES.findall(attributes)]
-        words = {w for n in names for w in re.split(r"[^a-z]+", re.sub(r"[_-]", " ", n)) if w}
-        factor = 0.0 if tag in NOISE or _HIDDEN.search(attributes) else NAMED if words & NOISE_NAMES else 1.0
+        given = _attributes(attributes)
+        names = [re.sub(r"\d+", "#", given[k].lower()) for k in ("class", "id", "role") if given.get(k)]
+        words = {w for n in names for w in re.split(r"[^a-z]+", n) if w}
+        factor = 0.0 if tag in NOISE or tag != "html" and tag != "body" and _hidden(given) else (
+            NAMED if tag not in PLAIN and words & NOISE_NAMES else 1.0)
         have = _text_hash(" ".join([tag, *sorted(names)])), factor
         if len(_STYLES) > 100_000:
             _STYLES.clear()
@@ -96,14 +117,14 @@ def _style(tag: str, attributes: str) -> tuple[int, float]:
     return have
 
 
-def parse(page: str) -> tuple[list[tuple[list[int], str, bool]], dict[int, tuple[int, float]]]:
-    """Text blocks (nodes above them, text, inside an article), and by node its child sequence and factor.
+def parse(page: str) -> tuple[list[tuple[list[int], str, bool, list[int]]], dict[int, int]]:
+    """Text blocks (nodes above them, text, inside an article, nodes with telling names), and child sequences by node.
 
-    A factor of 9 marks nodes in an article or main that nothing speaks against.
+    Text in a branch of factor 0 is left out.
     """
-    blocks: list[tuple[list[int], str, bool]] = []
-    nodes: dict[int, list] = {}
-    # open elements: tag, node, factor of the branch, inside an article
+    blocks: list[tuple[list[int], str, bool, list[int]]] = []
+    nodes: dict[int, int] = {}
+    # open elements: tag, node, factor (0 below a 0), inside an article
     stack: list[tuple[str, int, float, bool]] = [("", 0, 1.0, False)]
     text: list[str] = []
 
@@ -114,7 +135,7 @@ def parse(page: str) -> tuple[list[tuple[list[int], str, bool]], dict[int, tuple
             joined = entities.unescape(joined)
         joined = " ".join(joined.split())
         if joined and stack[-1][2]:
-            blocks.append(([s[1] for s in stack[1:]], joined, stack[-1][3]))
+            blocks.append(([s[1] for s in stack[1:]], joined, stack[-1][3], [s[1] for s in stack[1:] if s[2] < 1.0]))
 
     at, end = 0, len(page)
     while at < end:
@@ -172,26 +193,23 @@ def parse(page: str) -> tuple[list[tuple[list[int], str, bool]], dict[int, tuple
         _, above, branch, inside = stack[-1]
         if tag == "header" and not inside:
             factor = 0.0
-        inside = inside or tag in ARTICLE and factor == 1.0
+        inside = inside or tag in ARTICLE and factor > 0
         node = _signed((above * 0x9E3779B97F4A7C15 + style) ^ (style >> 7))
-        if factor == 1.0 and branch in (1.0, 9.0):
-            factor = 9.0 if inside else 1.0
-        branch = factor if branch in (1.0, 9.0) else min(branch, factor)
         if above in nodes:
-            nodes[above][0] = (nodes[above][0] * 0xD6E8FEB86659FD93 + style) & _MASK
-        nodes.setdefault(node, [1, branch])
-        stack.append((tag, node, branch, inside))
+            nodes[above] = (nodes[above] * 0xD6E8FEB86659FD93 + style) & _MASK
+        nodes.setdefault(node, 1)
+        stack.append((tag, node, factor if branch else 0.0, inside))
     flush()
-    return blocks, {n: (_signed(s), f) for n, (s, f) in nodes.items()}
+    return blocks, {n: _signed(s) for n, s in nodes.items()}
 
 
 def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
     """Every page's blocks with their texts, or what the tree needs of it: hashes of the blocks, and the nodes."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "_html")
     at = len(pages.columns) - 1  # the html is the last column
-    block = [("nodes", pa.list_(pa.int64())), ("text", pa.string()), ("beside", pa.bool_())] if with_text else [
-        ("nodes", pa.list_(pa.int64())), ("hash", pa.int64())]
-    style = pa.list_(pa.struct([("node", pa.int64()), ("children", pa.int64()), ("factor", pa.float64())]))
+    block = [("leaf", pa.int64()), ("text", pa.string()), ("beside", pa.bool_())] if with_text else [
+        ("leaf", pa.int64()), ("up", pa.int64()), ("hash", pa.int64()), ("chars", pa.int64()), ("named", pa.list_(pa.int64()))]
+    style = pa.list_(pa.struct([("node", pa.int64()), ("children", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,18 +219,20 @@ def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
                 for text in part.column(at).to_pylist():
                     blocks, nodes = parse(text or "")
                     if with_text:
-                        has = any(inside for _, _, inside in blocks)
-                        page.append([{"nodes": n, "text": t, "beside": has and not inside} for n, t, inside in blocks])
+                        has = any(inside for _, _, inside, _ in blocks)
+                        page.append([{"leaf": n[-1] if n else 0, "text": t, "beside": has and not inside} for n, t, inside, _ in blocks])
                     else:
-                        page.append([{"nodes": n, "hash": _signed(_text_hash(t))} for n, t, _ in blocks])
-                        styles.append([{"node": n, "children": c, "factor": f} for n, (c, f) in nodes.items()])
+                        page.append([{"leaf": n[-1] if n else 0, "up": n[-2] if len(n) > 1 else None, "hash": _signed(_text_hash(t)),
+                                      "chars": len(t), "named": named} for n, t, _, named in blocks])
+                        styles.append([{"node": n, "children": c} for n, c in nodes.items()])
                 out, names = [*part.columns[:at], pa.array(page, pa.list_(pa.struct(block)))], [*part.schema.names[:at], "page"]
                 if not with_text:
                     out, names = [*out, pa.array(styles, style)], [*names, "styles"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    schema = "page array<struct<nodes: array<long>, text: string, beside: boolean>>" if with_text else (
-        "page array<struct<nodes: array<long>, hash: long>>, styles array<struct<node: long, children: long, factor: double>>")
+    schema = "page array<struct<leaf: long, text: string, beside: boolean>>" if with_text else (
+        "page array<struct<leaf: long, up: long, hash: long, chars: long, named: array<long>>>, "
+        "styles array<struct<node: long, children: long>>")
     return pages.mapInArrow(run, f"{kinds}, {schema}")
 
 
@@ -227,32 +247,46 @@ def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """
     rows = _parsed(pages.select(_host(url), F.xxhash64(html).alias("copy"), F.col(html).alias("_html")), False)
     rows = materialize(rows.dropDuplicates(["host", "copy"]))
-    looks = rows.select("host", F.explode("styles").alias("s")).groupBy("host", "s.node", "s.children").agg(
-        F.count("*").alias("k"), F.max("s.factor").alias("factor"))
-    blocks = rows.select("host", F.explode("page").alias("b")).where(F.size("b.nodes") > 0).select(
-        "host", F.element_at("b.nodes", -1).alias("leaf"), F.try_element_at("b.nodes", F.lit(-2)).alias("up"), "b.hash")
-    texts = blocks.groupBy("host", "leaf", "up", "hash").agg(F.count("*").alias("k"))
+    looks = rows.select("host", F.explode("styles").alias("s")).groupBy("host", "s.node", "s.children").agg(F.count("*").alias("k"))
+    blocks = rows.select("host", F.explode("page").alias("b")).select("host", "b.*")
+    texts = blocks.groupBy("host", "leaf", "up", "hash", "chars", "named").agg(F.count("*").alias("k"))
+
+    # telling names count nothing where most of the host's unique text is
+    sizes = rows.groupBy("host").agg(F.count("*").alias("m"))
+    k, m = F.col("k"), F.col("m")
+    unique = F.when(m > 1, k * F.greatest(1 - F.log(k) / F.log(m), F.lit(0.0))).otherwise(k.cast("double")) * F.col("chars")
+    amounts = texts.groupBy("host", "hash", "leaf", "chars", "named").agg(F.sum("k").alias("k")).join(sizes, "host").groupBy(
+        "host", "leaf", "named").agg(F.sum(unique).alias("amount"))
+    total = amounts.groupBy("host").agg(F.sum("amount").alias("all"))
+    most = amounts.select("host", "amount", F.explode("named").alias("node")).groupBy("host", "node").agg(
+        F.sum("amount").alias("amount")).join(total, "host").where(F.col("amount") > MOST * F.col("all")).select("host", "node")
+    named = texts.select("host", "leaf", "named").where(F.size("named") > 0).distinct().select("host", "leaf", F.explode("named").alias("node"))
+    against = named.join(most, ["host", "node"], "left_anti").groupBy("host", "leaf").agg(F.count("*").alias("against"))
 
     def scores(looks: DataFrame, texts: DataFrame, *by: str) -> DataFrame:
-        k, m = F.col("k"), F.col("m")
         look = looks.groupBy(*by, "node").agg(
-            F.sum("k").alias("m"), F.sum(k * F.log(k)).alias("look"), F.max(F.col("children") != 1).alias("parted"),
-            F.max("factor").alias("factor"))
-        look = look.select(*by, "node", "m", "factor", "parted", F.when(m > 1, 1 - F.col("look") / (m * F.log(m))).otherwise(1.0).alias("look"))
+            F.sum("k").alias("m"), F.sum(k * F.log(k)).alias("look"), F.max(F.col("children") != 1).alias("parted"))
+        look = look.select(*by, "node", "m", "parted", F.when(m > 1, 1 - F.col("look") / (m * F.log(m))).alias("look"))
         # a block may stand more than once on a page
         news = F.when(m > 1, k * F.greatest(1 - F.log(k) / F.log(m), F.lit(0.0))).otherwise(k.cast("double"))
-        text = texts.withColumnRenamed("leaf", "node").join(look, [*by, "node"]).groupBy(*by, "node", "up", "m", "factor", "parted", "look").agg(
+        text = texts.withColumnRenamed("leaf", "node").join(look, [*by, "node"]).groupBy(*by, "node", "up", "m", "parted", "look").agg(
             F.least(F.sum(news) / m, F.lit(1.0)).alias("text"))
-        above = look.select(*by, F.col("node").alias("up"), F.col("look").alias("up_look"))
-        own = F.when(F.col("parted") | F.col("up_look").isNull(), F.col("look")).otherwise(F.col("up_look"))
-        return text.join(above, [*by, "up"], "left").select(*by, "node", "m", (F.col("text") * (1 + own) / 2).alias("i"), "factor")
+        above = look.select(*by, F.col("node").alias("up"), F.col("m").alias("up_m"), F.col("look").alias("up_look"))
+        own = F.when(F.col("parted") | F.col("up_m").isNull(), F.col("look")).otherwise(F.col("up_look"))
+        return text.join(above, [*by, "up"], "left").select(*by, "node", "m", "text", own.alias("look"))
 
-    all_hosts = scores(looks.groupBy("node", "children").agg(F.sum("k").alias("k"), F.max("factor").alias("factor")),
+    all_hosts = scores(looks.groupBy("node", "children").agg(F.sum("k").alias("k")),
                        texts.groupBy("leaf", "up", "hash").agg(F.sum("k").alias("k")))
-    both = scores(looks, texts, "host").join(all_hosts.select("node", F.col("m").alias("all_m"), F.col("i").alias("all_i")), "node")
+    both = scores(looks, texts.groupBy("host", "leaf", "up", "hash").agg(F.sum("k").alias("k")), "host").join(
+        all_hosts.select("node", F.col("m").alias("all_m"), F.col("text").alias("all_text"), F.col("look").alias("all_look")), "node").join(
+        against.withColumnRenamed("leaf", "node"), ["host", "node"], "left").withColumn("against", F.coalesce("against", F.lit(0)))
+    # the look of a single page says nothing: it counts for a text unless its names speak against it
+    unknown = F.when(F.col("against") > 0, 0.0).otherwise(1.0)
+    i = F.col("text") * (1 + F.coalesce("look", unknown)) / 2
+    all_i = F.col("all_text") * (1 + F.coalesce("all_look", unknown)) / 2
     lean = F.least("all_m", F.lit(LEAN))
-    mixed = (F.col("m") * F.col("i") + lean * F.col("all_i")) / (F.col("m") + lean)
-    return both.select("host", "node", F.when(F.col("factor") == 9, 1.0).otherwise(F.col("factor") * mixed).alias("importance"))
+    mixed = (m * i + lean * all_i) / (m + lean)
+    return both.select("host", "node", (F.pow(F.lit(NAMED), F.col("against")) * mixed).alias("importance"))
 
 
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -267,7 +301,6 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     joined = _parsed(rows, True).join(weak, "host", "left")
     none = F.array().cast("array<long>")
     low, weak = F.coalesce("low", none), F.coalesce("weak", none)
-    leaf = lambda b: F.coalesce(F.try_element_at(b["nodes"], F.lit(-1)), F.lit(0))
-    keep = F.filter("page", lambda b: ~F.array_contains(F.when(b["beside"], weak).otherwise(low), leaf(b)))
+    keep = F.filter("page", lambda b: ~F.array_contains(F.when(b["beside"], weak).otherwise(low), b["leaf"]))
     text = F.array_join(F.transform(keep, lambda b: b["text"]), "\n\n")
     return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -60,6 +60,25 @@ def test_more_repeated_than_unique_blocks(spark):
     assert all(f"own {i}" in got[i] for i in got)
 
 
+def test_names_are_a_prior_only(spark):
+    """Words of names and attributes do not take a host's article, and repeated notices go from main too."""
+    rnd = random.Random(9)
+    word = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    for n, (start, end) in enumerate([
+            ("<body class='has-sidebar'><div>", "</div>"), ("<body class=menu-open><article class='no-sidebar share'>", "</article>"),
+            ("<body><main class='with-sidebar'>", "</main>"), ("<body><section id='discussion'>", "</section>"),
+            ("<body><div class='overflow hidden'>", "</div>"), ("<body><div title='hidden valley' data-a='display:none'>", "</div>")]):
+        pages, want = [], {}
+        for i in range(30):
+            own = [word(20) for _ in range(rnd.randrange(1, 4))]
+            notice = "<div class=box>Read our terms here</div>"
+            rest = ("<div class=comments><div class=comment>I like " + word(2) + "</div></div><div hidden>" + word(9) + "</div>"
+                    "<div style='color:red; display: none'>" + word(9) + "</div><div aria-hidden=true>" + word(9) + "</div>")
+            pages.append((i, f"http://p{n}.example/{i}", f"<html class='js-nav'><head></head>{start}{notice}{''.join(f'<p>{p}</p>' for p in own)}{end}{rest}"))
+            want[i] = "\n\n".join(own)
+        assert run(spark, pages) == want, start
+
+
 def test_edges(spark):
     art = "<article><h1>T &amp; U</h1><p>One<br>two&nbsp;three &lt;b&gt; <b>bo</b>ld</p><ul><li>x<li>y</ul><p>cut &am"
     pages = [(1, "http://b.example/1", art), (2, None, None), (3, "odd url", ""), (4, "http://b.example/1", art),
