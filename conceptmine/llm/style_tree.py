@@ -1,7 +1,8 @@
 """Main text of pages by a site style tree.
 
 The DOMs of a host are merged: elements with the same chain of tags and presentation
-names are one node of the tree. Two entropies over the host's distinct pages decide about
+names are one node of the tree; names that are rare on the host, as a page's own, count as
+none. Two entropies over the host's distinct pages decide about
 the text that stands directly in a node, computed with plain aggregations:
 
 * content: how much text a page has there that other pages do not have (a block on all
@@ -31,10 +32,14 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from conceptmine.llm import vec
+from conceptmine.llm.keyset import KeySet, key_set
 from conceptmine.session import materialize
 
 #: Text below the first importance goes; beside an article or main, below the second.
@@ -44,6 +49,10 @@ LEAST, LEAST_BESIDE = 0.3, 0.6
 NAMED, MOST = 0.5, 0.5
 #: Pages of all hosts' tree that count like the host's own.
 LEAN = 20
+#: Names on fewer than two of a host's pages, or on fewer than one in so many, are left out of its tree.
+RARE = 100
+#: Slices of a (host, node) in the join with the pages' blocks.
+SALTS = 16
 
 # Tags of the HTML standard, by what they do here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -83,7 +92,7 @@ def _text_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-_STYLES: dict[str, tuple[int, float]] = {}
+_STYLES: dict[str, tuple[int, int, float]] = {}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -100,8 +109,8 @@ def _hidden(have: dict[str, str]) -> bool:
             or have.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(have.get("style", ""))))
 
 
-def _style(tag: str, attributes: str) -> tuple[int, float]:
-    """Number and factor of an element's presentation: its tag and names, without digits."""
+def _style(tag: str, attributes: str) -> tuple[int, int, float]:
+    """Numbers of an element's presentation, by tag and names without digits and by tag alone, and its factor."""
     key = f"{tag} {attributes}"
     have = _STYLES.get(key)
     if have is None:
@@ -110,17 +119,49 @@ def _style(tag: str, attributes: str) -> tuple[int, float]:
         words = {w for n in names for w in re.split(r"[^a-z]+", n) if w}
         factor = 0.0 if tag in NOISE or tag != "html" and tag != "body" and _hidden(given) else (
             NAMED if tag not in PLAIN and words & NOISE_NAMES else 1.0)
-        have = _text_hash(" ".join([tag, *sorted(names)])), factor
+        # without its names an element still differs from one whose names do not speak against it
+        bare = tag if factor != NAMED else f"{tag} !"
+        have = _text_hash(" ".join([tag, *sorted(names)]) if names else tag), _text_hash(bare), factor
         if len(_STYLES) > 100_000:
             _STYLES.clear()
         _STYLES[key] = have
     return have
 
 
-def parse(page: str) -> tuple[list[tuple[list[int], str, bool, list[int]]], dict[int, int]]:
+class Common:
+    """Which presentations with names are common on their host, by bits.
+
+    Of the others very few may pass for common (one in 65,000 up to four million common ones), which keep their names.
+    """
+
+    PROBES = 4
+
+    def __init__(self, keys: KeySet):
+        self.keys, self.have = keys, {}
+
+    @staticmethod
+    def pair(host: int, style: int) -> int:
+        return (host * 0x9E3779B97F4A7C15 + style) & _MASK
+
+    @classmethod
+    def probes(cls, pairs: np.ndarray) -> np.ndarray:
+        return np.concatenate([vec.scramble(pairs + np.uint64(i)) for i in range(1, cls.PROBES + 1)]).view(np.int64)
+
+    def has(self, host: int, style: int) -> bool:
+        pair = self.pair(host, style)
+        found = self.have.get(pair)
+        if found is None:
+            if len(self.have) > 100_000:
+                self.have.clear()
+            found = self.have[pair] = bool(self.keys.maybe(self.probes(np.array([pair], np.uint64))).all())
+        return found
+
+
+def parse(page: str, common: Common | None = None, host: int = 0, seen: set[int] | None = None) -> tuple[list[tuple[list[int], str, bool, list[int]]], dict[int, int]]:
     """Text blocks (nodes above them, text, inside an article, nodes with telling names), and child sequences by node.
 
-    Text in a branch of factor 0 is left out.
+    Text in a branch of factor 0 is left out. Names that are not common on the host count as none;
+    presentations with names are added to ``seen``.
     """
     blocks: list[tuple[list[int], str, bool, list[int]]] = []
     nodes: dict[int, int] = {}
@@ -189,7 +230,12 @@ def parse(page: str) -> tuple[list[tuple[list[int], str, bool, list[int]]], dict
                         break
                 elif stack[k][0] in ("table", "ul", "ol", "dl"):
                     break
-        style, factor = _style(tag, m[3])
+        style, bare, factor = _style(tag, m[3])
+        if style != bare:
+            if seen is not None:
+                seen.add(style)
+            if common is not None and not common.has(host, style):
+                style = bare
         _, above, branch, inside = stack[-1]
         if tag == "header" and not inside:
             factor = 0.0
@@ -203,7 +249,7 @@ def parse(page: str) -> tuple[list[tuple[list[int], str, bool, list[int]]], dict
     return blocks, {n: _signed(s) for n, s in nodes.items()}
 
 
-def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
+def _parsed(pages: DataFrame, with_text: bool, common: Broadcast) -> DataFrame:
     """Every page's blocks with their texts, or what the tree needs of it: hashes of the blocks, and the nodes."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "_html")
     at = len(pages.columns) - 1  # the html is the last column
@@ -216,8 +262,8 @@ def _parsed(pages: DataFrame, with_text: bool) -> DataFrame:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 page, styles = [], []
-                for text in part.column(at).to_pylist():
-                    blocks, nodes = parse(text or "")
+                for text, host in zip(part.column(at).to_pylist(), part.column("host").to_pylist()):
+                    blocks, nodes = parse(text or "", common.value, _text_hash(host))
                     if with_text:
                         has = any(inside for _, _, inside, _ in blocks)
                         page.append([{"leaf": n[-1] if n else 0, "text": t, "beside": has and not inside} for n, t, inside, _ in blocks])
@@ -240,44 +286,75 @@ def _host(url: str):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host")
 
 
-def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def common_names(pages: DataFrame, url: str = "url", html: str = "html") -> Broadcast:
+    """The presentations that enough of their host's distinct pages have; all of them on a host with one page."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128)
+                lists = []
+                for text, host in zip(part.column(2).to_pylist(), part.column(0).to_pylist()):
+                    seen: set[int] = set()
+                    parse(text or "", seen=seen)
+                    lists.append([_signed(Common.pair(_text_hash(host), s)) for s in seen])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(lists, pa.list_(pa.int64()))], ["host", "copy", "pairs"])
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(Common.probes(batch.column(0).to_numpy().view(np.uint64)))], ["k"])
+
+    rows = pages.select(_host(url), F.xxhash64(html).alias("copy"), F.col(html).alias("_html"))
+    rows = materialize(rows.mapInArrow(run, "host string, copy long, pairs array<long>").dropDuplicates(["host", "copy"]))
+    sizes = materialize(rows.groupBy("host").agg(F.count("*").alias("m")))
+    n, m = F.col("n"), F.col("m")
+    often = rows.select("host", F.explode("pairs").alias("pair")).groupBy("host", "pair").agg(F.count("*").alias("n"))
+    often = often.join(sizes, "host").where((m == 1) | (n > 1) & (n * RARE >= m)).select("pair")
+    keys = materialize(often.mapInArrow(probes, "k long"))
+    return pages.sparkSession.sparkContext.broadcast(Common(key_set(keys, "k")))
+
+
+def importance(pages: DataFrame, common: Broadcast, url: str = "url", html: str = "html") -> DataFrame:
     """``host``, ``node``, ``importance`` of the nodes that have text of their own.
 
     By the entropies of the host's tree and of the tree of all hosts.
     """
-    rows = _parsed(pages.select(_host(url), F.xxhash64(html).alias("copy"), F.col(html).alias("_html")), False)
+    rows = _parsed(pages.select(_host(url), F.xxhash64(html).alias("copy"), F.col(html).alias("_html")), False, common)
     rows = materialize(rows.dropDuplicates(["host", "copy"]))
     looks = rows.select("host", F.explode("styles").alias("s")).groupBy("host", "s.node", "s.children").agg(F.count("*").alias("k"))
-    blocks = rows.select("host", F.explode("page").alias("b")).select("host", "b.*")
-    texts = blocks.groupBy("host", "leaf", "up", "hash", "chars", "named").agg(F.count("*").alias("k"))
+    # a block that stands more than once on a page counts once
+    blocks = rows.select("host", F.explode(F.array_distinct("page")).alias("b")).select("host", "b.*")
+    texts = materialize(blocks.groupBy("host", "leaf", "up", "hash", "chars", "named").agg(F.count("*").alias("k")))
+    k, m = F.col("k"), F.col("m")
+
+    def by_leaf(texts: DataFrame, *by: str) -> DataFrame:
+        size = F.col("chars") * k
+        return texts.groupBy(*by, "leaf", "up", "named").agg(F.sum("k").alias("n"), F.sum(k * F.log(k)).alias("text"),
+                                                             F.sum(size).alias("size"), F.sum(size * F.log(k)).alias("same"))
 
     # telling names count nothing where most of the host's unique text is
-    sizes = rows.groupBy("host").agg(F.count("*").alias("m"))
-    k, m = F.col("k"), F.col("m")
-    unique = F.when(m > 1, k * F.greatest(1 - F.log(k) / F.log(m), F.lit(0.0))).otherwise(k.cast("double")) * F.col("chars")
-    amounts = texts.groupBy("host", "hash", "leaf", "chars", "named").agg(F.sum("k").alias("k")).join(sizes, "host").groupBy(
-        "host", "leaf", "named").agg(F.sum(unique).alias("amount"))
+    own = materialize(by_leaf(texts, "host"))
+    sizes = materialize(rows.groupBy("host").agg(F.count("*").alias("m")))
+    unique = F.when(m > 1, F.col("size") - F.col("same") / F.log(m)).otherwise(F.col("size").cast("double"))
+    amounts = own.join(sizes, "host").select("host", "leaf", "named", unique.alias("amount"))
     total = amounts.groupBy("host").agg(F.sum("amount").alias("all"))
     most = amounts.select("host", "amount", F.explode("named").alias("node")).groupBy("host", "node").agg(
         F.sum("amount").alias("amount")).join(total, "host").where(F.col("amount") > MOST * F.col("all")).select("host", "node")
-    named = texts.select("host", "leaf", "named").where(F.size("named") > 0).distinct().select("host", "leaf", F.explode("named").alias("node"))
+    named = own.where(F.size("named") > 0).select("host", "leaf", F.explode("named").alias("node"))
     against = named.join(most, ["host", "node"], "left_anti").groupBy("host", "leaf").agg(F.count("*").alias("against"))
 
     def scores(looks: DataFrame, texts: DataFrame, *by: str) -> DataFrame:
         look = looks.groupBy(*by, "node").agg(
             F.sum("k").alias("m"), F.sum(k * F.log(k)).alias("look"), F.max(F.col("children") != 1).alias("parted"))
         look = look.select(*by, "node", "m", "parted", F.when(m > 1, 1 - F.col("look") / (m * F.log(m))).alias("look"))
-        # a block may stand more than once on a page
-        news = F.when(m > 1, k * F.greatest(1 - F.log(k) / F.log(m), F.lit(0.0))).otherwise(k.cast("double"))
-        text = texts.withColumnRenamed("leaf", "node").join(look, [*by, "node"]).groupBy(*by, "node", "up", "m", "parted", "look").agg(
-            F.least(F.sum(news) / m, F.lit(1.0)).alias("text"))
+        news = F.when(m > 1, F.col("n") - F.col("text") / F.log(m)).otherwise(F.col("n").cast("double"))
+        text = texts.withColumnRenamed("leaf", "node").join(look, [*by, "node"]).withColumn("text", F.least(news / m, F.lit(1.0)))
         above = look.select(*by, F.col("node").alias("up"), F.col("m").alias("up_m"), F.col("look").alias("up_look"))
-        own = F.when(F.col("parted") | F.col("up_m").isNull(), F.col("look")).otherwise(F.col("up_look"))
-        return text.join(above, [*by, "up"], "left").select(*by, "node", "m", "text", own.alias("look"))
+        look = F.when(F.col("parted") | F.col("up_m").isNull(), F.col("look")).otherwise(F.col("up_look"))
+        return text.join(above, [*by, "up"], "left").select(*by, "node", "m", "text", look.alias("look"))
 
     all_hosts = scores(looks.groupBy("node", "children").agg(F.sum("k").alias("k")),
-                       texts.groupBy("leaf", "up", "hash").agg(F.sum("k").alias("k")))
-    both = scores(looks, texts.groupBy("host", "leaf", "up", "hash").agg(F.sum("k").alias("k")), "host").join(
+                       by_leaf(texts.groupBy("leaf", "up", "hash", "chars", "named").agg(F.sum("k").alias("k"))))
+    both = scores(looks, own, "host").join(
         all_hosts.select("node", F.col("m").alias("all_m"), F.col("text").alias("all_text"), F.col("look").alias("all_look")), "node").join(
         against.withColumnRenamed("leaf", "node"), ["host", "node"], "left").withColumn("against", F.coalesce("against", F.lit(0)))
     # the look of a single page says nothing: it counts for a text unless its names speak against it
@@ -292,15 +369,22 @@ def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of every page.
 
-    Pages are parsed twice, so no page moves: what is cut of each host is a small written table,
-    which Spark broadcasts if its size allows and joins by host otherwise.
+    Html never moves: pages are parsed once for the names, once for the tree and once for their texts.
+    Blocks meet the written rows (host, node) of what is cut, which Spark broadcasts if their size
+    allows and joins in slices otherwise, and are put together again by page.
     """
-    weak = materialize(importance(pages, url, html).where(F.col("importance") < LEAST_BESIDE).groupBy("host").agg(
-        F.collect_list(F.when(F.col("importance") < LEAST, F.col("node"))).alias("low"), F.collect_list("node").alias("weak")))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), _host(url), F.col(html).alias("_html"))
-    joined = _parsed(rows, True).join(weak, "host", "left")
-    none = F.array().cast("array<long>")
-    low, weak = F.coalesce("low", none), F.coalesce("weak", none)
-    keep = F.filter("page", lambda b: ~F.array_contains(F.when(b["beside"], weak).otherwise(low), b["leaf"]))
-    text = F.array_join(F.transform(keep, lambda b: b["text"]), "\n\n")
-    return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    common = common_names(pages, url, html)
+    weak = importance(pages, common, url, html).where(F.col("importance") < LEAST_BESIDE)
+    weak = materialize(weak.select("host", "node", (F.col("importance") < LEAST).alias("low"),
+                                   F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_slice")))
+    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.col(page_id).alias("page_id"), F.col(url).alias("url"),
+                        _host(url), F.col(html).alias("_html"))
+    blocks = _parsed(rows, True, common).select("_row", "page_id", "url", "host", F.posexplode_outer("page").alias("at", "b")).select(
+        "_row", "page_id", "url", "host", "at", "b.text", "b.beside", F.col("b.leaf").alias("node"),
+        F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int").alias("_slice"))
+    gone = F.coalesce(F.col("low") | F.col("beside"), F.lit(False)) & F.col("low").isNotNull()
+    kept = F.when(F.col("at").isNotNull() & ~gone, F.struct("at", "text"))
+    whole = blocks.join(weak, ["host", "node", "_slice"], "left").groupBy("_row").agg(
+        F.first("page_id").alias("page_id"), F.first("url").alias("url"), F.collect_list(kept).alias("page"))
+    text = F.array_join(F.transform(F.sort_array("page"), lambda b: b["text"]), "\n\n")
+    return whole.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -79,6 +79,23 @@ def test_names_are_a_prior_only(spark):
         assert run(spark, pages) == want, start
 
 
+def test_names_of_single_pages(spark):
+    """Names that only one page has make no tree of its own, and what is cut does not grow with the pages."""
+    rnd = random.Random(11)
+    word = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    slug = lambda: "-".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(3))
+    pages, want = [], {}
+    for i in range(60):
+        own = [word(20) for _ in range(rnd.randrange(1, 4))]
+        menu = "<div><ul>" + "".join(f"<li>Menu entry {k}" for k in range(5)) + "</ul></div><div class=ad>Buy this</div>"
+        pages.append((i, f"http://s.example/{i}", f"<html><head></head><body class='page-{slug()}'><div id='{slug()}'>{menu}"
+                      f"{''.join(f'<p>{p}</p>' for p in own)}</div></body>"))
+        want[i] = "\n\n".join(own)
+    assert run(spark, pages) == want
+    df = spark.createDataFrame([(i, u, h, 0) for i, u, h in pages], SCHEMA)
+    assert style_tree.importance(df, style_tree.common_names(df)).count() < 10
+
+
 def test_edges(spark):
     art = "<article><h1>T &amp; U</h1><p>One<br>two&nbsp;three &lt;b&gt; <b>bo</b>ld</p><ul><li>x<li>y</ul><p>cut &am"
     pages = [(1, "http://b.example/1", art), (2, None, None), (3, "odd url", ""), (4, "http://b.example/1", art),
