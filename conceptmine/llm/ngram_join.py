@@ -5,8 +5,11 @@
   classes can only be similar if they share one of their first n-grams (prefix).
 * Round one compares every class with one leader of each of its prefix n-grams; the
   links found merge classes. Round two compares the classes that share a prefix n-gram
-  and are still in different components. A group of copies is thus settled by links to
-  leaders, its pairs are never listed, and no link between components is lost.
+  and are still in different components. No link between components is lost.
+* Every link is inside a component, so links are counted there: the classes of a component
+  are dealt to blocks of bounded size, blocks of fitting set sizes meet two by two, and a
+  task returns the number of links of each class, never the pairs. The work is still that
+  of all pairs of a component.
 * Candidates meet the length and positional filters in the join and the suffix filter
   (counts by range of hash) before any text moves. Each pair left is verified once.
 
@@ -34,6 +37,8 @@ from conceptmine.session import materialize
 COUNTERS = 1 << 18
 #: Hash ranges of the suffix filter.
 RANGES = 128
+#: Classes, and n-grams of all their sets, of a block in which links are counted, about.
+BLOCK, BLOCK_GRAMS = 128, 1 << 19
 
 
 class Similarity:
@@ -221,9 +226,8 @@ def suffix_filter(pairs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFr
     return materialize(both.mapInArrow(run, "a long, b long"))
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs whose sets are similar, by the sets themselves. Only texts of the pairs' classes move."""
-    ids = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
+def class_texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node`` and ``_text`` of the given classes. Only their texts move."""
     need = materialize(nodes.join(ids, "node", "left_semi").select(
         "node", F.col("text_hash"), F.col("doc_id").alias("_id")))
     some = docs.sparkSession.sparkContext.broadcast(key_set(need, "text_hash"))
@@ -236,7 +240,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sim: Similarit
     rows = rows.mapInArrow(keep, rows.schema)
     texts = need.alias("n").join(rows.alias("d"), (F.col("n.text_hash") == F.col("d.text_hash"))
                                  & F.col("n._id").eqNullSafe(F.col("d.doc_id"))).select("node", "_text")
-    texts = materialize(texts.dropDuplicates(["node"]))
+    return materialize(texts.dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs whose sets are similar, by the sets themselves."""
+    texts = class_texts(pairs.select("a").union(pairs.select("b")).toDF("node").distinct(), nodes, docs)
     both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,12 +262,77 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sim: Similarit
     return materialize(both.mapInArrow(run, "a long, b long"))
 
 
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Common n-grams of every set of x with every set of y."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    flat = [np.concatenate(s) for s in (x, y)]
+    owner = [np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y)]
+    both = np.intersect1d(*flat)
+    place = [np.searchsorted(both, f) for f in flat]
+    found = [both[np.minimum(p, max(len(both) - 1, 0))] == f if len(both) else np.zeros(len(f), bool) for p, f in zip(place, flat)]
+    for begin in range(0, len(both), 8192):
+        part = []
+        for s, p, f, o in zip((x, y), place, found, owner):
+            m = np.zeros((len(s), min(8192, len(both) - begin)), np.float32)
+            use = f & (p >= begin) & (p < begin + 8192)
+            m[o[use], p[use] - begin] = 1
+            part.append(m)
+        out += (part[0] @ part[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(nodes: DataFrame, labels: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """``node`` and ``n_links``: the other classes its set is similar to, for the classes of ``labels``."""
+    width = math.log(sim.den / sim.num) * 1.0001 if sim.num < sim.den else 1.0
+    named = materialize(nodes.join(labels, "node").select(
+        "node", "label", "size", F.floor(F.log("size") / width).cast("int").alias("band")))
+    counts = materialize(named.groupBy("label", "band").agg(F.ceil(F.greatest(
+        F.count("*") / BLOCK, F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks")))
+    two = counts.select("label", (F.col("band") - 1).alias("band"), F.col("blocks").alias("next"))
+    own = named.join(counts, ["label", "band"]).join(two, ["label", "band"], "left").withColumn(
+        "at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    before = counts.select("label", (F.col("band") + 1).alias("band"), F.col("blocks").alias("last"))
+    own = own.join(before, ["label", "band"], "left")
+    # x is the lower block: of the band itself, then all of the next band's
+    inside = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.col("band").alias("x_band"), F.least("at", o).alias("x_at"), F.col("band").alias("y_band"), F.greatest("at", o).alias("y_at")))
+    upward = F.transform(F.sequence(F.lit(0), F.col("next") - 1), lambda o: F.struct(
+        F.col("band").alias("x_band"), F.col("at").alias("x_at"), (F.col("band") + 1).alias("y_band"), o.alias("y_at")))
+    downward = F.transform(F.sequence(F.lit(0), F.col("last") - 1), lambda o: F.struct(
+        (F.col("band") - 1).alias("x_band"), o.alias("x_at"), F.col("band").alias("y_band"), F.col("at").alias("y_at")))
+    none = F.slice(inside, 1, 0)
+    dealt = own.withColumn("p", F.explode(F.concat(inside, F.coalesce(upward, none), F.coalesce(downward, none)))).select(
+        "node", "label", "p.*", ((F.col("p.x_band") == F.col("band")) & (F.col("p.x_at") == F.col("at"))).alias("left"))
+    texts = class_texts(labels.select("node"), nodes, docs)
+
+    def count(table: pa.Table) -> pa.Table:
+        node, left = table.column("node").to_numpy(), table.column("left").to_numpy(zero_copy_only=False)
+        given = [s for batch in table.select(["_text"]).combine_chunks().to_batches() for _, b, o in vec.slices(batch, "_text")
+                 for s in sets(b, o, sim.n)]
+        x = [i for i in range(len(node)) if left[i]]
+        y = [i for i in range(len(node)) if not left[i]]
+        alone = not y
+        y = y or x
+        if not x:
+            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
+        common = _common([given[i] for i in x], [given[i] for i in y])
+        size = np.array([len(s) for s in given], np.int64)
+        good = sim.den * common >= sim.num * (size[x][:, None] + size[y][None, :] - common)
+        if alone:
+            np.fill_diagonal(good, False)
+            return pa.table({"node": node[x], "links": good.sum(axis=1)})
+        return pa.table({"node": np.r_[node[x], node[y]], "links": np.r_[good.sum(axis=1), good.sum(axis=0)]})
+
+    found = dealt.join(texts, "node").groupBy("label", "x_band", "x_at", "y_band", "y_at").applyInArrow(count, "node long, links long")
+    return materialize(found.groupBy("node").agg(F.sum("links").alias("n_links")))
+
+
 def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 3, num: int = 90,
-                   den: int = 100) -> DataFrame:
+                   den: int = 100, count_links: bool = True) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``n_links``, for every row.
 
-    Links join texts with Jaccard of at least num / den. ``n_links`` counts the verified links of
-    the row's class to other classes that settle the components.
+    Links join texts with Jaccard of at least num / den. ``n_links`` is the number of other classes
+    that the row's class is linked to; it is left out if links are not to be counted.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
@@ -273,12 +347,15 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rest = suffix_filter(other_pairs(posts, labels, first, sim), nodes, sim)
     links = links.union(verified(rest, nodes, docs, sim))
     labels = materialize(components(links))
-    degree = links.select("a").union(links.select("b")).toDF("node").groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = link_counts(nodes, labels, docs, sim) if count_links else None
     named = nodes.select("node", "d1", "d2", "size", "doc_id").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", F.col("node")))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "label").join(degree, "node", "left").select("d1", "d2", "size", "component_id", "n_links")
+    named = named.join(least, "label")
+    if count_links:
+        named = named.join(degree, "node", "left")
+    named = named.select("d1", "d2", "size", "component_id", *["n_links"] * count_links)
     return rows.select("doc_id", "d1", "d2", "size").join(named, ["d1", "d2", "size"], "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * count_links)

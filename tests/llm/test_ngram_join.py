@@ -60,6 +60,19 @@ def test_equals_all_pairs(spark):
         assert len({x[2] for x in want}) < len(docs) - 20
 
 
+def test_number_of_links_equals_all_pairs(spark, monkeypatch):
+    for block in (ngram_join.BLOCK, 4):
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        base = [f"w{k}" for k in range(200)]
+        docs = corpus(3, 12) + [(9000 + i, " ".join(base[:i * 5] + [f"x{i}"] + base[i * 5 + 1:])) for i in range(30)]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        kinds = {i: frozenset(shingles(t)) for i, t in docs}
+        other = set(kinds.values())
+        want = {i: sum(100 * len(s & o) >= 90 * len(s | o) for o in other if s and o != s) for i, s in kinds.items()}
+        assert {r.doc_id: r.n_links for r in ngram_join.similar_groups(df).collect()} == want
+        assert max(want.values()) >= 29
+
+
 def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "other words here now"), (2, "A b  c d")], "doc_id long, text string")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect())
