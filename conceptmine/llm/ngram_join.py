@@ -332,7 +332,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable by links) and ``n_links``, for every row.
 
     Links join texts with Jaccard of at least num / den. ``n_links`` is the number of other classes
-    that the row's class is linked to; it is left out if links are not to be counted.
+    that the row's class is linked to; it is left out if links are not to be counted. ``text_hash`` is
+    the xxhash64 of the row's text, and ``kept`` is true for the one smallest (id, text hash) of a group.
     """
     if not 0 < num <= den:
         raise ValueError("the similarity must be over 0 and at most 1")
@@ -348,14 +349,16 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = links.union(verified(rest, nodes, docs, sim))
     labels = materialize(components(links))
     degree = link_counts(nodes, labels, docs, sim) if count_links else None
-    named = nodes.select("node", "d1", "d2", "size", "doc_id").join(labels, "node", "left").withColumn(
+    named = nodes.select("node", "d1", "d2", "size", "doc_id", "text_hash").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", F.col("node")))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "text_hash")).alias("least"))
     named = named.join(least, "label")
     if count_links:
         named = named.join(degree, "node", "left")
-    named = named.select("d1", "d2", "size", "component_id", *["n_links"] * count_links)
-    return rows.select("doc_id", "d1", "d2", "size").join(named, ["d1", "d2", "size"], "left").select(
+    named = named.select("d1", "d2", "size", "component_id", "least", *["n_links"] * count_links)
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return rows.select("doc_id", "text_hash", "d1", "d2", "size").join(named, ["d1", "d2", "size"], "left").select(
         "doc_id", F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * count_links)
+        *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * count_links,
+        "text_hash", F.when(F.col("size") > 0, first).otherwise(True).alias("kept"))

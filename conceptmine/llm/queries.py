@@ -50,7 +50,7 @@ def op9(spark, d):
 
 @query("op3_ngram_jaccard_join")
 def op3(spark, d):
-    return ngram_join.similar_groups(table(spark, d, "documents"))
+    return ngram_join.similar_groups(table(spark, d, "documents")).drop("text_hash", "kept")
 
 
 def vocabulary() -> str:

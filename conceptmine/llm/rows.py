@@ -12,14 +12,15 @@ from conceptmine.llm.keyset import key_set
 
 
 def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each group the document whose id names it; repeated rows of one id and text are one document.
+    """Of each group the document that is kept; repeated rows of one id and text are one document.
 
-    ``groups`` has ``doc_id`` and ``component_id``; it must be a written table.
+    ``groups`` has ``doc_id``, ``text_hash`` and ``kept`` of every row; it must be a written table. Rows go
+    by id and text, so other texts of the same id, or without one, stay.
     """
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    gone = groups.where(~F.col("kept")).select("doc_id", "text_hash").distinct()
     twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     some = docs.sparkSession.sparkContext.broadcast(
-        key_set(gone.union(twice).select(F.xxhash64("doc_id").alias("k")), "k"))
+        key_set(gone.select("doc_id").union(twice).select(F.xxhash64("doc_id").alias("k")), "k"))
     hashed = docs.withColumn("_hash", F.xxhash64(doc_id))
 
     def side(wanted: bool):
@@ -32,5 +33,6 @@ def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", te
     plain = hashed.mapInArrow(side(False), hashed.schema).select(*columns)
     maybe = hashed.mapInArrow(side(True), hashed.schema).withColumn("_text_hash", F.xxhash64(text))
     maybe = maybe.dropDuplicates(["_hash", "_text_hash"])
-    left = maybe.alias("d").join(gone.alias("g"), F.col(f"d.{doc_id}").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    same = F.col(f"d.{doc_id}").eqNullSafe(F.col("g.doc_id")) & F.col("d._text_hash").eqNullSafe(F.col("g.text_hash"))
+    left = maybe.alias("d").join(gone.alias("g"), same, "left_anti")
     return plain.union(left.select(*columns))

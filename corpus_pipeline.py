@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest id."""
-    groups = materialize(ngram_join.similar_groups(docs, n=5, num=80, den=100, count_links=False).select("doc_id", "component_id"))
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more) the smallest id and text hash."""
+    groups = materialize(ngram_join.similar_groups(docs, n=5, num=80, den=100, count_links=False).select("doc_id", "text_hash", "kept"))
     return rows.one_per_group(docs, groups)
 
 

@@ -87,6 +87,18 @@ def test_stages_equal_plain_versions(spark, tmp_path):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in run) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_near_copies_go_by_id_and_text(spark):
+    """A copy takes no other text of its id with it, also where there is no id."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    docs = [(1, text("a")), (2, text("a") + " more"), (2, text("b")), (None, text("c")), (None, text("d")), (5, text("d") + " more"),
+            (7, text("e")), (7, text("e") + " more"), (None, None), (2, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()]
+    assert len(got) == len(set(got)) == 7 and set(got) <= set(docs)
+    assert {(1, text("a")), (2, text("b")), (None, text("c")), (None, text("d")), (None, None), (2, "")} < set(got)
+    assert sum(i == 7 for i, _ in got) == 1
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
