@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conceptmine.llm import (
-    decontaminate, licenses, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup, toxicity, weak_quality,
+    decontaminate, licenses, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup, toxicity, vector_codes, weak_quality,
 )
 
 QUERIES = {}
@@ -91,3 +91,33 @@ def op2(spark, d):
 @query("op1_license_scan")
 def op1(spark, d):
     return licenses.scan(table(spark, d, "documents"))
+
+
+def _codes_sql(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    """All distances of all parts to all entries, ``rounds`` times and once more; ``width`` components a part."""
+    x, c = [f"x{i}" for i in range(width)], [f"c{i}" for i in range(width)]
+    apart = " + ".join(f"({a} - {b}) * ({a} - {b})" for a, b in zip(x, c))
+    moved = ", ".join(f"CASE WHEN n IS NULL THEN {b} ELSE (s{i} - ((s{i} % n) + n) % n) // n END AS {b}" for i, b in enumerate(c))
+    sql = f"""
+    WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda v: floor({vector_codes.SCALE} * v::DOUBLE)::BIGINT) AS v FROM embeddings
+                  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+    parts AS (SELECT vec_id, p, {", ".join(f"v[{width} * p + {i + 1}] AS {a}" for i, a in enumerate(x))} FROM kept, range({parts}) t(p)),
+    book0 AS (SELECT p, i, {", ".join(f"{a} AS {b}" for a, b in zip(x, c))} FROM parts JOIN
+              (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM kept QUALIFY i < {entries}) USING (vec_id))"""
+    for r in range(rounds + 1):
+        sql += f""",
+    near{r} AS (SELECT vec_id, p, min(({apart}) * 1000 + i) AS m FROM parts JOIN book{r} USING (p) GROUP BY vec_id, p),
+    sums{r} AS (SELECT p, m % 1000 AS i, count(*) AS n, {", ".join(f"sum({a})::BIGINT AS s{i}" for i, a in enumerate(x))}
+                FROM near{r} JOIN parts USING (vec_id, p) GROUP BY p, m % 1000),
+    book{r + 1} AS (SELECT p, i, {moved} FROM book{r} LEFT JOIN sums{r} USING (p, i))"""
+    return sql + f""",
+    coded AS (SELECT vec_id, string_agg(printf('%02x', m % 1000), '' ORDER BY p) AS code, sum(m // 1000)::BIGINT AS error
+              FROM near{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, label, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+           (SELECT sha256(string_agg(concat_ws(',', {", ".join(c)}), ',' ORDER BY p, i)) FROM book{rounds}) AS codebooks_sha256
+    FROM coded JOIN kept USING (vec_id)"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12(spark, d):
+    return vector_codes.compress(table(spark, d, "embeddings"))
