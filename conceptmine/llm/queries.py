@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conceptmine.llm import (
-    decontaminate, licenses, line_rules, ngram_join, packing, sharding, style_tree, suffix_dedup, toxicity, vector_codes, weak_quality,
+    decontaminate, licenses, line_rules, ngram_join, packing, sharding, simhash, style_tree, suffix_dedup, toxicity, vector_codes,
+    weak_quality,
 )
 
 QUERIES = {}
@@ -121,3 +122,8 @@ def _codes_sql(parts: int = 16, width: int = 4, entries: int = 64, rounds: int =
 @query("op12_vector_codes", _codes_sql())
 def op12(spark, d):
     return vector_codes.compress(table(spark, d, "embeddings"))
+
+
+@query("op11_simhash_near_dedup")
+def op11(spark, d):
+    return simhash.near_duplicates(table(spark, d, "documents"))
