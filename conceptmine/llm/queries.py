@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conceptmine.llm import (
-    decontaminate, licenses, line_rules, ngram_join, packing, sharding, simhash, style_tree, suffix_dedup, toxicity, vector_codes,
-    weak_quality,
+    decontaminate, licenses, line_rules, ngram_join, packing, prefix_trie, sharding, simhash, style_tree, suffix_dedup, toxicity,
+    vector_codes, weak_quality,
 )
 
 QUERIES = {}
@@ -127,3 +127,31 @@ def op12(spark, d):
 @query("op11_simhash_near_dedup")
 def op11(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+# crc32 of a decimal number: the usual table, built by shifts, then byte by byte
+_CRC_TABLE = """(SELECT list(list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY i) FROM range(256) t(i))"""
+
+
+@query("op13_prefix_trie", f"""
+    WITH crc AS (SELECT {_CRC_TABLE} AS t),
+    convs AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+    heads AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295::UBIGINT, list_reduce(
+                  [4294967295::UBIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT),
+                  lambda a, b: xor(a >> 8, t[((xor(a, b) & 255) + 1)::BIGINT]))) % 6 AS h FROM convs, crc),
+    own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS v
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    seqs AS (SELECT h.conv_id, coalesce(b.v[1:h.h], []) || o.v[h.h + 1:] AS s
+             FROM heads h JOIN own o USING (conv_id) LEFT JOIN own b ON b.conv_id = h.base),
+    members AS (SELECT conv_id, s[1:d] AS p, s, d FROM seqs, LATERAL (SELECT unnest(range(len(s) + 1)) AS d)),
+    nodes AS (SELECT p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN (count(*) - 1) * length(p[d].t) ELSE 0 END AS saved,
+              sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends_sha256
+              FROM members GROUP BY p, d),
+    children AS (SELECT p[1:depth - 1] AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+    below AS (SELECT n.p[1:a.d] AS p, count(*) FILTER (c.n IS NULL) AS n_leaves, sum(n.saved)::BIGINT AS saved_tokens
+              FROM nodes n LEFT JOIN children c USING (p), LATERAL (SELECT unnest(range(n.depth + 1)) AS d) a GROUP BY 1)
+    SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+    FROM nodes n JOIN below b USING (p) LEFT JOIN children c USING (p) LEFT JOIN nodes u ON n.depth > 0 AND u.p = n.p[1:n.depth - 1]""")
+def op13(spark, d):
+    return prefix_trie.prefix_trie(table(spark, d, "conversations"))
