@@ -11,8 +11,8 @@ and the total of a subtree is the sum from its enter arc less the sum from its e
 
 One conversation, or the children of one node, may be a third of all rows. Rows are numbered
 within a key from a global sort cut by ranges, running totals go over slices of bounded
-length with what came before added, and joins on such keys are salted. Only the ids in
-``ends_sha256`` of one node are read by one task, in order and as a stream, since a digest is sequential.
+length with what came before added, and joins on such keys are salted. A digest is sequential:
+one task hashes the ids in ``ends_sha256`` of a node, as a stream of texts that many tasks wrote.
 
 Defined results: turns are ordered by turn (null first), then by a hash of role and text;
 null role or text is empty; a row without conv_id belongs to no conversation; repeated rows
@@ -130,32 +130,51 @@ def subtree_sums(arcs: DataFrame) -> DataFrame:
                                     for s, name in (("leaves", "n_leaves"), ("saved", "saved_tokens"))])
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+    """Key and bounds of every run of rows with equal keys."""
+    keys = np.stack([batch.column(i).to_numpy() for i in range(len(_KEY))], axis=1)
+    cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(keys)] if len(keys) else []
+    for a, b in zip(cuts, cuts[1:]):
+        yield tuple(keys[a].tolist()), a, b
+
+
+def _rows(rows: list[tuple], **kinds: pa.DataType) -> pa.RecordBatch:
+    kinds = {**dict.fromkeys(_KEY, pa.int64()), **kinds}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+
 def end_digests(ends: DataFrame) -> DataFrame:
-    """SHA-256 of the conv_ids that end at each node, in decimal and in order, comma-joined."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of the conv_ids that end at each node, in decimal and in order, comma-joined.
+
+    Ids are sorted and written out over all tasks; what one task does alone for a node is to hash
+    the texts of up to a batch of ids each, one after the other.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(3).to_pylist()
+            yield _rows([(*key, ids[a], ",".join(map(str, ids[a:b]))) for key, a, b in _runs(batch)], first=pa.int64(), ids=pa.string())
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for batch in batches:
-            out = []
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
-            ids = batch.column(3).to_numpy()
-            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(ids)] if len(ids) else []
-            for a, b in zip(cuts, cuts[1:]):
-                text = ",".join(map(str, ids[a:b].tolist())).encode()
-                key = tuple(keys[a].tolist())
-                if key == now:
-                    state.update(b"," + text)
-                else:
-                    out += [(*now, state.hexdigest())] if now is not None else []
-                    now, state = key, hashlib.sha256(text)
-            yield rows(out)
-        yield rows([(*now, state.hexdigest())] if now is not None else [])
-
-    def rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 3 + [pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [*_KEY, "sha"])
-
-    ordered = ends.select(*_KEY, "conv_id").repartition(*_KEY).sortWithinPartitions(*_KEY, "conv_id")
-    return ordered.mapInArrow(run, "depth long, k1 long, k2 long, sha string")
+            out, texts = [], batch.column(4)
+            for key, a, b in _runs(batch):
+                if key != now:
+                    out += [(*now, state.hexdigest())] if now else []
+                    now, state = key, None
+                for text in texts.slice(a, b - a):
+                    if state is None:
+                        state = hashlib.sha256()
+                    else:
+                        state.update(b",")
+                    state.update(text.as_buffer())
+            yield _rows(out, sha=pa.string())
+        yield _rows([(*now, state.hexdigest())] if now else [], sha=pa.string())
+
+    kind = "depth long, k1 long, k2 long"
+    ordered = ends.select(*_KEY, "conv_id").repartitionByRange(*_KEY, "conv_id").sortWithinPartitions(*_KEY, "conv_id")
+    texts = ordered.mapInArrow(write, f"{kind}, first long, ids string")
+    return texts.repartition(*_KEY).sortWithinPartitions(*_KEY, "first").mapInArrow(digest, f"{kind}, sha string")
 
 
 def prefix_trie(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role",
