@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
-from conceptmine.operators.similarity import leader_clusters
+from conceptmine.operators.clustering import leader_clusters
 from conceptmine.operators.skew import salted_join
 from conceptmine.session import materialize
 

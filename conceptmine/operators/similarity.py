@@ -1,22 +1,30 @@
-"""Exact cosine threshold joins and greedy leader clustering, partitioned by Spark.
+"""Exact cosine threshold joins, partitioned by Spark.
 
-Both use one plan. A few rows serve as pivots and cut the space into cells. A
-left row lives in the cell of its nearest pivot; a right row is sent to every
-cell that can hold a partner: with unit vectors, cos >= t means a distance of
-at most r = sqrt(2 - 2t), and the triangle inequality gives
+A right side of bounded size (checked by row count and width) is broadcast and left rows
+stream past it. Beyond that, both sides are dealt to pairs of blocks: a task keeps one block of
+left rows and lets a slice of right rows stream past, batch by batch. Left blocks are as large as a
+task can hold, so a right row goes to few of them.
+
+Pivots may cut the space into cells first. A left row lives in the cell of its nearest pivot;
+a right row is needed in every cell that can hold a partner: with unit vectors, cos >= t means
+a distance of at most r = sqrt(2 - 2t), and the triangle inequality gives
 
     d(right, pivot) <= min over pivots of d(right, .) + 2 r
     d(right, pivot) <= radius of the cell's left rows + r.
 
-Cells are cut into blocks of bounded size on both sides, so neither a crowded
-cell nor a large table puts more than two blocks into one task. Small right
-sides (checked by row count and width) skip the shuffle: their matrix is
-broadcast and left rows stream past it.
+Cells are used where a count of those rows shows that they save work; at low thresholds they
+don't, and the blocks of one cell hold everything.
+
+Within a block pair the leading components alone give a bound by Cauchy and Schwarz,
+a . b <= a_head . b_head + |a_rest| |b_rest|, and few pairs are left to compute in full.
+
+Pairs of one table come from a triangle of block pairs: each pair of rows is computed once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
@@ -25,17 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conceptmine.functions import vectors as vx
-from conceptmine.operators.skew import salted_join
-from conceptmine.session import materialize
 
 MAX_BROADCAST_VALUES = 8_000_000  # doubles, 64 MB
+RESIDENT_VALUES = 16_000_000  # components of a left block that a task keeps
 SLICE_VALUES = 4_000_000  # products held at once by a worker
-BLOCK_ROWS = 2048
-TAIL_ROUNDS, TAIL_ROWS = 4, 4096  # after so many rounds, at most so many free rows are settled in one task
+BLOCK_ROWS = 2048  # rows of a block at least, where there are as many
+CELL_SHARE = 4  # cells must leave at most one in so many products
+HEAD_SHARE, HEAD_DIM = 8, 128  # leading components are one in so many, of vectors from this width on
 SLACK = 1e-5  # wider than single-precision error: candidates are decided on the exact double value
 
 
-def _prepared(df: DataFrame, key: str, vec: str) -> DataFrame:
+def prepared(df: DataFrame, key: str, vec: str) -> DataFrame:
     """``(id, vec)`` of the rows that have a direction; the others can match nothing.
 
     Single-precision vectors stay so on the wire, arithmetic is in doubles.
@@ -49,44 +57,109 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64, copy=False)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-class _Side:
+class Side:
     """One side of a block pair: vectors, their lengths, and unit vectors for the first cut."""
 
-    def __init__(self, vectors: np.ndarray) -> None:
+    def __init__(self, vectors: np.ndarray, resident: bool = True) -> None:
         self.vectors = vectors
-        self.lengths = np.sqrt((vectors * vectors).sum(axis=1))
+        self.lengths = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
         self.unit = (vectors / self.lengths[:, None]).astype(np.float32)
-
-    def __getitem__(self, rows) -> _Side:
-        part = object.__new__(_Side)
-        part.vectors, part.lengths, part.unit = self.vectors[rows], self.lengths[rows], self.unit[rows]
+        dim = vectors.shape[1]
+        self.head = None
+        if resident and dim >= HEAD_DIM:
+            # the components that carry most of these vectors
+            self.head = np.argsort(-np.einsum("ij,ij->j", self.unit, self.unit), kind="stable")[:dim // HEAD_SHARE]
+            self.lead, self.rest = _cut(self.unit, self.head)
+
+    def __len__(self) -> int:
+        return len(self.vectors)
+
+    def __getitem__(self, rows) -> Side:
+        part = object.__new__(Side)
+        part.vectors, part.lengths, part.unit, part.head = self.vectors[rows], self.lengths[rows], self.unit[rows], self.head
+        if self.head is not None:
+            part.lead, part.rest = self.lead[rows], self.rest[rows]
         return part
 
 
-def _hits(a: _Side, b: _Side, t: float, strict: bool):
+def _cut(unit: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leading components, and the length of what is left of each vector."""
+    lead = np.ascontiguousarray(unit[:, head])
+    return lead, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", lead, lead))).astype(np.float32)
+
+
+def _candidates(a: Side, b: Side, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that can reach the threshold."""
+    if b.head is not None:
+        lead, rest = _cut(a.unit, b.head)
+        bound = lead @ b.lead.T
+        bound += rest[:, None] * b.rest[None, :]
+        near = bound >= t - SLACK
+        # one pair costs as much alone as some thirty in a matrix product
+        if np.count_nonzero(near) * 32 <= near.size:
+            return np.nonzero(near)
+    return np.nonzero(a.unit @ b.unit.T >= t - SLACK)
+
+
+def hits(a: Side, b: Side, t: float, strict: bool):
     """Index pairs (by row, then column) and scores of the pairs that reach the threshold."""
-    i, j = np.nonzero(a.unit @ b.unit.T >= t - SLACK)
+    i, j = _candidates(a, b, t)
     score = np.empty(len(i))
     # exact values of a bounded number of pairs at a time, whatever the dimension
     step = max(1, SLICE_VALUES // a.vectors.shape[1])
     for at in range(0, len(i), step):
         x, y = i[at:at + step], j[at:at + step]
-        score[at:at + step] = (a.vectors[x] * b.vectors[y]).sum(axis=1) / (a.lengths[x] * b.lengths[y])
+        score[at:at + step] = (a.vectors[x].astype(np.float64, copy=False) * b.vectors[y]).sum(axis=1) / (a.lengths[x] * b.lengths[y])
     keep = score > t if strict else score >= t
     return i[keep], j[keep], score[keep]
 
 
-def _shape(df: DataFrame) -> tuple[int, int]:
+def shape(df: DataFrame) -> tuple[int, int]:
     row = df.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dim")).first()
     return row["n"], row["dim"] or 0
 
 
+class Pairs:
+    """Pairs of a resident block with rows that come past: the work of one block pair."""
+
+    def __init__(self, ids: pa.Array, side: Side, t: float, strict: bool, names: tuple[str, str] = ("left_id", "right_id"),
+                 once: bool = False):
+        self.ids, self.side, self.t, self.strict, self.names, self.once = ids, side, t, strict, names, once
+        #: with ``once`` ids are numbers in ascending order
+        self.order = ids.to_numpy() if once else None
+
+    def feed(self, ids: pa.Array, vectors: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
+        """Pairs of the given rows with the block; of the block's ``own`` rows only the pairs with smaller ids."""
+        step = max(1, SLICE_VALUES // max(1, len(self.side)))
+        for start in range(0, len(ids), step):
+            part = slice(start, start + step)
+            some = ids.slice(start, step)
+            block, most = self.side, len(self.side)
+            if own:
+                order = some.to_numpy()
+                most = int(np.searchsorted(self.order, order.max()))
+                block = self.side[:most]
+            if not most:
+                continue
+            i, j, score = hits(Side(vectors[part], resident=False), block, self.t, self.strict)
+            if own:
+                earlier = self.order[j] < order[i]
+                i, j, score = i[earlier], j[earlier], score[earlier]
+            x, y = self.ids.take(pa.array(j)), some.take(pa.array(i))
+            if self.once:
+                x, y = (pa.array(f(x.to_numpy(), y.to_numpy())) for f in (np.minimum, np.maximum))
+            yield pa.RecordBatch.from_arrays([x, y, pa.array(score)], [*self.names, "score"])
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
+
+
 def similarity_join(
     left: DataFrame, right: DataFrame, threshold: float, strict: bool = False,
     left_key: str = "id", right_key: str = "id", left_vec: str = "vec", right_vec: str = "vec",
@@ -98,44 +171,60 @@ def similarity_join(
     back. Both inputs are read more than once; pass written tables when the
     vectors come from an encoder.
     """
-    a, b = _prepared(left, left_key, left_vec), _prepared(right, right_key, right_vec)
+    a, b = prepared(left, left_key, left_vec), prepared(right, right_key, right_vec)
     schema = f"left_id {_type(a, 'id')}, right_id {_type(b, 'id')}, score double"
-    rows, dim = _shape(b)
+    rows, dim = shape(b)
     if rows == 0:
         return left.sparkSession.createDataFrame([], schema)
-    if rows * dim <= max_broadcast_values:
-        return _broadcast_join(a, b, dim, threshold, strict, schema)
+    if rows * dim > max_broadcast_values:
+        return block_join(a, b, dim, threshold, lambda ids, side: Pairs(ids, side, threshold, strict), schema)
+    table = b.toArrow()  # at most max_broadcast_values doubles, checked
+    small = b.sparkSession.sparkContext.broadcast((table["id"].combine_chunks(), matrix(table["vec"], dim)))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = small.value
+        block = Pairs(ids, Side(vectors), threshold, strict, ("right_id", "left_id"))
+        for batch in batches:
+            for found in block.feed(batch.column("id"), matrix(batch.column("vec"), dim), False):
+                yield found.select(["left_id", "right_id", "score"])
+
+    return a.mapInArrow(match, schema)
 
-    def pairs(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        i, j, score = _hits(_Side(_matrix(lt["vec"], dim)), _Side(_matrix(rt["vec"], dim)), threshold, strict)
-        return pa.table({"left_id": lt["id"].take(i), "right_id": rt["id"].take(j), "score": score})
 
-    return _cell_join(a, b, rows, dim, threshold, pairs, schema)
+def similar_pairs(df: DataFrame, threshold: float, key: str = "ord", vec: str = "vec",
+                  max_broadcast_values: int = MAX_BROADCAST_VALUES) -> DataFrame:
+    """Pairs ``(a, b, score)`` of one table with ``a < b`` and cosine strictly above the threshold; ``key`` is a whole number."""
+    rows = prepared(df, key, vec).withColumn("id", F.col("id").cast("bigint"))
+    n, dim = shape(rows)
+    schema = "a bigint, b bigint, score double"
+    if n == 0:
+        return df.sparkSession.createDataFrame([], schema)
 
+    def pairs(ids: pa.Array, side: Side) -> Pairs:
+        return Pairs(ids, side, threshold, True, ("a", "b"), once=True)
 
-def _broadcast_join(a: DataFrame, b: DataFrame, dim: int, t: float, strict: bool, schema: str) -> DataFrame:
-    table = b.toArrow()  # at most max_broadcast_values doubles, checked by the caller
-    small = b.sparkSession.sparkContext.broadcast((table["id"].combine_chunks(), _matrix(table["vec"], dim)))
+    if n * dim > max_broadcast_values:
+        return block_join(rows, rows, dim, threshold, pairs, schema, once=True)
+    table = rows.toArrow().sort_by("id")  # at most max_broadcast_values doubles, checked
+    small = df.sparkSession.sparkContext.broadcast((table["id"].combine_chunks(), matrix(table["vec"], dim)))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = small.value
-        right = _Side(matrix)
-        step = max(1, SLICE_VALUES // len(matrix))
+        ids, vectors = small.value
+        block = pairs(ids, Side(vectors))
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                i, j, score = _hits(_Side(_matrix(part.column("vec"), dim)), right, t, strict)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(i)), ids.take(pa.array(j)), pa.array(score)],
-                    ["left_id", "right_id", "score"])
+            yield from block.feed(batch.column("id"), matrix(batch.column("vec"), dim), True)
+
+    # in order, so that a batch meets only the rows before it
+    return rows.repartitionByRange("id").sortWithinPartitions("id").mapInArrow(match, schema)
 
-    return a.mapInArrow(match, schema)
 
+# --- block pairs ------------------------------------------------------------------------
 
-def _with_cells(df: DataFrame, pivots: np.ndarray, choose) -> DataFrame:
-    """One row per (row, cell) that ``choose(distances)`` marks; adds ``cell`` and ``dist``."""
+def _with_cells(df: DataFrame, pivots: np.ndarray, choose, vectors: bool = True) -> DataFrame:
+    """One row per (row, cell) that ``choose(distances)`` marks; adds ``cell``, ``dist`` and ``home``, the nearest cell."""
     shared = df.sparkSession.sparkContext.broadcast(_unit(pivots))
-    schema = f"id {_type(df, 'id')}, vec {_type(df, 'vec')}, cell int, dist double"
+    names = ["id", *["vec"] * vectors]
+    schema = ", ".join([*[f"{c} {_type(df, c)}" for c in names], "cell int", "dist double", "home int"])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
@@ -143,13 +232,13 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, choose) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
-                u = _unit(_matrix(part.column("vec"), p.shape[1]))
+                u = _unit(matrix(part.column("vec"), p.shape[1]).astype(np.float64, copy=False))
                 dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (u @ p.T)))
                 row, cell = np.nonzero(choose(dist))
-                picked = part.take(pa.array(row))
+                picked = part.select(names).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [*picked.columns, pa.array(cell.astype(np.int32)), pa.array(dist[row, cell])],
-                    [*batch.schema.names, "cell", "dist"])
+                    [*picked.columns, pa.array(cell.astype(np.int32)), pa.array(dist[row, cell]),
+                     pa.array(dist.argmin(axis=1)[row].astype(np.int32))], [*names, "cell", "dist", "home"])
 
     return df.mapInArrow(assign, schema)
 
@@ -162,193 +251,114 @@ def _nearest(dist: np.ndarray) -> np.ndarray:
     return np.arange(dist.shape[1]) == dist.argmin(axis=1)[:, None]
 
 
-def _cell_join(a: DataFrame, b: DataFrame, b_rows: int, dim: int, t: float, kernel, schema: str) -> DataFrame:
-    """Run ``kernel(left block, right block)`` over all block pairs that can hold a match."""
-    spark = a.sparkSession
-    # pivots grow with the root of the table, within the broadcast budget, and
-    # stay near the number of blocks: more cells than that only add copies
-    wanted = min(b_rows ** 0.5, 4 * b_rows / BLOCK_ROWS, MAX_BROADCAST_VALUES / dim)
-    top = b.select("vec").distinct().orderBy(F.xxhash64("vec")).limit(max(1, int(wanted))).toArrow()
-    pivots = _matrix(top["vec"], dim)
+def _cells(a: DataFrame, b: DataFrame, a_rows: int, b_rows: int, dim: int, t: float, once: bool):
+    """Rows with their cells and the counts of both sides, or None where cells would not save enough work."""
+    # pivots grow with the root of the table, within the broadcast budget, and stay near
+    # the number of blocks: more cells than that only add copies
+    wanted = int(min(b_rows ** 0.5, 4 * b_rows / BLOCK_ROWS, MAX_BROADCAST_VALUES / dim))
+    if wanted < 2:
+        return None
+    top = b.select("vec").distinct().orderBy(F.xxhash64("vec")).limit(wanted).toArrow()
+    pivots = matrix(top["vec"], dim).astype(np.float64, copy=False)
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * t))) + 1e-6
 
     homes = _with_cells(a, pivots, _nearest)
     # one row per pivot
-    left_cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).toPandas()
+    left = homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).toPandas()
     radius = np.full(len(pivots), -np.inf)
-    radius[left_cells["cell"]] = left_cells["radius"]
+    radius[left["cell"]] = left["radius"]
 
     def can_match(dist: np.ndarray) -> np.ndarray:
-        near = dist <= dist.min(axis=1, keepdims=True) + 2 * reach
-        return near & (dist <= radius + reach)
-
-    guests = _with_cells(b, pivots, can_match)
-    right_cells = guests.groupBy("cell").agg(F.count("*").alias("n")).toPandas()
-    grid = left_cells[["cell", "n"]].merge(right_cells, on="cell", suffixes=("_left", "_right"))
-    grid = pd.DataFrame({
-        "cell": grid["cell"].astype("int32"),
-        "left_blocks": np.ceil(grid["n_left"] / BLOCK_ROWS).astype("int32"),
-        "right_blocks": np.ceil(grid["n_right"] / BLOCK_ROWS).astype("int32"),
-    })
-    if grid.empty:
-        return spark.createDataFrame([], schema)
-    # tasks by the work to do: sizes in bytes would put many block pairs into one
-    pairs = int((grid["left_blocks"].astype("int64") * grid["right_blocks"]).sum())
-    tasks = min(pairs, max(spark.sparkContext.defaultParallelism, pairs // 32))
-    grid = F.broadcast(spark.createDataFrame(grid))
-
-    keys = ["cell", "left_block", "right_block"]
-
-    def blocks(df: DataFrame, own: str, other: str) -> DataFrame:
-        """A row's own block by hash; a copy for every block of the other side of its cell."""
-        placed = df.drop("dist").join(grid, "cell").withColumn(own, F.pmod(F.xxhash64("id"), f"{own}s").cast("int"))
-        copies = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
-        return copies.drop("left_blocks", "right_blocks").repartition(tasks, *keys)
-
-    lefts = blocks(homes, "left_block", "right_block").groupBy(*keys)
-    rights = blocks(guests, "right_block", "left_block").groupBy(*keys)
-    return lefts.cogroup(rights).applyInArrow(kernel, schema)
-
-
-def similar_pairs(df: DataFrame, threshold: float, key: str = "ord", vec: str = "vec", **options) -> DataFrame:
-    """Pairs of one table with ``a < b`` and cosine strictly above the threshold."""
-    pairs = similarity_join(df, df, threshold, strict=True, left_key=key, right_key=key,
-                            left_vec=vec, right_vec=vec, **options)
-    return pairs.where(F.col("left_id") < F.col("right_id")).select(
-        F.col("left_id").alias("a"), F.col("right_id").alias("b"), "score")
-
-
-# --- greedy leader clustering ---------------------------------------------------
-
-def _smallest_earlier(ids_a: np.ndarray, a: _Side, ids_b: np.ndarray, b: _Side, t: float) -> np.ndarray:
-    """Per row of ``a`` the smallest earlier id in ``b`` (in id order) with cosine > t, -1 without one."""
-    best = np.full(len(ids_a), -1, dtype=np.int64)
-    # walk the right side in order; a row is done with its first hit
-    step = 512
-    for start in range(0, len(ids_b), step):
-        open_rows = np.flatnonzero((best < 0) & (ids_a > ids_b[start]))
-        if len(open_rows) == 0:
-            continue
-        part = slice(start, start + step)
-        i, j, _ = _hits(a[open_rows], b[part], t, True)
-        rows, ids = open_rows[i], ids_b[part][j]
-        earlier = ids < ids_a[rows]
-        # pairs come ordered by row, then by id: the first of a row is its smallest
-        rows, first = np.unique(rows[earlier], return_index=True)
-        best[rows] = ids[earlier][first]
-    return best
-
-
-def _in_order(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    table = table.sort_by("id")
-    return table["id"].to_numpy(), _matrix(table["vec"], dim)
-
-
-def _with_earliest(left: DataFrame, right: DataFrame, right_rows: int, dim: int, t: float,
-                   max_broadcast_values: int) -> DataFrame:
-    """``left(id, vec)`` plus ``first``: the smallest id of an earlier right row with cosine > t, or null.
-
-    Each block pair returns at most one row per left row, never its pairs.
-    """
-    if right_rows == 0:
-        return left.withColumn("first", F.lit(None).cast("bigint"))
-    if right_rows * dim <= max_broadcast_values:
-        ordered = _in_order(right.select("id", "vec").toArrow(), dim)
-        shared = left.sparkSession.sparkContext.broadcast(ordered)
-
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            side = _Side(matrix)
-            for batch in batches:
-                first = _smallest_earlier(batch.column("id").to_numpy(), _Side(_matrix(batch.column("vec"), dim)),
-                                          ids, side, t)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(first, mask=first < 0)], ["id", "vec", "first"])
-
-        return left.mapInArrow(match, f"id bigint, vec {_type(left, 'vec')}, first bigint")
-
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        ids, (ids_b, matrix) = lt["id"].to_numpy(), _in_order(rt, dim)
-        first = _smallest_earlier(ids, _Side(_matrix(lt["vec"], dim)), ids_b, _Side(matrix), t)
-        return pa.table({"id": ids[first >= 0], "first": first[first >= 0]})
-
-    found = _cell_join(left, right, right_rows, dim, t, kernel, "id bigint, first bigint")
-    return left.join(found.groupBy("id").agg(F.min("first").alias("first")), "id", "left")
+        near = (dist <= dist.min(axis=1, keepdims=True) + 2 * reach) & (dist <= radius + reach)
+        # a pair of one table is looked for in the cell with the lower number
+        return near & (np.arange(len(radius)) <= dist.argmin(axis=1)[:, None]) if once else near
 
+    right = _with_cells(b, pivots, can_match, vectors=False).groupBy("cell").agg(F.count("*").alias("n")).toPandas()
+    sizes = left[["cell", "n"]].merge(right, on="cell", suffixes=("_left", "_right"))
+    work = (sizes["n_left"].astype("float64") * sizes["n_right"]).sum()
+    if work * CELL_SHARE > a_rows * b_rows / (2 if once else 1):
+        return None
+    return homes.drop("dist", "home"), _with_cells(b, pivots, can_match).drop("dist"), sizes
 
-def _tail_leaders(free: DataFrame, dim: int, t: float) -> DataFrame:
-    """Leaders among at most ``TAIL_ROWS`` free rows, by the sequential loop itself."""
-    def loop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).sort_by("id")
-        side = _Side(_matrix(table["vec"], dim))
-        open_rows, leads = np.arange(table.num_rows), []
-        while len(open_rows):
-            first, later = open_rows[:1], open_rows[1:]
-            leads.append(first[0])
-            _, near, _ = _hits(side[first], side[later], t, True)
-            open_rows = np.delete(later, near)
-        yield from table.take(pa.array(leads)).to_batches()
 
-    return free.repartition(1).mapInArrow(loop, f"id bigint, vec {_type(free, 'vec')}")
+def block_join(a: DataFrame, b: DataFrame, dim: int, t: float, work: Callable, schema: str, once: bool = False) -> DataFrame:
+    """Pass every right row by all left blocks that can hold a match.
 
-
-def leader_clusters(
-    df: DataFrame, threshold: float = 0.95, max_broadcast_values: int = MAX_BROADCAST_VALUES,
-    log=None,
-) -> DataFrame:
-    """``df(ord bigint, vec)`` to ``(ord, leader)`` of the sequential greedy clustering.
-
-    The greedy loop lets each still free row take all later free rows with
-    cosine > threshold. Its leaders are the rows without an earlier leader
-    nearby, and every other row belongs to its smallest leader neighbour. That
-    is reached in rounds: a free row without an earlier free neighbour leads; a
-    free row next to an earlier leader is a member.
-
-    Equal vectors collapse to their earliest row first (exact, they share all
-    neighbours). Every round settles at least the earliest free row. A chain of
-    neighbours settles only a few rows per round, so once few rows are left
-    (a fixed bound) one task finishes them. Nothing is cut short.
+    ``work(ids, side)`` makes the consumer of a left block, sorted by id: ``feed(ids, vectors, own)`` is
+    called with right rows sorted by id, ``finish()`` at their end. With ``once`` both sides are the
+    same table, and two blocks meet once; a block meets its ``own`` rows too.
     """
-    if not threshold < 1.0:
-        raise ValueError("threshold must be below 1")
-    rows = df.select(F.col("ord").cast("bigint").alias("ord"), "vec")
-    length = F.coalesce(vx.norm(vx.as_double(F.col("vec"))), F.lit(0.0))
-    rows = materialize(rows.withColumn("blank", (length == 0) | F.isnan(length)))
-    # a row without direction is similar to nothing, not even to its copies
-    alone = rows.where("blank").select("ord", F.col("ord").alias("leader"))
-    solid = rows.where("NOT blank")
-    points = materialize(solid.groupBy("vec").agg(F.min("ord").alias("id")).select("id", "vec"))
-
-    left_over, dim = _shape(points)
-    free, leaders, n_leaders, rounds = points, points.limit(0), 0, 0
-    while left_over:
-        rounds += 1
-        if rounds > TAIL_ROUNDS and left_over <= TAIL_ROWS:
-            last = materialize(_tail_leaders(free, dim, threshold))
-            leaders, n_leaders = leaders.unionByName(last), n_leaders + last.count()
-            break
-        seen = materialize(_with_earliest(free, free, left_over, dim, threshold, max_broadcast_values))
-        new_leaders = seen.where(F.col("first").isNull()).select("id", "vec")
-        rest = seen.where(F.col("first").isNotNull()).select("id", "vec")
-        found = new_leaders.count()
-        leaders, n_leaders = leaders.unionByName(new_leaders), n_leaders + found
-        if rounds % 10 == 0:
-            leaders = materialize(leaders)  # one table instead of a union of ten
-        if found == left_over:
-            break
-        settled = materialize(_with_earliest(rest, new_leaders, found, dim, threshold, max_broadcast_values))
-        free = settled.where(F.col("first").isNull()).select("id", "vec")
-        left_over = free.count()
-        if log:
-            log(f"leader clustering round {rounds}: {left_over} rows free")
-
-    # leaders have no earlier leader nearby, so they own themselves
-    owned = _with_earliest(points, leaders, n_leaders, dim, threshold, max_broadcast_values)
-    owners = owned.select(F.xxhash64("vec").alias("hash"), F.col("vec").alias("own"),
-                          F.coalesce("first", "id").alias("leader"))
-    # sorted and salted by a short hash, decided by the vector; one vector may be shared by a third of all rows
-    placed = salted_join(solid.select(F.xxhash64("vec").alias("hash"), "ord", "vec"), owners, "hash")
-    return placed.where(F.col("vec") == F.col("own")).select("ord", "leader").unionByName(alone)
+    spark = a.sparkSession
+    a_rows, b_rows = a.count(), b.count()
+    if not a_rows or not b_rows:
+        return spark.createDataFrame([], schema)
+    cells = _cells(a, b, a_rows, b_rows, dim, t, once)
+    if cells is None:
+        cell = F.lit(0).alias("cell")
+        lefts, rights = a.select("id", "vec", cell), b.select("id", "vec", cell, F.lit(0).alias("home"))
+        sizes = pd.DataFrame({"cell": [0], "n_left": [a_rows], "n_right": [b_rows]})
+    else:
+        lefts, rights, sizes = cells
+    if sizes.empty:
+        return spark.createDataFrame([], schema)
+
+    # work of a task: enough tasks for all cores, blocks of at least BLOCK_ROWS, a resident block that fits
+    cores = spark.sparkContext.defaultParallelism
+    total = float((sizes["n_left"].astype("float64") * sizes["n_right"]).sum())
+    keep = max(1, RESIDENT_VALUES // dim)
+    block = int(min(keep, max(BLOCK_ROWS, sqrt(total / (4 * cores)))))
+    pass_by = int(max(BLOCK_ROWS, min(8 * keep, total / (4 * cores) / block)))
+    grid = pd.DataFrame({
+        "cell": sizes["cell"].astype("int32"),
+        "blocks": np.ceil(sizes["n_left"] / block).astype("int32"),
+        "slices": np.ceil(sizes["n_right"] / pass_by).astype("int32"),
+    })
+    tasks = int((grid["blocks"].astype("int64") * grid["slices"]).sum())
+    tasks = min(tasks, max(cores, ceil(tasks / 8)))
+    grid = F.broadcast(spark.createDataFrame(grid))  # one row per pivot
+
+    def every(n: str, last=None):
+        return F.explode(F.sequence(F.lit(0), (F.col(n) - 1) if last is None else last))
+
+    own_block, own_slice = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int")
+    # rows of a cell go to its blocks up to their own one where pairs are wanted once; rows of other cells to all
+    at_home = (F.col("home") == F.col("cell")) if once else F.lit(False)
+    keys = ["cell", "block", "slice"]
+    lefts = lefts.join(grid, "cell").select(
+        "id", "vec", "cell", own_block.alias("block"), every("slices").alias("slice"), F.lit(0).alias("comes"))
+    rights = rights.join(grid, "cell").withColumn("last", F.when(at_home, own_block).otherwise(F.col("blocks") - 1)).select(
+        "id", "vec", "cell", every("blocks", F.col("last")).alias("block"), own_slice.alias("slice"), "last", at_home.alias("home"))
+    rights = rights.withColumn("comes", F.when(F.col("home") & (F.col("block") == F.col("last")), 2).otherwise(1)).drop("last", "home")
+    pair = F.shiftleft(F.col("cell").cast("bigint"), 40) + F.shiftleft(F.col("block").cast("bigint"), 20) + F.col("slice")
+    both = lefts.unionByName(rights).select("id", "vec", pair.alias("pair"), "comes").repartition(tasks, "pair")
+    return both.sortWithinPartitions("pair", "comes", "id").mapInArrow(_runner(work, dim), schema)
+
+
+def _runner(work: Callable, dim: int):
+    """Rows sorted by (pair, comes, id): a left block (0), then right rows of others (1) and of the block's own (2)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, consumer = None, [], None
+        for batch in batches:
+            pair, comes = batch.column("pair").to_numpy(), batch.column("comes").to_numpy()
+            cuts = np.r_[0, np.flatnonzero((pair[1:] != pair[:-1]) | (comes[1:] != comes[:-1])) + 1, len(pair)]
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if begin == end:
+                    continue
+                if pair[begin] != now:
+                    if consumer is not None:
+                        yield from consumer.finish()
+                    now, held, consumer = pair[begin], [], None
+                part = batch.slice(begin, end - begin).select(["id", "vec"])
+                if comes[begin] == 0:
+                    held.append(part)
+                    continue
+                if not held and consumer is None:
+                    continue  # a slice for a block without rows
+                if consumer is None:
+                    table = pa.Table.from_batches(held)
+                    held, consumer = [], work(table["id"].combine_chunks(), Side(matrix(table["vec"], dim)))
+                yield from consumer.feed(part.column("id"), matrix(part.column("vec"), dim), bool(comes[begin] == 2))
+        if consumer is not None:
+            yield from consumer.finish()
+
+    return run

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conceptmine.functions import vectors as vx
-from conceptmine.operators import dedup, similarity
+from conceptmine.operators import clustering, dedup, similarity
 from conceptmine.operators.encode import encode_distinct, encoder_column, ngram_encoder
 from conceptmine.operators.ranking import first_wins, last_wins, numbered
 from conceptmine.operators.skew import salted_join
@@ -73,9 +73,57 @@ def test_threshold_is_inclusive_in_joins_and_strict_in_pairs(spark):
     assert strict == {(0, 2)}
 
 
+@pytest.mark.parametrize("dim", [8, 200])
+@pytest.mark.parametrize("t", [0.2, 0.95])
+def test_pairs_of_one_table_come_once(spark, monkeypatch, dim, t):
+    """Broadcast, one cell of blocks, and cells; narrow vectors and such with a leading part."""
+    rng = np.random.default_rng(8)
+    points = clustered(rng, 160, dim, 9, 0.05 if dim > 8 else 0.2)
+    points[:, dim // 2:] *= 0.1
+    sims = cosines(points, points)
+    want = {(i, j) for i, j in zip(*np.nonzero(sims > t)) if i < j}
+    assert len(want) > 100
+    df = frame(spark, points, "ord")
+    for rows, share, limit in ((2048, 4, similarity.MAX_BROADCAST_VALUES), (16, 1e9, 0), (16, 0, 0), (2048, 4, 0)):
+        monkeypatch.setattr(similarity, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(similarity, "CELL_SHARE", share)
+        got = [(r["a"], r["b"]) for r in similarity.similar_pairs(df, t, max_broadcast_values=limit).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert all(abs(r["score"] - sims[r["a"], r["b"]]) < 1e-12 for r in similarity.similar_pairs(df, t).collect())
+
+
+def test_leading_components_leave_out_no_pair():
+    rng = np.random.default_rng(3)
+    a, b = (rng.normal(size=(300, 256)) * np.linspace(3, 0.01, 256) for _ in range(2))
+    b[:50] = a[:50] + 0.1 * rng.normal(size=(50, 256))
+    for t in (0.9, 0.3, -0.2):
+        i, j, _ = similarity.hits(similarity.Side(a), similarity.Side(b), t, False)
+        assert set(zip(i.tolist(), j.tolist())) == set(zip(*[x.tolist() for x in np.nonzero(cosines(a, b) >= t)]))
+
+
+def test_half_the_products_and_few_copies(spark, monkeypatch):
+    """Products of a table with itself, and copies of right rows, at a threshold where cells prune nothing."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(400, 16))
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(similarity, "RESIDENT_VALUES", 16 * 100)
+    seen = spark.sparkContext.accumulator(0)
+    feed = similarity.Pairs.feed
+
+    def counted(self, ids, vectors, own):
+        seen.add(len(self.side) * len(ids) // (2 if own else 1))
+        return feed(self, ids, vectors, own)
+
+    monkeypatch.setattr(similarity.Pairs, "feed", counted)
+    similarity.similar_pairs(frame(spark, points, "ord"), 0.65, max_broadcast_values=0).count()
+    assert seen.value < 0.6 * 400 * 400
+    rows = similarity.prepared(frame(spark, points), "id", "vec")
+    assert similarity._cells(rows, rows, 400, 400, 16, 0.65, False) is None
+
+
 def test_missing_vector_stays_alone(spark):
     df = spark.createDataFrame([(0, None), (1, [1.0]), (2, [2.0])], "ord bigint, vec array<double>")
-    got = {r["ord"]: r["leader"] for r in similarity.leader_clusters(df, 0.5).collect()}
+    got = {r["ord"]: r["leader"] for r in clustering.leader_clusters(df, 0.5).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
 
 
@@ -98,7 +146,7 @@ def test_clusters_equal_the_sequential_loop(spark, monkeypatch, limit):
     monkeypatch.setattr(similarity, "BLOCK_ROWS", 32)
     rng = np.random.default_rng(11)
     points = clustered(rng, 150, 6, 12, 0.35)
-    got = similarity.leader_clusters(frame(spark, points, "ord"), 0.8, max_broadcast_values=limit).collect()
+    got = clustering.leader_clusters(frame(spark, points, "ord"), 0.8, max_broadcast_values=limit).collect()
     assert {r["ord"]: r["leader"] for r in got} == dict(enumerate(greedy(points, 0.8)))
 
 
@@ -108,26 +156,43 @@ def test_chain_copies_and_blank_rows(spark):
     chain = [[np.cos(x), np.sin(x)] for x in angle]
     points = [[0, 0], *chain, *([[5.0, 5.0]] * 6), [0, 0], [10.0, 10.0]]
     logged = []
-    got = similarity.leader_clusters(frame(spark, points, "ord"), np.cos(np.deg2rad(21)), log=logged.append).collect()
+    got = clustering.leader_clusters(frame(spark, points, "ord"), np.cos(np.deg2rad(21)), log=logged.append).collect()
     assert {r["ord"]: r["leader"] for r in got} == dict(enumerate(greedy(points, np.cos(np.deg2rad(21)))))
     assert logged
 
 
-@pytest.mark.parametrize("tail", [4096, 0])
-def test_long_sorted_chain(spark, monkeypatch, tail):
-    """Each row is close only to the next: every round settles two rows, the tail all of them."""
-    monkeypatch.setattr(similarity, "TAIL_ROWS", tail)
-    angle = np.deg2rad(np.arange(0, 32, 2))
-    points, t = np.stack([np.cos(angle), np.sin(angle)], axis=1), np.cos(np.deg2rad(2.5))
+def line(n, turn):
+    angle = np.deg2rad(np.arange(n) * turn)
+    return np.stack([np.cos(angle), np.sin(angle)], axis=1)
+
+
+@pytest.mark.parametrize("limit", [similarity.MAX_BROADCAST_VALUES, 0])
+def test_long_sorted_chain_takes_rounds_by_its_logarithm(spark, monkeypatch, limit):
+    """Each row is close only to the next."""
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 512)
+    n = 10_000 if limit else 1000
+    points, t = line(n, 340 / n), np.cos(np.deg2rad(1.5 * 340 / n))
     logged = []
-    got = similarity.leader_clusters(frame(spark, points, "ord"), t, log=logged.append).collect()
-    assert {r["ord"]: r["leader"] for r in got} == dict(enumerate(greedy(points, t)))
-    assert len(logged) == (4 if tail else 8)
+    got = clustering.leader_clusters(frame(spark, points, "ord"), t, limit, log=logged.append).collect()
+    assert {r["ord"]: r["leader"] for r in got} == {i: i - i % 2 for i in range(n)}
+    assert len(logged) < 20
+
+
+@pytest.mark.parametrize("limit, listed", [(similarity.MAX_BROADCAST_VALUES, (1, 0)), (0, (3, 0))])
+def test_crowded_rows_are_listed_again(spark, monkeypatch, limit, listed):
+    """Rows next to more others than are listed: a sorted line, where the list holds members only."""
+    monkeypatch.setattr(clustering, "LEAST_LISTED", listed[0])
+    monkeypatch.setattr(clustering, "LISTED", listed[1])
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 16)
+    rng = np.random.default_rng(2)
+    for points, t in ((line(25, 4), np.cos(np.deg2rad(17))), (clustered(rng, 90, 5, 3, 0.3), 0.7)):
+        got = clustering.leader_clusters(frame(spark, points, "ord"), t, limit).collect()
+        assert {r["ord"]: r["leader"] for r in got} == dict(enumerate(greedy(points, t)))
 
 
 def test_threshold_must_be_below_one(spark):
     with pytest.raises(ValueError):
-        similarity.leader_clusters(frame(spark, [[1, 0]], "ord"), 1.0)
+        clustering.leader_clusters(frame(spark, [[1, 0]], "ord"), 1.0)
 
 
 CONCEPT = ("ord bigint, name string, summary string, docstring string, source_code string, type string, "
@@ -208,7 +273,7 @@ def test_many_hot_keys_are_all_spread(spark):
 @pytest.mark.parametrize("limit", [similarity.MAX_BROADCAST_VALUES, 0])
 def test_vectors_that_are_no_numbers_stay_alone(spark, limit):
     df = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [float("nan"), 1.0]), (3, [1.0, 0.0]), (4, [1.0, 0.0])], "ord long, vec array<double>")
-    got = {r["ord"]: r["leader"] for r in similarity.leader_clusters(df, 0.9, limit).collect()}
+    got = {r["ord"]: r["leader"] for r in clustering.leader_clusters(df, 0.9, limit).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 3}
     pairs = similarity.similarity_join(df, df, 0.5, left_key="ord", right_key="ord", max_broadcast_values=limit)
     assert sorted((r["left_id"], r["right_id"]) for r in pairs.collect()) == [(3, 3), (3, 4), (4, 3), (4, 4)]
@@ -216,9 +281,9 @@ def test_vectors_that_are_no_numbers_stay_alone(spark, limit):
 
 def test_exact_check_holds_a_bounded_number_of_products():
     import tracemalloc
-    side = similarity._Side(np.ones((800, 768)))
+    side = similarity.Side(np.ones((800, 768)))
     tracemalloc.start()
-    i, _, _ = similarity._hits(side, side, 0.9, False)
+    i, _, _ = similarity.hits(side, side, 0.9, False)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(i) == 800 * 800 and peak < 150e6  # all products at once would take 3.9 GB

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
 from conceptmine.functions import vectors as vx
-from conceptmine.operators import code, dedup, repos, similarity
+from conceptmine.operators import clustering, code, dedup, repos, similarity
 from conceptmine.operators.encode import encode_distinct
 from conceptmine.operators.ranking import first_wins, numbered
 from conceptmine.plans import pipeline
@@ -327,7 +327,7 @@ clusters AS (SELECT a.ord, b.ord AS leader FROM nodes a, final f JOIN nodes b ON
 
 @query("leader_clusters", f"WITH RECURSIVE {_VEC}, {_greedy('v', 0.35)} SELECT ord, leader FROM clusters")
 def leader_clusters(spark, d):
-    return similarity.leader_clusters(vectors(spark, d), 0.35)
+    return clustering.leader_clusters(vectors(spark, d), 0.35)
 
 
 def part_vectors(spark, d):
@@ -340,7 +340,7 @@ texts AS (SELECT ord, p_name, {sql_letter_profile('p_name')} AS vec FROM names),
 SELECT p.p_partkey AS ord, c.leader FROM part p JOIN names n USING (p_name) JOIN clusters c ON n.ord = c.ord""")
 def leader_clusters_copies(spark, d):
     """Very many rows share few texts: copies collapse before anything is compared."""
-    return similarity.leader_clusters(part_vectors(spark, d), 0.80)
+    return clustering.leader_clusters(part_vectors(spark, d), 0.80)
 
 
 def vector_concepts(spark, d):
@@ -363,7 +363,7 @@ best AS (SELECT * FROM full_rows QUALIFY row_number() OVER (PARTITION BY leader
 
 @query("best_of_cluster", f"WITH RECURSIVE {_VEC}, {_BEST} SELECT leader AS cluster, '/fw/m.c' || ord AS name FROM best")
 def best_of_cluster(spark, d):
-    clusters = similarity.leader_clusters(vectors(spark, d), 0.35)
+    clusters = clustering.leader_clusters(vectors(spark, d), 0.35)
     rows = vector_concepts(spark, d).join(clusters.withColumnRenamed("leader", "cluster"), "ord")
     return dedup.best_of_cluster(rows).select("cluster", "name")
 
