@@ -27,6 +27,9 @@ MATCH = T.StructType([
     T.StructField("similarity_score", T.StringType()),
 ])
 
+# The same table where scores are numbers already.
+MATCH_TABLE = T.StructType([*MATCH.fields[:-1], T.StructField("similarity_score", T.DoubleType())])
+
 CATALOGUE_FIELDS = ["name", "intent", "alias", "context", "forces", "solution", "result"]
 CATALOGUE = T.StructType([T.StructField(f, T.StringType()) for f in CATALOGUE_FIELDS])
 

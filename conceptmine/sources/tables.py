@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from conceptmine import schemas
 from conceptmine.functions import text as tx
+from conceptmine.sources.records import read_quoted
 from conceptmine.sources.scan import path_exists
 
 # Quotes are doubled inside quoted fields and fields may span lines.
@@ -89,13 +90,19 @@ def with_origin(matches: DataFrame) -> DataFrame:
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:
-    """The ``;`` match table; a missing or empty one is an error."""
+    """The ``;`` match table, each file read by as many tasks as it has splits; a missing or empty one is an error."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"match table not found: {path}")
-    rows = _csv(spark, path, schemas.MATCH, sep=";")
-    if not rows.inputFiles() or spark.read.text(path).isEmpty():
+    if spark.read.text(path).isEmpty():
         raise ValueError(f"match table is empty: {path}")
-    return with_origin(rows)
+    return with_origin(read_quoted(spark, path, schemas.MATCH, sep=";"))
+
+
+def read_match_table(spark: SparkSession, path: str) -> DataFrame:
+    """The match table in Parquet, the form that jobs pass on; a missing one is an error."""
+    if not path_exists(spark, path):
+        raise FileNotFoundError(f"match table not found: {path}")
+    return with_origin(spark.read.schema(schemas.MATCH_TABLE).parquet(path))
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
