@@ -39,13 +39,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/conceptmine-shared"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/conceptmine-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage: write a Parquet table to the shared folder and read it back.
 
     Computed once (an eager checkpoint computes twice), survives lost
     executors, and later reads prune columns and know their size.
     """
-    path = f"{shared_dir(df.sparkSession)}/conceptmine-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +20,21 @@ def _lenient_utf8(content: pa.Array) -> pa.Array:
     return pa.array([None if b is None else _text(b) for b in content.to_pylist()], pa.string())
 
 
+def is_utf8(content: Column) -> Column:
+    return F.is_valid_utf8(content.cast("string"))
+
+
+def decode_strict(content: Column) -> Column:
+    """UTF-8 text with ``\\n`` line ends; null where the bytes are none."""
+    return F.when(is_utf8(content), F.regexp_replace(content.cast("string"), "\r\n?", "\n"))
+
+
 def decode_lenient(content: Column) -> Column:
-    """UTF-8 text with bad bytes dropped (``cast`` would keep them) and ``\\n`` line ends."""
-    return _lenient_utf8(content)
+    """UTF-8 text with bad bytes dropped (``cast`` would keep them) and ``\\n`` line ends.
+
+    Python sees the content of files with bad bytes only.
+    """
+    return F.coalesce(decode_strict(content), _lenient_utf8(F.when(~is_utf8(content), content)))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -60,16 +72,34 @@ def _quote(literal: str) -> str:
     return "\\Q" + literal + "\\E"
 
 
-def scan_scripts(spark: SparkSession, root: str, skip_dirs: list[str] | None = None) -> DataFrame:
-    """Every ``*.py`` below ``root``: ``(path, project, text)``."""
-    files = scan_files(spark, root, "*.py", skip_dirs)
-    return files.select("path", tx.project_of(F.col("path")).alias("project"),
-                        decode_lenient(F.col("content")).alias("text"))
+def scan_scripts(spark: SparkSession, root: str, skip_dirs: list[str] | None = None, glob: str = "*.py",
+                 strict: bool = False, seen: Observation | None = None) -> DataFrame:
+    """Every script below ``root``: ``(path, project, text)``.
+
+    ``strict`` leaves out files that are no UTF-8, as modules of an SDK are; otherwise their bad bytes
+    go. ``seen`` gets ``files`` that could be read and ``bad`` ones among them when the rows are
+    used; ``unreadable`` compares that with what is there.
+    """
+    files = scan_files(spark, root, glob, skip_dirs)
+    if seen is not None:
+        files = files.observe(seen, F.count("*").alias("files"), F.count_if(~is_utf8(F.col("content"))).alias("bad"))
+    text = decode_strict(F.col("content")) if strict else decode_lenient(F.col("content"))
+    scripts = files.select("path", tx.project_of(F.col("path")).alias("project"), text.alias("text"))
+    return scripts.where(F.col("text").isNotNull()) if strict else scripts
+
+
+def unreadable(spark: SparkSession, root: str, glob: str, seen: Observation) -> int:
+    """Files below ``root`` that a scan with ``seen`` and without skipped folders had to leave out.
+
+    Contents are not read; files without any are in no scan.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return listed.where("length > 0").select("path").count() - seen.get["files"]
 
 
-def scan_notebooks(spark: SparkSession, root: str, skip_dirs: list[str] | None = None) -> DataFrame:
-    """Every ``*.ipynb`` below ``root``: ``(path, project, modified, text)``."""
-    files = scan_files(spark, root, "*.ipynb", skip_dirs)
+def scan_notebooks(spark: SparkSession, root: str, skip_dirs: list[str] | None = None, glob: str = "*.ipynb") -> DataFrame:
+    """Every notebook below ``root``: ``(path, project, modified, text)``."""
+    files = scan_files(spark, root, glob, skip_dirs)
     return files.select("path", tx.project_of(F.col("path")).alias("project"), "modified",
                         decode_lenient(F.col("content")).alias("text"))
 

@@ -57,12 +57,12 @@ def read_pattern_column(spark: SparkSession, path: str, column: str = "pattern")
     return pattern_names(rows.select(F.col(column).alias("pattern")))
 
 
-def read_concepts_json(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Concept arrays in JSON; rows lacking a name or a summary are dropped."""
+def read_concepts_json(spark: SparkSession, paths: list[str], lines: bool = False) -> DataFrame:
+    """Concept arrays in JSON, or one concept a line as ``write_concepts_json`` leaves them; rows lacking a name or a summary are dropped."""
     found = [p for p in paths if path_exists(spark, p)]
     if not found:
         return spark.createDataFrame([], schemas.CONCEPT)
-    rows = spark.read.schema(schemas.CONCEPT).json(found, multiLine=True)
+    rows = spark.read.schema(schemas.CONCEPT).json(found, multiLine=not lines)
     return rows.where(F.col("name").isNotNull() & F.col("summary").isNotNull())
 
 

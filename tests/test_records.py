@@ -77,3 +77,33 @@ def test_empty_files(spark, tmp_path):
     assert records.read_quoted(spark, str(tmp_path / "e.csv"), schemas.MATCH).count() == 0
     with pytest.raises(ValueError):
         tables.read_matches(spark, str(tmp_path / "e.csv"))
+
+
+def test_scripts_with_bad_bytes_and_unreadable_files(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from conceptmine.sources import scan
+    (tmp_path / "p").mkdir()
+    files = {"good.py": "a = 'é'\r\nb\rc\n".encode(), "bad.py": b"x = '\xff\xfe'\r\ny\n", "empty.py": b"", "none.txt": b"z"}
+    for name, content in files.items():
+        (tmp_path / "p" / name).write_bytes(content)
+    seen = Observation()
+    got = {r.path: (r.project, r.text) for r in scan.scan_scripts(spark, str(tmp_path), seen=seen).collect()}
+    assert got == {"p/good.py": ("p", "a = 'é'\nb\nc\n"), "p/bad.py": ("p", "x = ''\ny\n")}
+    assert seen.get == {"files": 2, "bad": 1} and scan.unreadable(spark, str(tmp_path), "*.py", seen) == 0
+    strict = {r.path for r in scan.scan_scripts(spark, str(tmp_path), strict=True).collect()}
+    assert strict == {"p/good.py"}
+    # a file that goes after it was listed: the scan leaves it out, the count shows it
+    lost = Observation()
+    rows = scan.scan_scripts(spark, str(tmp_path), seen=lost)
+    (tmp_path / "p" / "bad.py").unlink()
+    assert rows.count() == 1
+    (tmp_path / "p" / "bad.py").write_bytes(files["bad.py"])
+    assert scan.unreadable(spark, str(tmp_path), "*.py", lost) == 1
+
+
+def test_python_sees_files_with_bad_bytes_only(spark, tmp_path):
+    from conceptmine.sources import scan
+    (tmp_path / "a.py").write_bytes(b"x")
+    plan = scan.scan_scripts(spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "CASE WHEN NOT is_valid_utf8" in plan
