@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conceptmine.operators import code
 from conceptmine.sources import notebooks
-from conceptmine.streaming.convert import start_conversion
+from conceptmine.streaming.convert import scripts, start_conversion
 
 MODULE = '''
 import x
@@ -212,11 +212,34 @@ def test_shell_forms_keep_the_notebook(spark):
     assert "x = (9\n%name)" in got["10.py"]
 
 
-def test_file_stream_converts_new_notebooks_only(spark, tmp_path):
-    root, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+def test_stream_converts_new_and_changed_notebooks_once(spark, tmp_path):
+    import os
+    root, out, ckpt = tmp_path / "in", tmp_path / "out", tmp_path / "ckpt"
     (root / "p").mkdir(parents=True)
-    for i, name in enumerate(("one", "two")):
-        (root / "p" / f"{name}.ipynb").write_text(notebook(("code", f"f({i})", 1)))
-        start_conversion(spark, str(root), out, ckpt).awaitTermination(60)
-        assert spark.read.parquet(out).count() == i + 1
-    assert spark.read.parquet(out).where(F.contains("text", F.lit("f(1)"))).count() == 1
+
+    def put(name, text, at):
+        (root / "p" / f"{name}.ipynb").write_text(text)
+        os.utime(root / "p" / f"{name}.ipynb", (at, at))
+
+    def run():
+        start_conversion(spark, str(root), str(out), str(ckpt)).awaitTermination(60)
+        written = spark.read.option("basePath", str(out)).parquet(str(out)) if out.exists() else None
+        newest = {r.path: r.text.split("\n")[-3] for r in scripts(spark, str(out)).collect()}
+        return written.count(), newest
+
+    put("one", notebook(("code", "f(1)", 1)), 1000)
+    put("two", notebook(("code", "f(2)", 1)), 1001)
+    put("bad", "{broken", 1002)
+    assert run() == (2, {"p/one.py": "f(1)", "p/two.py": "f(2)"})
+    assert run()[0] == 2  # nothing new
+    put("one", notebook(("code", "f(11)", 1)), 2000)  # the same name, changed
+    put("three", notebook(("code", "f(3)", 1)), 500)  # new, with an old time
+    want = (4, {"p/one.py": "f(11)", "p/two.py": "f(2)", "p/three.py": "f(3)"})
+    assert run() == want and run() == want
+    # a batch that was written but not committed runs again, and adds nothing
+    commits = sorted((ckpt / "stream" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert run() == want
+    put("bad", notebook(("code", "f(4)", 1)), 3000)  # readable now
+    assert run()[0] == 5
