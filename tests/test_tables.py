@@ -38,6 +38,39 @@ def test_lookup_tiers(spark):
     assert sorted(rows(lookup.unclassified(resolved))) == [("/fw/c.None", "s"), ("/fw/no.Pattern", "s")]
 
 
+@pytest.mark.parametrize("chars", [lookup.MAX_KEY_CHARS, 0])
+def test_lookup_by_trie_and_by_joins(spark, chars):
+    """Both ways against a loop over all keys."""
+    import random
+    rnd = random.Random(6)
+    text = lambda: "".join(rnd.choice("ab./é") for _ in range(rnd.randrange(1, 7)))
+    kb = [(0, i, text(), rnd.choice(["P1", "P2", "N/A", "P3"])) for i in range(40)]
+    names = [text() + rnd.choice(["", text()]) for _ in range(150)] + [None, ""]
+    keys = {}
+    for _, _, n, p in kb:
+        keys[n] = p
+    short = lambda n: n.split("/")[-1].split(".")[-1]
+    shorts = {short(n): p for n, p in keys.items()}
+
+    def plain(n):
+        if n is None:
+            return None, None
+        if n in keys:
+            return keys[n], "full"
+        if short(n) in shorts:
+            return shorts[short(n)], "short"
+        found = next((p for k, p in keys.items() if n.endswith(k)), None)
+        return found, "suffix" if found else "none"
+
+    mapped = lookup.pattern_map(spark.createDataFrame(kb, KB))
+    concepts = spark.createDataFrame([(n, i, "old") for i, n in enumerate(names)], "name string, i int, pattern string")
+    got = {r.i: (r.pattern, r.tier) for r in lookup.resolve_patterns(concepts, mapped, chars).collect()}
+    want = {i: (None if p == "N/A" else p, t) for i, (p, t) in enumerate(map(plain, names))}
+    assert got == want and {t for _, t in want.values()} == {"full", "short", "suffix", "none", None}
+    none = lookup.resolve_patterns(concepts, mapped.limit(0), chars)
+    assert {(r.pattern, r.tier) for r in none.collect()} == {(None, "none"), (None, None)}
+
+
 def test_duplicate_keys_keep_first_place_and_last_value(spark):
     kb = spark.createDataFrame([
         (0, 1, "ab", "old"), (0, 2, "b", "B"), (1, 1, "ab", "new"), (1, 2, "x.n", "N1"), (2, 1, "y.n", "N2")], KB)
