@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
@@ -94,18 +94,24 @@ NEEDS_PATTERNS = {
 
 
 def write_report(matches: DataFrame, defined: DataFrame, watched: DataFrame, folder: str) -> list[str]:
-    """Write every table that has content; the per-framework tables are one partitioned write."""
-    any_pattern = not stats.with_pattern(matches).isEmpty()
+    """Write every table that has content; the per-framework tables are one partitioned write.
+
+    The matches are read once: all tables are made from the matches counted by ``stats.GRAIN``.
+    """
+    seen = Observation()
+    base = stats.base(matches.observe(seen, F.count_if(tx.to_null(F.col("pattern")).isNotNull()).alias("patterns")))
+    any_pattern = seen.get["patterns"] > 0
     written = []
-    for name, table in report_tables(matches, defined, watched).items():
+    for name, table in report_tables(base, defined, watched).items():
         if name in NEEDS_PATTERNS and not any_pattern:
             continue
-        if name == "unmatched_patterns" and table.isEmpty():
-            continue
-        _csv(table, f"{folder}/{name}")
-        written.append(name)
+        rows = Observation()
+        _csv(table.observe(rows, F.count("*").alias("n")), f"{folder}/{name}")
+        # an empty table stays in the folder, so that nothing of an earlier run is left there, but is not reported
+        if name != "unmatched_patterns" or rows.get["n"]:
+            written.append(name)
     if any_pattern:
-        per_framework = stats.patterns_in_frameworks(matches).select(
+        per_framework = stats.patterns_in_frameworks(base).select(
             F.lower("framework").alias("framework"), "pattern", F.col("matches").alias("count"))
         per_framework.write.mode("overwrite").partitionBy("framework").options(**CSV).csv(
             f"{folder}/patterns_in_frameworks")

@@ -137,6 +137,37 @@ def test_report_tables(spark, matches):
     assert rows(stats.found_watched(matches, watched)) == [("P2",)]
 
 
+def test_tables_from_matches_and_from_their_base_are_equal(spark, matches):
+    base = stats.base(matches)
+    assert base.count() == 4 and base.where("pattern = 'P1'").select("_n", "_scored").first() == (2, 2)
+    for fn in (stats.source_table, stats.adoption_table, stats.top_concepts, stats.patterns_in_frameworks, stats.concept_counts,
+               lambda m: stats.counts_by(m, "project"), lambda m: stats.mean_score_by(m, "match_type"), lambda m: stats.watch_list(m, names(spark, "P1"))):
+        assert rows(fn(base)) == rows(fn(matches))
+
+
+def test_adoption_names_may_be_bounded(spark):
+    df = tables.with_origin(spark.createDataFrame(
+        [(f"p{i}/a.py", "/f/a", "P" if i else "Q", "name", "t", "0.5") for i in range(6)], FACTS))
+    assert rows(stats.adoption_table(df, 2)) == [("P", 5, 5, "p1, p2 (+3 more)"), ("Q", 1, 1, "p0")]
+    assert rows(stats.adoption_table(df))[0] == ("P", 5, 5, "p1, p2, p3, p4, p5")
+    assert stats.adoption_projects(df).count() == 6
+
+
+def test_overview_reads_the_matches_once_and_expands_nothing(spark, tmp_path, matches):
+    matches.write.parquet(str(tmp_path / "m"))
+    read = spark.read.parquet(str(tmp_path / "m"))
+    written = []
+    keep, stats.materialize = stats.materialize, lambda df: written.append(df) or keep(df)
+    try:
+        out = [stats.overview(read), stats.basic_statistics(read, names(spark, "P1"))]
+    finally:
+        stats.materialize = keep
+    assert len(written) == 2
+    for df in out:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Expand" not in plan and str(tmp_path / "m") not in plan
+
+
 # --- coverage ---------------------------------------------------------------------------------
 
 @pytest.fixture
