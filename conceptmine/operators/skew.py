@@ -11,6 +11,7 @@ HOT_ROWS = 100_000
 
 def salted_join(
     left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Join on ``key``; left rows of hot keys are spread over slices.
 
@@ -18,12 +19,16 @@ def salted_join(
     (and at least ``hot_rows``), so there can be no more hot keys than partitions:
     that bounds their table, which is broadcast, and leaves no hot key out. A
     slice is one partition's share. Only right rows of hot keys are repeated, once
-    per slice. ``left`` is read twice: pass a written table.
+    per slice. ``left`` is read twice more to count its keys: pass a written table, or the
+    rows of each key as ``counts(key, _n)`` where they are known already.
     """
     spark = left.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    share = max(hot_rows, -(-left.count() // partitions))
-    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > share).select(
+    total = left.count() if counts is None else counts.agg(F.sum("_n")).first()[0] or 0
+    share = max(hot_rows, -(-total // partitions))
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") > share).select(
         key, F.ceil(F.col("_n") / share).cast("int").alias("_slices"))
     # rows of one key must differ somewhere to spread: hash all their columns
     others = [c for c in left.columns if c != key] or [key]

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from conceptmine.functions import text as tx
 from conceptmine.operators import code, dedup, lookup
-from conceptmine.operators.encode import encode_distinct, text_key
+from conceptmine.operators.encode import EncoderStage, encode_distinct, text_key, with_vectors
 from conceptmine.operators.ranking import numbered
 from conceptmine.operators.similarity import similarity_join
 from conceptmine.operators.skew import salted_join
 from conceptmine.session import materialize
 
-Encode = Callable[[Column], Column]
+Encode = Callable[[Column], Column] | EncoderStage
 
 NAME_THRESHOLD = 0.90
 SUMMARY_THRESHOLD = 0.65
@@ -35,37 +35,48 @@ def mine(files: DataFrame, profile: code.Profile, encode: Encode,
     return dedup.semantic_dedup(encoded, threshold)
 
 
-def _matches(uses: DataFrame, concepts: DataFrame, concept_text: str, encode: Encode, threshold: float) -> DataFrame:
-    """``uses(path, text)`` against concepts: every text and every concept text is encoded once."""
-    texts = materialize(encode_distinct(uses, "text", encode).select("key", "vec"))
+def _hits(texts: DataFrame, key: str, concepts: DataFrame, concept_text: str, encode: Encode, threshold: float) -> DataFrame:
+    """``(key, name, pattern, similarity_score)`` of encoded texts; every concept text is encoded once."""
     targets = materialize(encode_distinct(concepts, concept_text, encode).select("key", "vec"))
-    pairs = similarity_join(texts, targets, threshold, left_key="key", right_key="key").select(
-        F.col("left_id").alias("key"), F.col("right_id").alias("concept_key"), F.col("score").alias("similarity_score"))
+    pairs = similarity_join(texts, targets, threshold, left_key=key, right_key="key").select(
+        F.col("left_id").alias(key), F.col("right_id").alias("concept_key"), F.col("score").alias("similarity_score"))
     named = concepts.select(text_key(F.col(concept_text)).alias("concept_key"), "name", "pattern")
-    hits = pairs.join(named, "concept_key").drop("concept_key")
-    # a few names ('print', 'range') are used by very many files
-    return salted_join(uses.withColumn("key", text_key(F.col("text"))), hits, "key").drop("key")
+    # many concepts may share a text
+    return salted_join(materialize(named), pairs, "concept_key").drop("concept_key")
 
 
 def match(scripts: DataFrame, resolved: DataFrame, encode: Encode, name_threshold: float = NAME_THRESHOLD,
           summary_threshold: float = SUMMARY_THRESHOLD) -> DataFrame:
-    """Scripts ``(path, text)`` and resolved concepts to the match table."""
+    """Scripts ``(path, text)`` and resolved concepts to the match table.
+
+    The corpus is read and parsed once. Names are short and repeat, so they are counted and
+    encoded once each; comment blocks are long and encoded where they are. What moves of a
+    block is its vector and the part that is shown.
+    """
     resolved = materialize(resolved)
-    # the corpus is read and parsed once; both kinds of text come from this table
-    features = materialize(scripts.select(
-        "path", code.callees(F.col("text")).alias("elements"), tx.comment_block(F.col("text")).alias("block")))
-    calls = features.select("path", F.explode("elements").alias("text"))
-    blocks = features.where(F.col("block") != "").select("path", F.col("block").alias("text"))
-    by_name = _matches(calls, resolved, "short_name", encode, name_threshold)
-    by_summary = _matches(blocks, resolved, "summary", encode, summary_threshold)
-
-    def rows(df: DataFrame, kind: str, shown: Column) -> DataFrame:
+    # a null vector stands for the block of a script without comments
+    parsed = scripts.select("path", code.callees(F.col("text")).alias("elements"), F.nullif(
+        tx.comment_block(F.col("text")), F.lit("")).alias("block"))
+    features = materialize(with_vectors(parsed, "block", encode).select(
+        F.monotonically_increasing_id().alias("script"), "path", "elements", "vec",
+        tx.truncated_comment(F.col("block")).alias("shown")))
+
+    calls = features.select("path", F.explode("elements").alias("element"))
+    names = materialize(with_vectors(calls.groupBy("element").agg(F.count("*").alias("_n")), "element", encode))
+    # a few names ('print', 'range') are used by very many files
+    by_name = salted_join(calls, _hits(names, "element", resolved, "short_name", encode, name_threshold), "element",
+                          counts=names.select("element", "_n")).withColumnRenamed("element", "matched_text")
+
+    blocks = features.where(F.col("vec").isNotNull())
+    found = _hits(blocks, "script", resolved, "summary", encode, summary_threshold)
+    by_summary = blocks.select("script", "path", F.col("shown").alias("matched_text")).join(found, "script")
+
+    def rows(df: DataFrame, kind: str) -> DataFrame:
         return df.select(
             F.col("path").alias("file_path"), F.col("name").alias("concept_name"), "pattern",
-            F.lit(kind).alias("match_type"), shown.alias("matched_text"), "similarity_score")
+            F.lit(kind).alias("match_type"), "matched_text", "similarity_score")
 
-    return rows(by_name, "name", F.col("text")).unionByName(
-        rows(by_summary, "summary", tx.truncated_comment(F.col("text"))))
+    return rows(by_name, "name").unionByName(rows(by_summary, "summary"))
 
 
 def label(concepts: DataFrame, kb: DataFrame) -> DataFrame:

@@ -241,6 +241,17 @@ def test_encoder_is_deterministic_and_sees_each_text_once(spark):
     assert rows["hadamard gate"] == ngram_encoder(32)()(["hadamard gate"])[0].tolist()
 
 
+def test_encoder_stage_works_in_place_and_keeps_nulls(spark):
+    from conceptmine.operators.encode import EncoderStage, with_vectors
+    texts = spark.createDataFrame([(i, None if i % 3 == 0 else f"text {i}") for i in range(20)], "i int, t string").coalesce(2)
+    stage, column = EncoderStage(ngram_encoder(16), batch=4), encoder_column(ngram_encoder(16))
+    out = [{r.i: r.vec for r in with_vectors(texts, "t", e).collect()} for e in (stage, column)]
+    assert out[0] == out[1] and [i for i, v in out[0].items() if v is None] == [0, 3, 6, 9, 12, 15, 18]
+    assert out[0][1] == ngram_encoder(16)()(["text 1"])[0].tolist()
+    plan = with_vectors(texts, "t", stage)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+
+
 def test_first_and_last_win(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 1, "z"), ("a", 3, None)], "k string, o int, v string")
     assert sorted(map(tuple, first_wins(df, ["k"], [F.col("o")]).collect())) == [("a", 1, "y"), ("b", 1, "z")]
