@@ -21,6 +21,9 @@ from conceptmine.functions import text as tx
 from conceptmine.operators.ranking import first_wins
 from conceptmine.session import materialize
 
+# Characters of modules whose definitions are held at once, about.
+BATCH_CHARS = 4_000_000
+
 # Everything ast.parse raises on text that is not a program.
 NOT_A_PROGRAM = (SyntaxError, ValueError, RecursionError, MemoryError)
 
@@ -124,12 +127,18 @@ def definitions(modules: DataFrame, clean_docs: bool = False) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist()):
+            rows, size = [], 0
+            for path, text in zip(batch.column("path"), batch.column("text")):
+                path, text = path.as_py(), text.as_py()
                 for pos, found in enumerate(_definitions(text)):
                     if clean_docs:
                         found["docstring"] = drop_doc_blocks(found["docstring"])
                     rows.append({"path": path, "pos": pos, **found})
+                # a module is part of its definitions' sources, nested ones of several
+                size += len(text)
+                if size > BATCH_CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return modules.select("path", "text").where(F.col("text").isNotNull()).mapInArrow(parse, DEFINITION_SCHEMA)
@@ -149,13 +158,14 @@ class Profile:
     clean_docs: bool = False
     api_functions: bool = False
     target_bases: list[str] | None = None
+    dedup: bool = False
 
 
 # Extraction profiles of the three mined frameworks (fixed values).
 PROFILE_A = Profile(
     prefix="/qiskit/", subdirs=["qiskit/circuit/library/"],
     exclude_parts=["standard_gates", "templates"], skip_prefix="test_", min_chars=50,
-    clean_docs=True, target_bases=["QuantumCircuit", "Gate"],
+    clean_docs=True, target_bases=["QuantumCircuit", "Gate"], dedup=True,
 )
 PROFILE_B = Profile(
     prefix="/pennylane/", subdirs=["pennylane/templates/"], kinds=("Class",), min_chars=50,

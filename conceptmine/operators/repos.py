@@ -16,6 +16,8 @@ MIN_CONTRIBUTORS = 10
 MAX_INACTIVE_MONTHS = 12
 TOP_REPOSITORIES = 200
 SURVEY_CAP = 500
+# Hits taken of each search query (fixed value).
+SEARCH_CAP = 200
 SURVEY_MIN_STARS = 10
 EXCLUSION_KEYWORDS = ["awesome-list", "books"]
 UNKNOWN_LANGUAGE = "Unknown/Docs"
@@ -60,8 +62,15 @@ def with_reason(repos: DataFrame, as_of: dt.datetime) -> DataFrame:
     return repos.withColumn("reason", rejection_reason(as_of))
 
 
-def candidates(harvest: DataFrame) -> DataFrame:
-    """``harvest(source_ord, pos, ...)``: known list first, then queries; first row of a name wins."""
+def candidates(harvest: DataFrame, cap: int | None = None, known: int = 0) -> DataFrame:
+    """``harvest(source_ord, pos, ...)``: known list first, then queries; first row of a name wins.
+
+    ``cap`` limits the hits taken of each query, as a search does (``SEARCH_CAP``); the known list,
+    ``source_ord`` up to ``known``, has no limit.
+    """
+    if cap is not None:
+        listed = F.col("source_ord") <= known
+        harvest = harvest.where(listed).unionByName(capped(harvest.where(~listed), "source_ord", cap, [F.col("pos")]))
     return first_wins(harvest, ["full_name"], [F.col("source_ord"), F.col("pos")])
 
 

@@ -22,13 +22,23 @@ SUMMARY_THRESHOLD = 0.65
 DEDUP_THRESHOLD = 0.95
 
 
-def mine(files: DataFrame, profile: code.Profile, encode: Encode,
-         threshold: float = DEDUP_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """SDK files to unique concepts without wrappers and near copies, plus the audit."""
-    raw = materialize(code.extract_concepts_ordered(files, profile))
-    kept = dedup.drop_wrappers(raw, profile.prefix)
+AUDIT = "removed string, kept string, similarity string, removed_summary string, kept_summary string"
+
+
+def mine(files: DataFrame, profile: code.Profile, encode: Encode | None = None, threshold: float = DEDUP_THRESHOLD,
+         api_names: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """SDK files to the concepts of a framework, unique by name and with their order ``ord``, plus an audit.
+
+    A profile with ``dedup`` also loses wrappers and, by the vectors of ``encode``, near copies; the audit has
+    one row for each of these. One with ``api_functions`` is limited to ``api_names(name)``.
+    """
+    raw = materialize(code.extract_concepts_ordered(files, profile, api_names))
     order = [F.col("dir_rank"), F.split("path", "/"), F.col("pos")]
-    ordered = numbered(kept, order, "ord", start=0)
+    if not profile.dedup:
+        return numbered(raw, order, "ord", start=0), files.sparkSession.createDataFrame([], AUDIT)
+    if encode is None:
+        raise ValueError("this profile needs an encoder")
+    ordered = numbered(dedup.drop_wrappers(raw, profile.prefix), order, "ord", start=0)
     keyed = ordered.withColumn("key", text_key(F.col("summary")))
     vectors = encode_distinct(ordered, "summary", encode).select("key", "vec")
     encoded = materialize(salted_join(keyed, vectors, "key").drop("key"))

@@ -40,8 +40,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/conceptmine-{uuid.uuid4().hex}"
+    """A new path in the shared folder; ``drop_scratch`` removes it."""
+    path = f"{shared_dir(spark)}/conceptmine-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_conceptmine_scratch", []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the tables this application has written to the shared folder so far, and say how many.
+
+    For the end of a flow, when its results are stored elsewhere: results that are still to be computed read them.
+    """
+    paths = spark.sparkContext.__dict__.get("_conceptmine_scratch", [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        gone += path.getFileSystem(conf).delete(path, True)
+    return gone
 
 
 def materialize(df: DataFrame) -> DataFrame:

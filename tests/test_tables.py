@@ -491,3 +491,14 @@ def test_mining_flow(spark):
     kept, audit = pipeline.mine(files, PROFILE_A, encoder_column(ngram_encoder(128)))
     assert sorted(r["name"].split(".")[-1] for r in kept.collect()) == ["BigGate", "third"]
     assert [(r["removed"].split(".")[-1], r["kept"].split(".")[-1]) for r in audit.collect()] == [("other", "BigGate")]
+
+
+def test_scratch_tables_are_removed_at_the_end_of_a_flow(spark):
+    from pathlib import Path
+
+    from conceptmine.session import drop_scratch, materialize, shared_dir
+    drop_scratch(spark)
+    before = set(Path(shared_dir(spark)).iterdir()) if Path(shared_dir(spark)).exists() else set()
+    a, b = materialize(spark.range(5)), materialize(spark.range(6))
+    assert (a.count(), b.count()) == (5, 6) and drop_scratch(spark) == 2 and drop_scratch(spark) == 0
+    assert set(Path(shared_dir(spark)).iterdir()) == before

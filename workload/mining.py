@@ -215,9 +215,12 @@ def concept_extract_a(spark, d):
                         F.array_join("base_classes", ",").alias("bases"))
 
 
-@query("concept_extract_b", f"""WITH {_modules('/pennylane/', ROOT_B)},
+_B_SQL = f"""WITH {_modules('/pennylane/', ROOT_B)},
 kept AS (SELECT * FROM mods WHERE p_type <> 'STANDARD')
-SELECT name, summary, docstring FROM ({_A_ROWS}) WHERE type = 'Class'""")
+SELECT name, summary, docstring FROM ({_A_ROWS}) WHERE type = 'Class'"""
+
+
+@query("concept_extract_b", _B_SQL)
 def concept_extract_b(spark, d):
     return code.extract_concepts(sdk_files(spark, d, ROOT_B), code.PROFILE_B).select("name", "summary", "docstring")
 
@@ -400,6 +403,20 @@ def mined_concepts(spark, d):
     return kept.select("name", "summary")
 
 
+@query("mined_concepts_b", f"SELECT name, summary FROM ({_B_SQL})")
+def mined_concepts_b(spark, d):
+    """Flow A of a framework whose concepts are its classes: no public names, near copies stay."""
+    kept, _ = pipeline.mine(sdk_files(spark, d, ROOT_B), code.PROFILE_B)
+    return kept.select("name", "summary")
+
+
+@query("mined_concepts_c", f"WITH {_C_ROWS} SELECT name, summary FROM rows")
+def mined_concepts_c(spark, d):
+    """Flow A of a framework whose concepts are its public functions."""
+    kept, _ = pipeline.mine(sdk_files(spark, d, ROOT_C), code.PROFILE_C, api_names=api_names(spark, d))
+    return kept.select("name", "summary")
+
+
 @query("vector_cosine", f"""WITH {_VEC} SELECT a.ord, round({_COS}, 4) AS cosine
 FROM v a JOIN v b ON b.ord = a.ord + 1""")
 def vector_cosine(spark, d):
@@ -454,6 +471,16 @@ def repo_dedup_first(spark, d):
     return repos.candidates(repos_harvest(spark, d)).select("full_name", "source_ord", "pos", "stargazers_count")
 
 
+@query("repo_search_cap", f"""WITH {HARVEST}, hits AS (SELECT * FROM harvest
+QUALIFY source_ord <= 1 OR row_number() OVER (PARTITION BY source_ord ORDER BY pos) <= 200)
+SELECT full_name, source_ord, pos, stargazers_count FROM hits
+QUALIFY row_number() OVER (PARTITION BY full_name ORDER BY source_ord, pos) = 1""")
+def repo_search_cap(spark, d):
+    """The first source is a known list, the others are queries with a limit."""
+    found = repos.candidates(repos_harvest(spark, d), repos.SEARCH_CAP, known=1)
+    return found.select("full_name", "source_ord", "pos", "stargazers_count")
+
+
 @query("repo_dedup_last", f"""WITH {HARVEST} SELECT id, source_ord, pos, stargazers_count FROM harvest
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY source_ord DESC, pos DESC) = 1""")
 def repo_dedup_last(spark, d):
