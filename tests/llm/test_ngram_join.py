@@ -92,3 +92,23 @@ def test_key_set_has_all_keys(spark):
     keys = np.random.default_rng(1).integers(-2**63, 2**63 - 1, 5000)
     some = keyset.key_set(spark.createDataFrame([(int(k),) for k in keys[:2500]], "k long"), "k")
     assert some.maybe(keys[:2500]).all() and some.maybe(keys[2500:]).mean() < 0.2
+
+
+def test_hubs_are_dealt_to_slices(spark, monkeypatch):
+    import random
+
+    from conceptmine.llm import components as module
+    rnd = random.Random(1)
+    edges = [(0, i) for i in range(1, 400)] + [(900, 500 + i) for i in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
+    edges += [(5, 5), (3, 0), (3, 0)]
+    rnd.shuffle(edges)
+    df = spark.createDataFrame([*edges, (None, 7), (7, None), (None, None)], "a long, b long")
+    got = {r.node: r.label for r in components(df).collect()}
+    assert got == {i: 0 if i < 400 else 500 if i < 950 else 1000 for i in {x for e in edges for x in e}}
+    rows = module.materialize(spark.createDataFrame([(u, v) for u, v in edges], "u long, v long"))
+    joined, least = module._with_least(rows)
+    want = {}
+    for u, v in edges:
+        want[u] = min(v, want.get(u, v))
+    assert {r.u: r.m for r in least.collect()} == want
+    assert sorted((r.u, r.v, r.m) for r in joined.collect()) == sorted((u, v, want[u]) for u, v in edges)
