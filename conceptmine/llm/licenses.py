@@ -109,7 +109,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     for word in telling[1:]:
         some = some | low.contains(word)
     rows = docs.where(some).select(F.col(doc_id).alias("doc_id"), split_words(F.col(text)).alias("words"))
-    rows = rows.select("doc_id", shingles(F.col("words")).alias("all"))
+    # a text of fewer words than a shingle has none
+    rows = rows.select("doc_id", shingles(F.col("words")).alias("all")).where(F.size(F.coalesce("all", F.array().cast("array<bigint>"))) > 0)
     size = WINDOW - SHINGLE + 1
     starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(STRIDE))
     windows = rows.select("doc_id", F.explode(F.transform(

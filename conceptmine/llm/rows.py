@@ -1,4 +1,8 @@
-"""Leaving out rows of a wide table by a table of ids, moving only the rows that may be concerned."""
+"""Leaving out rows of a wide table by a table of ids, moving only the rows that may be concerned.
+
+Defined results: null ids and texts are values like others; an empty table stays empty; a
+table may have columns of any names, those of ``groups`` and of this module included.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,13 @@ from pyspark.sql import functions as F
 from conceptmine.llm.keyset import key_set
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to be no column of ``df``."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each group the document that is kept; repeated rows of one id and text are one document.
 
@@ -21,7 +32,8 @@ def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", te
     twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     some = docs.sparkSession.sparkContext.broadcast(
         key_set(gone.select("doc_id").union(twice).select(F.xxhash64("doc_id").alias("k")), "k"))
-    hashed = docs.withColumn("_hash", F.xxhash64(doc_id))
+    id_hash, text_hash = free_name(docs, "_id_hash"), free_name(docs, "_text_hash")
+    hashed = docs.withColumn(id_hash, F.xxhash64(F.col(f"`{doc_id}`")))
 
     def side(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -29,10 +41,10 @@ def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", te
                 yield batch.filter(pa.array(some.value.maybe(batch.column(batch.num_columns - 1).to_numpy()) == wanted))
         return run
 
-    columns = docs.columns
+    columns = [f"`{c}`" for c in docs.columns]
     plain = hashed.mapInArrow(side(False), hashed.schema).select(*columns)
-    maybe = hashed.mapInArrow(side(True), hashed.schema).withColumn("_text_hash", F.xxhash64(text))
-    maybe = maybe.dropDuplicates(["_hash", "_text_hash"])
-    same = F.col(f"d.{doc_id}").eqNullSafe(F.col("g.doc_id")) & F.col("d._text_hash").eqNullSafe(F.col("g.text_hash"))
+    maybe = hashed.mapInArrow(side(True), hashed.schema).withColumn(text_hash, F.xxhash64(F.col(f"`{text}`")))
+    maybe = maybe.dropDuplicates([id_hash, text_hash])
+    same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g.doc_id")) & F.col(f"d.`{text_hash}`").eqNullSafe(F.col("g.text_hash"))
     left = maybe.alias("d").join(gone.alias("g"), same, "left_anti")
     return plain.union(left.select(*columns))

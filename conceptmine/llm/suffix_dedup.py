@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from conceptmine.llm import vec
 from conceptmine.llm.decontaminate import cut_words, replace_texts
 from conceptmine.llm.keyset import key_set
+from conceptmine.llm.rows import free_name
 from conceptmine.session import materialize
 
 MIN_WORDS = 51
@@ -212,8 +213,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Documents without the words that repeat an earlier passage; only texts that change are shuffled."""
     found = repeated_spans(docs, doc_id, text, min_words)
     some = docs.sparkSession.sparkContext.broadcast(key_set(found, "text_hash"))
-    columns = docs.columns
-    hashed = docs.withColumn("_hash", F.xxhash64(text))
+    columns, quoted = docs.columns, [f"`{c}`" for c in docs.columns]
+    text_hash, own_spans = free_name(docs, "_text_hash"), free_name(docs, "_own_spans")
+    hashed = docs.withColumn(text_hash, F.xxhash64(F.col(f"`{text}`")))
 
     def side(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +235,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 new = cut_words(buf, offsets, starts, ends, first, gone, np.array(have, np.int64))
                 yield replace_texts(part, text, n_chars, new).select(columns)
 
-    plain = hashed.mapInArrow(side(False), hashed.schema).select(*docs.columns)
+    plain = hashed.mapInArrow(side(False), hashed.schema).select(*quoted)
     touched = hashed.mapInArrow(side(True), hashed.schema).alias("d").join(
-        found.alias("f"), F.col(f"d.{doc_id}").eqNullSafe(F.col("f.doc_id")) & (F.col("d._hash") == F.col("f.text_hash")), "left")
-    touched = touched.select(*[F.col(f"d.{c}") for c in docs.columns], F.col("f.spans").alias("_spans"))
+        found.alias("f"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.`{text_hash}`") == F.col("f.text_hash")), "left")
+    touched = touched.select(*[F.col(f"d.{c}") for c in quoted], F.col("f.spans").alias(own_spans))
     return plain.union(touched.mapInArrow(cut, docs.schema))

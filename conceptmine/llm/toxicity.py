@@ -122,7 +122,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Model of a bounded sample of labelled documents."""
     sample = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("_id"), (F.col(label) > 0).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_y").limit(rows)
-    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_y", "_text")
+    # of several texts with one id the one with the smallest hash, so there are no more than labels
+    picked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").groupBy("_id", "_y").agg(
+        F.min_by("_text", F.xxhash64("_text")).alias("_text")).select("_y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,8 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(bounds), vec.ints(feature))], ["y", "f"])
 
-    # rows with the same id may exceed the bound: the first ones by feature count stand for them
-    got = picked.mapInArrow(run, "y int, f array<long>").limit(2 * rows).toArrow()
+    got = picked.mapInArrow(run, "y int, f array<long>").toArrow()
     y = got.column("y").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
     lists = got.column("f").combine_chunks()
     if len(y) == 0 or y.min() == y.max():

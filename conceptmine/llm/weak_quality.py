@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conceptmine.llm import vec
+from conceptmine.session import materialize
 
 #: Documents that the scorer is fitted on, at most; those with the smallest hashes of their texts.
 FIT_ROWS = 6_000
@@ -199,26 +200,32 @@ _POWERS = 3 ** np.arange(len(HEURISTICS))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Quality:
-    """Label model from the votes on all documents, scorer from a bounded sample of their posteriors."""
-    texts = docs.select(F.col(text).alias("_text"))
+    """Label model from the votes on all different texts, scorer from a bounded sample of their posteriors.
+
+    The sample has at most ``rows`` texts, those with the smallest hashes.
+    """
+    # copies say nothing new about a heuristic or a word: every text counts once
+    texts = docs.where(F.length(text) > 0).select(F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, buf, offsets in vec.slices(batch, "_text"):
+            for part, buf, offsets in vec.slices(batch, "_text"):
                 words, v, _ = votes(buf, offsets)
-                kind, count = np.unique((v[words > 0] * _POWERS).sum(axis=1), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(count.astype(np.int64))], ["pattern", "n"])
+                some = pa.array(words > 0)
+                kind = pa.array((v * _POWERS).sum(axis=1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(some), kind.filter(some)], ["hash", "pattern"])
 
-    found = texts.mapInArrow(vote, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
+    cast = materialize(texts.mapInArrow(vote, "hash long, pattern int").distinct())
+    found = cast.groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
     if not found.num_rows:
         return Quality(None, np.zeros(BUCKETS + 1))
     order = np.argsort(found.column("pattern").to_numpy())
     code, count = found.column("pattern").to_numpy()[order], found.column("n").to_numpy()[order].astype(np.float64)
     labels = LabelModel(code[:, None] // _POWERS % 3, count)
     shared = docs.sparkSession.sparkContext.broadcast(labels)
-    # whole texts of the sample are read again by their hash's rank, not by their place in the table
-    cut = texts.where(F.length("_text") > 0).select(F.xxhash64("_text").alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    sample = texts.where(F.xxhash64("_text") <= F.lit(cut)).limit(2 * rows)
+    # the sample: the texts with the smallest hashes, read again whole, one row for each
+    cut = cast.select("hash").orderBy("hash").limit(rows).agg(F.max("hash")).first()[0]
+    sample = texts.where(F.col("_hash") <= F.lit(cut)).dropDuplicates(["_hash"]).select("_text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +238,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int =
                     pa.array(shared.value.posterior(v)), pa.ListArray.from_arrays(bounds, pa.array(bucket[order].astype(np.int32))),
                     pa.ListArray.from_arrays(bounds, pa.array(value[order]))], ["target", "bucket", "value"])
 
-    got = sample.mapInArrow(sparse, "target double, bucket array<int>, value array<double>").toArrow()
+    got = sample.mapInArrow(sparse, "target double, bucket array<int>, value array<double>").toArrow()  # at most `rows` rows
     if not got.num_rows:
         return Quality(labels, np.zeros(BUCKETS + 1))
     lists = got.column("bucket").combine_chunks()

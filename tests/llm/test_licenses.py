@@ -68,3 +68,14 @@ def test_native_plan(spark):
     assert not re.search("Python|Arrow|Pandas", plan.replace("PythonRDD", ""))
     with pytest.raises(ValueError):
         licenses.scan(df, templates=[("x", "too short")])
+
+
+def test_short_texts_with_and_without_ansi(spark):
+    docs = spark.createDataFrame([(1, "License"), (2, "Released under the MIT License"), (3, ""), (4, None)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            assert [(r.doc_id, r.license) for r in licenses.scan(docs).collect()] == [(2, "MIT")]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)

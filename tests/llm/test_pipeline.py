@@ -104,3 +104,20 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_named_like_those_of_the_helpers(spark):
+    from conceptmine.llm import ngram_join, rows, suffix_dedup
+    from conceptmine.session import materialize
+    names = ["_hash", "_text_hash", "_id_hash", "_spans", "_own_spans", "spans", "text_hash", "kept", "_text", "a b"]
+    passage = " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame(
+        [(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate([passage, passage, f"one {passage} two", None, "", "short"])],
+        "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    groups = materialize(ngram_join.similar_groups(docs, n=5, num=80, den=100, count_links=False).select("doc_id", "text_hash", "kept"))
+    kept = rows.one_per_group(docs, groups)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
+    cut = suffix_dedup.remove_repeats(docs)
+    assert cut.columns == docs.columns
+    assert {r.doc_id: r.text for r in cut.collect()} == {0: passage, 2: "one  two", 3: None, 4: "", 5: "short"}
+    assert all(r["a b"] == f"a b{r.doc_id}" and r._hash == f"_hash{r.doc_id}" for r in cut.union(kept).collect())

@@ -47,3 +47,28 @@ def test_edges(spark):
     for none in (labels.where("false"), labels.where("toxic = 0"), labels.withColumn("doc_id", F.lit(-5).cast("long"))):
         assert toxicity.score(docs, toxicity.fit(docs, none)).where("rejected").count() == 0
     assert toxicity.score(docs.where("false"), model).count() == 0
+
+
+def test_expected_severity_equals_a_plain_sum(spark):
+    """Scores of a small table against thresholds and weights applied word by word."""
+    docs = spark.createDataFrame([(i, f"awful vile w{i}" if i % 3 == 0 else f"calm w{i}") for i in range(60)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: (r.expected_severity, r.grade, r.p_toxic, r.rejected) for r in toxicity.score(docs, model).collect()}
+    weight = dict(zip(model.feature.tolist(), model.weight.tolist()))
+    for r in docs.collect():
+        buf = np.frombuffer(r.text.encode(), np.uint8)
+        _, f = toxicity.features(buf, np.array([0, len(buf)]))
+        x = sum(weight.get(v, 0.0) for v in set(f.tolist()))
+        p = [1 / (1 + np.exp(-(x - c))) for c in model.thresholds]
+        e, grade, first, rejected = got[r.doc_id]
+        assert abs(e - sum(p)) < 1e-9 and grade == sum(v >= 0.5 for v in p) and abs(first - p[0]) < 1e-9
+        assert rejected == (p[0] >= toxicity.REJECT) == (r.doc_id % 3 == 0)
+
+
+def test_texts_that_share_an_id_fit_the_same_model_in_any_order(spark):
+    rows = [(i % 20, f"awful w{i}" if i % 20 < 6 else f"calm w{i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(20)], "doc_id long, toxic int")
+    models = [toxicity.fit(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows[::-1])]
+    out = [[x.p_toxic for x in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), m).orderBy("doc_id", "p_toxic").collect()] for m in models]
+    assert np.allclose(out[0], out[1])

@@ -42,3 +42,52 @@ def test_edges(spark):
     none = docs.where("false")
     assert weak_quality.score(none, weak_quality.fit(none)).count() == 0
     assert not any(r.kept for r in weak_quality.score(docs.where("text IS NULL"), weak_quality.fit(docs.where("text IS NULL"))).collect())
+
+
+def plain_posteriors(patterns, count, rounds):
+    """Expectation-maximisation of one kind of bad text and good text, in loops; no vote says nothing."""
+    n, k = len(patterns), len(patterns[0])
+    against = [sum(v == weak_quality.BAD for v in row) for row in patterns]
+    post = []
+    for a in against:
+        x = a / max(a, 1) * 0.8 + 0.002, 0.2 if a else 1.0
+        post.append([v / sum(x) for v in x])
+    for _ in range(rounds):
+        share = [(sum(post[i][c] * count[i] for i in range(n)) + 0.1) / (sum(count) + 0.2) for c in range(2)]
+        chance = {}
+        for c in range(2):
+            for j in range(k):
+                mass = {v: sum(post[i][c] * count[i] for i in range(n) if patterns[i][j] == v) + 0.1 for v in (weak_quality.BAD, weak_quality.GOOD)}
+                for v in mass:
+                    chance[c, j, v] = mass[v] / sum(mass.values())
+        for i in range(n):
+            x = []
+            for c in range(2):
+                x.append(share[c])
+                for j in range(k):
+                    x[c] *= chance.get((c, j, patterns[i][j]), 1.0)
+            post[i] = [v / sum(x) for v in x]
+    return [p[1] for p in post]
+
+
+def test_posteriors_equal_a_plain_em():
+    rnd = np.random.default_rng(5)
+    k = 4
+    good = rnd.random(3000) < 0.7
+    votes = np.where(rnd.random((3000, k)) < 0.85, good[:, None], ~good[:, None]) * 2
+    votes[rnd.random((3000, k)) < 0.3] = weak_quality.NONE
+    patterns, count = np.unique(votes, axis=0, return_counts=True)
+    for rounds in (1, 5, 40):
+        model = weak_quality.LabelModel(patterns, count.astype(float), np.zeros(k, int), rounds)
+        assert np.abs(model.posterior(patterns) - plain_posteriors(patterns.tolist(), count.tolist(), rounds)).max() < 1e-9
+
+
+def test_copies_of_one_text_change_no_verdict(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    from pyspark.sql import functions as F
+    # a text that is in the sample (all are), 13 times as often as all others
+    first = docs.where(F.length("text").between(50, 300)).orderBy(F.xxhash64("text")).limit(1).crossJoin(spark.range(13_000)).select("doc_id", "text")
+    want = {r.doc_id: r.kept for r in weak_quality.score(docs, weak_quality.fit(docs)).collect()}
+    got = {r.doc_id: r.kept for r in weak_quality.score(docs, weak_quality.fit(docs.union(first))).collect()}
+    assert sum(want[i] != got[i] for i in want) <= len(want) // 100
+    assert 0.2 < sum(want.values()) / len(want) < 1
