@@ -75,3 +75,28 @@ def test_clean_cuts_hit_spans_only(spark):
     assert 2 not in out and out[3].text == docs[2][1] and out[4].text is None and out[5].text == ""
     empty = d.where("false")
     assert decontaminate.decontaminate(empty, d.select(d.doc_id.alias("item_id"), "text")).count() == 0
+
+
+def test_parts_are_judged_together(spark):
+    rnd = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(9)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([9, 13, 20, 30])))) for i in range(30)]
+    items += [(50, items[3][1]), (51, None), (52, " ,. "), (53, ""), (None, items[4][1])]
+    docs = []
+    for i in range(80):
+        text = " ".join(rnd.choice(vocabulary) for _ in range(rnd.randrange(0, 300)))
+        # hits of two items that overlap, each too short for a verdict alone
+        docs.append((i, f"{text} {rnd.choice(items[:30])[1]} {rnd.choice(items[:30])[1]}" if i % 2 else text))
+    docs += [(100, None), (101, ""), (102, docs[1][1]), (102, docs[1][1]), (None, docs[3][1])]
+    d = spark.createDataFrame([(i, t, len(t or ""), "k", "x") for i, t in docs], "doc_id long, text string, n_chars int, _key string, _begins string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.Items(b, part_bytes=700).parts > 3
+    reports = [sorted(map(str, decontaminate.contamination(d, b, part_bytes=n).collect())) for n in (700, 1 << 20)]
+    assert reports[0] == reports[1] and len(reports[0]) == len(docs)
+    cleaned = [sorted(map(str, decontaminate.decontaminate(d, b, n_chars="n_chars", part_bytes=n).collect())) for n in (700, 1 << 20)]
+    assert cleaned[0] == cleaned[1] and cleaned[0] != sorted(map(str, d.collect()))
+
+
+def test_items_without_words_are_not_gathered(spark):
+    b = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", " .,;", "é", "7", "a b"])], "item_id long, text string")
+    assert sorted(r.item for r in decontaminate.Items(b).rows.collect()) == ["3", "4", "5"]
