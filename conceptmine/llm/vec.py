@@ -8,6 +8,7 @@ byte values, scrambled afterwards; they depend on the content alone.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,16 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return unused memory to the system: Python workers outlive their tasks, and the next ones share the executor with them."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of a batch with their text bytes and offsets; a null text is empty."""
     n = batch.num_rows
@@ -69,7 +80,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch,
         j = min(j, n)
         yield batch.slice(i, j - i), data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         i = j
-    pa.default_memory_pool().release_unused()  # workers outlive their tasks
+    give_back()
 
 
 def spans(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
