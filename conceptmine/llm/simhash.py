@@ -192,7 +192,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         raise ValueError("the radius must be 0 to 63 bits")
     rows = materialize(fingerprints(docs, doc_id, text, n))
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = components(near_links(classes, radius)).toDF("fp", "label")
+    labels = components(near_links(classes, radius), hubs=True).toDF("fp", "label")
     named = classes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = salted_join(materialize(named), smallest, "label").select("fp", "component_id")

@@ -103,8 +103,9 @@ def test_hubs_are_dealt_to_slices(spark, monkeypatch):
     edges += [(5, 5), (3, 0), (3, 0)]
     rnd.shuffle(edges)
     df = spark.createDataFrame([*edges, (None, 7), (7, None), (None, None)], "a long, b long")
-    got = {r.node: r.label for r in components(df).collect()}
-    assert got == {i: 0 if i < 400 else 500 if i < 950 else 1000 for i in {x for e in edges for x in e}}
+    for hubs in (True, False):
+        got = {r.node: r.label for r in components(df, hubs).collect()}
+        assert got == {i: 0 if i < 400 else 500 if i < 950 else 1000 for i in {x for e in edges for x in e}}
     rows = module.materialize(spark.createDataFrame([(u, v) for u, v in edges], "u long, v long"))
     joined, least = module._with_least(rows)
     want = {}
