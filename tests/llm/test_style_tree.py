@@ -1,8 +1,14 @@
 """Extraction of main texts on small sites with known articles."""
 
+import math
 import random
+import time
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from conceptmine.llm import style_tree
+from conceptmine.llm.keyset import KeySet
 
 SCHEMA = "page_id long, url string, html string, text int"
 
@@ -96,6 +102,99 @@ def test_names_of_single_pages(spark):
     assert style_tree.importance(df, style_tree.common_names(df)).count() < 10
 
 
+def test_articles_stay_and_comments_go(spark, monkeypatch):
+    """One article on two URLs, comments longer than the article, quotes on a third of the pages; names as bits and as lists."""
+    rnd = random.Random(13)
+    word = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    letters = lambda: "".join(rnd.choice("klmnopqrst") for _ in range(8))
+    pages, want = [], {}
+
+    def add(url, body, text):
+        pages.append((len(pages), url, f"<html><head></head><body>{body}</body>"))
+        want[pages[-1][0]] = text
+
+    for h in range(10):
+        own, name = [word(20) for _ in range(3)], letters()
+        start, end = ("<article class={}>", "</article>") if h % 2 else ("<div class={}>", "</div>")
+        for u in range(2):
+            menu = "<nav>" + " ".join(f"Menu {letters()}" for _ in range(3)) + "</nav>"
+            add(f"http://two{h}.example/{u}", menu + start.format(name) + "".join(f"<p>{p}</p>" for p in own) + end, "\n\n".join(own))
+    for h in range(2):
+        name = letters()
+        for i in range(30):
+            own = word(30)
+            talk = "".join(f"<div class=comment><p>{word(19)}</p></div>" for _ in range(10))
+            if h:
+                body = f"<article class={name}><p>{own}</p><section class='comments'><p>{word(40)}</p><p>{word(20)}</p></section></article>"
+            else:
+                body = f"<div class={name}><p>{own}</p></div><div id=comments>{talk}</div>"
+            add(f"http://talk{h}.example/{i}", body, own)
+    quotes = [word(15) for _ in range(3)]
+    for i in range(30):
+        own = word(30)
+        add(f"http://quote.example/{i}", f"<article><p>{own}</p><blockquote><p>{quotes[i % 3]}</p></blockquote></article>", f"{own}\n\n{quotes[i % 3]}")
+    assert run(spark, pages) == want
+    monkeypatch.setattr(style_tree, "MOST_COMMON", 0)
+    assert run(spark, pages) == want
+
+
+def test_names_are_told_exactly_with_few_bits(spark, monkeypatch):
+    """Levels of bits that are far too few tell every pair rightly."""
+    pairs = np.random.default_rng(5).integers(-1 << 62, 1 << 62, 3000)
+    few = lambda keys, column: KeySet(
+        np.packbits(np.bincount(np.array([r[0] & 8191 for r in keys.collect()], int), minlength=8192) > 0, bitorder="little"), 8191)
+    monkeypatch.setattr(style_tree, "key_set", few)
+    right, wrong = (spark.createDataFrame([(int(k),) for k in x], "pair long") for x in (pairs[:1000], pairs[1000:]))
+    levels = style_tree._levels(right, wrong)
+    assert len(levels) > 1
+    common = style_tree.Common(levels)
+    assert [common.has(0, int(k) & style_tree._MASK) for k in pairs] == [True] * 1000 + [False] * 2000
+    assert style_tree._levels(right.limit(0), wrong) == []
+
+
+def test_importance_is_that_of_plain_entropies(spark):
+    """Of one host without names, both trees are the same one."""
+    rnd = random.Random(17)
+    word = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    shared = [word(12) for _ in range(6)]
+    pages = [f"<body><div><p>{rnd.choice(shared)}</p><p>{word(9)}</p></div><ul>" + "".join(
+        f"<li>{rnd.choice(shared[:2])}</li>" for _ in range(rnd.randrange(3))) + f"</ul><h2>{shared[0]}</h2></body>" for _ in range(25)]
+    looks, texts, seen = defaultdict(Counter), defaultdict(Counter), set()
+    for page in pages:
+        blocks, nodes = style_tree.parse(page)
+        key = style_tree._main_key(blocks, hash(page))
+        assert key not in seen
+        seen.add(key)
+        for node, children in nodes.items():
+            looks[node][children] += 1
+        for leaf, up, text in {(b.leaf, b.up, b.text) for b in blocks}:
+            texts[leaf, up][text] += 1
+
+    def evenness(counts):
+        m = sum(counts.values())
+        return -sum(c / m * math.log(c / m) for c in counts.values()) / math.log(m)
+
+    want = {}
+    for (leaf, up), counts in texts.items():
+        m = sum(looks[leaf].values())
+        news = min(1.0, sum(c * (1 - math.log(c) / math.log(m)) for c in counts.values()) / m)
+        want[leaf] = news * (1 + evenness(looks[leaf] if set(looks[leaf]) != {1} else looks[up])) / 2
+    df = spark.createDataFrame([(i, "http://e.example/", h, 0) for i, h in enumerate(pages)], SCHEMA)
+    got = {r.node: r.importance for r in style_tree.importance(df, style_tree.common_names(df)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+
+
+def test_odd_markup_is_parsed_in_linear_time():
+    for page in ("<div>a" * 20_000, "<div class=ad>a" * 20_000, "<div>" * 20_000 + "</span></section></ul>" * 20_000,
+                 "<ul><li>" + "<div>" * 20_000 + "<li>x</li>" * 8_000, "<blockquote><p>a" * 20_000, "<table><tr><td>" * 8_000):
+        best = 9.0
+        for _ in range(3):
+            began = time.process_time()
+            style_tree.parse(page)
+            best = min(best, time.process_time() - began)
+        assert best < 1
+
+
 def test_edges(spark):
     art = "<article><h1>T &amp; U</h1><p>One<br>two&nbsp;three &lt;b&gt; <b>bo</b>ld</p><ul><li>x<li>y</ul><p>cut &am"
     pages = [(1, "http://b.example/1", art), (2, None, None), (3, "odd url", ""), (4, "http://b.example/1", art),
