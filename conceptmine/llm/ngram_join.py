@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from conceptmine.llm import vec
 from conceptmine.llm.components import components
 from conceptmine.llm.keyset import key_set
+from conceptmine.llm.rows import small_batches, written
 from conceptmine.session import materialize
 
 #: Counters of the n-gram frequencies, a bound on what is broadcast. Any fixed order gives the same links.
@@ -92,7 +93,8 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
             k = some[i:i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(total[k])], ["k", "c"])
 
-    sums = docs.select("_text").mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
+    with small_batches(docs.sparkSession):
+        sums = docs.select("_text").mapInArrow(count, "k int, c long").groupBy("k").agg(F.sum("c").alias("c")).toPandas()
     out = np.zeros(COUNTERS, np.int64)
     out[sums.k.to_numpy()] = sums.c.to_numpy()
     return out
@@ -122,7 +124,7 @@ def signatures(docs: DataFrame, sim: Similarity) -> DataFrame:
                     ["doc_id", "text_hash", "size", "d1", "d2", "prefix", "ranges"])
 
     rows = docs.select("doc_id", F.xxhash64("_text").alias("text_hash"), "_text")
-    return materialize(rows.mapInArrow(
+    return written(rows.mapInArrow(
         run, f"doc_id {kind}, text_hash long, size long, d1 long, d2 long, prefix array<long>, ranges binary"))
 
 
@@ -164,7 +166,7 @@ def postings(nodes: DataFrame, sim: Similarity) -> DataFrame:
 
     rows = nodes.select("node", "size", "prefix").mapInArrow(
         run, "gram long, node long, size long, place int, band int, indexed boolean")
-    return materialize(rows.join(shared, "gram"))
+    return written(rows.join(shared, "gram"))
 
 
 def _need(both, sim: Similarity):
@@ -223,7 +225,7 @@ def suffix_filter(pairs: DataFrame, nodes: DataFrame, sim: Similarity) -> DataFr
             keep = most >= sim.overlap(c["size_a"].to_numpy() + c["size_b"].to_numpy())
             yield pa.RecordBatch.from_arrays([c["a"], c["b"]], ["a", "b"]).filter(pa.array(keep))
 
-    return materialize(both.mapInArrow(run, "a long, b long"))
+    return written(both.mapInArrow(run, "a long, b long"))
 
 
 def class_texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -240,7 +242,7 @@ def class_texts(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     rows = rows.mapInArrow(keep, rows.schema)
     texts = need.alias("n").join(rows.alias("d"), (F.col("n.text_hash") == F.col("d.text_hash"))
                                  & F.col("n._id").eqNullSafe(F.col("d.doc_id"))).select("node", "_text")
-    return materialize(texts.dropDuplicates(["node"]))
+    return written(texts.dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
@@ -259,7 +261,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, sim: Similarit
                     good.append(sim.den * common >= sim.num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(both.mapInArrow(run, "a long, b long"))
+    return written(both.mapInArrow(run, "a long, b long"))
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:

@@ -7,12 +7,37 @@ table may have columns of any names, those of ``groups`` and of this module incl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conceptmine.llm.keyset import key_set
+from conceptmine.session import materialize
+
+#: Rows and bytes of the Arrow batches of texts: a task holds a few of them, in the JVM and in its worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs started inside send their rows to Python in batches of bounded size; the session's settings come back after."""
+    small = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``materialize``, with texts in small batches."""
+    with small_batches(df.sparkSession):
+        return materialize(df)
 
 
 def free_name(df: DataFrame, name: str) -> str:

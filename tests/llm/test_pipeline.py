@@ -7,6 +7,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline", exc_type=ModuleNotFoundError)
 
+from conceptmine.llm import rows as row_tools  # noqa: E402
 from test_decontaminate import plain as plain_hits  # noqa: E402
 from test_ngram_join import shingles  # noqa: E402
 from test_suffix_dedup import plain as plain_repeats, words  # noqa: E402
@@ -121,3 +122,14 @@ def test_columns_named_like_those_of_the_helpers(spark):
     assert cut.columns == docs.columns
     assert {r.doc_id: r.text for r in cut.collect()} == {0: passage, 2: "one  two", 3: None, 4: "", 5: "short"}
     assert all(r["a b"] == f"a b{r.doc_id}" and r._hash == f"_hash{r.doc_id}" for r in cut.union(kept).collect())
+
+
+def test_batch_settings_come_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        with row_tools.small_batches(spark):
+            assert spark.conf.get(key) == str(row_tools.BATCH_ROWS)
+            raise KeyError
+    except KeyError:
+        assert spark.conf.get(key) == before
