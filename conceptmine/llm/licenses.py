@@ -101,7 +101,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     ])).alias("t")).select("t.template", "t.license", F.array_distinct(shingles(F.col("t.words"))).alias("own"))
     # a fixed number of rows: templates times bands
     met = F.broadcast(known.select("template", "license", "own", F.posexplode(bands(F.col("own"))).alias("band", "value")))
-    every = F.array_distinct(F.concat(*[shingles(F.array(*map(F.lit, _words(t)))) for _, t in templates]))
+    # their hashes as plain values, a number fixed by the templates: as an expression they would be made anew for every window
+    every = sorted({h for r in known.select("own").collect() for h in r.own})
 
     low = F.lower(text)
     telling = telling_words(templates, least)
@@ -109,13 +110,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     for word in telling[1:]:
         some = some | low.contains(word)
     rows = docs.where(some).select(F.col(doc_id).alias("doc_id"), split_words(F.col(text)).alias("words"))
-    # a text of fewer words than a shingle has none
-    rows = rows.select("doc_id", shingles(F.col("words")).alias("all")).where(F.size(F.coalesce("all", F.array().cast("array<bigint>"))) > 0)
+    # no filter on the shingles: it would be moved below them, to where every shingle splits the whole text anew
+    rows = rows.select("doc_id", shingles(F.col("words")).alias("all"))
     size = WINDOW - SHINGLE + 1
-    starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(STRIDE))
-    windows = rows.select("doc_id", F.explode(F.transform(
-        starts, lambda s: F.struct(s.alias("first"), F.slice("all", s + 1, size).alias("have")))).alias("w")).select("doc_id", "w.*")
-    windows = windows.where(F.arrays_overlap("have", every))
+    # a text of fewer words than a shingle has none
+    starts = F.when(F.size("all") > 0, F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(STRIDE)))
+    cut = F.transform(starts, lambda s: F.struct(s.alias("first"), F.slice("all", s + 1, size).alias("have")))
+    cut = F.filter(cut, lambda w: F.exists(w["have"], lambda h: h.isin(every)))
+    windows = rows.select("doc_id", F.explode(cut).alias("w")).select("doc_id", "w.*")
     seen = windows.select("doc_id", "first", "have", F.posexplode(bands(F.col("have"))).alias("band", "value"))
     share = F.size(F.array_intersect("own", "have")) / F.size("own")
     found = seen.join(met, ["band", "value"]).where(share >= least)

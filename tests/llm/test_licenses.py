@@ -79,3 +79,8 @@ def test_short_texts_with_and_without_ansi(spark):
             assert [(r.doc_id, r.license) for r in licenses.scan(docs).collect()] == [(2, "MIT")]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_texts_are_split_once_and_template_hashes_are_values(spark):
+    plan = licenses.scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "arrays_overlap" not in plan
