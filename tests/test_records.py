@@ -107,3 +107,28 @@ def test_python_sees_files_with_bad_bytes_only(spark, tmp_path):
     (tmp_path / "a.py").write_bytes(b"x")
     plan = scan.scan_scripts(spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "CASE WHEN NOT is_valid_utf8" in plan
+
+
+def test_bad_bytes_go_as_in_python_without_a_worker(spark):
+    import random
+
+    from conceptmine.sources import scan
+    rnd = random.Random(5)
+    pieces = [b"a\r\nb", "é".encode(), "€".encode(), "\U0001F600".encode(), "�".encode(), b"\xff", b"\xe2\x82", b"\xf0\x9f\x98", b"\xc0\xaf",
+              b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\x80", b"\r", b"$1\\", b"\x00"]
+    given = [b"".join(rnd.choices(pieces, k=rnd.randrange(12))) for _ in range(400)] + [None, b"", b"x" * 300_000 + b"\xff"]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, content binary").select("i", scan.decode_lenient(F.col("content")).alias("text"))
+    want = [b if b is None else b.decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n") for b in given]
+    assert [r.text for r in df.orderBy("i").collect()] == want
+    assert "Eval" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_a_task_have_folders_of_their_own(spark):
+    from pathlib import Path
+
+    from workload import files
+    rows = spark.range(40, numPartitions=4).selectExpr("if(id % 2 = 0, 'a', null) AS kind", "'t' || id AS value")
+    root = Path(files.one_file_each(rows, ["kind"]))
+    found = list(root.glob("kind=*/_task=*/*.txt"))
+    assert sorted(f.read_text() for f in found) == sorted(f"t{i}\n" for i in range(40))
+    assert len({f.parent for f in found}) == 8 and not list(root.rglob("*.txt.crc"))

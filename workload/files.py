@@ -9,7 +9,7 @@ from conceptmine.session import scratch
 from conceptmine.sinks import export
 from conceptmine.sources import catalogue, scan, tables
 from workload import mining, reporting, texts
-from workload.inputs import BASE, DEFINED, FACTS, REPOS, WATCHED, defined_patterns, facts, repositories, table, watched_patterns
+from workload.inputs import BASE, DEFINED, FACTS, REPOS, WATCHED, defined_patterns, facts, repositories, table, watched_patterns, wide
 
 QUERIES = {}
 
@@ -29,12 +29,20 @@ def put(rows, path: str | None = None, form: str = "csv", **options) -> str:
 
 
 def one_file_each(rows, by: list[str] | None = None) -> str:
-    """Text files with one value each."""
+    """Text files with one value each.
+
+    Those of a task get folders of their own below ``by``: they are committed whole, and listed side by side. On a local
+    disk every file and every checksum file beside it starts a process that sets its rights; the latter are left out.
+    """
     path = scratch(rows.sparkSession)
-    rows.write.option("maxRecordsPerFile", 1).partitionBy(*by or []).text(path)
+    if by:
+        rows, by = rows.withColumn("_task", F.spark_partition_id()), [*by, "_task"]
+    rows.write.options(**PLAIN_FILES).option("maxRecordsPerFile", 1).partitionBy(*by or []).text(path)
     return path
 
 
+# Local files without checksum files; other file systems do not look at this.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 QUOTED = {"quote": '"', "escape": '"', "header": "true", "emptyValue": ""}
 
 # --- match table ----------------------------------------------------------------------------
@@ -235,7 +243,7 @@ def language_csv_file(spark, d):
 @query("script_scan", "SELECT 'lang=' || lang AS project, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) AS text FROM documents")
 def script_scan(spark, d):
     """Every document as a script file of its own, by language."""
-    path = one_file_each(table(spark, d, "documents").select("lang", "text"), ["lang"])
+    path = one_file_each(wide(spark, d, "documents").select("lang", "text"), ["lang"])
     return scan.scan_scripts(spark, path, glob="*.txt").select("project", "text")
 
 
