@@ -6,7 +6,6 @@ table may have columns of any names, those of ``groups`` and of this module incl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -57,18 +56,17 @@ def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", te
     twice = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     some = docs.sparkSession.sparkContext.broadcast(
         key_set(gone.select("doc_id").union(twice).select(F.xxhash64("doc_id").alias("k")), "k"))
-    id_hash, text_hash = free_name(docs, "_id_hash"), free_name(docs, "_text_hash")
-    hashed = docs.withColumn(id_hash, F.xxhash64(F.col(f"`{doc_id}`")))
+    id_hash, text_hash, concerned = (free_name(docs, c) for c in ("_id_hash", "_text_hash", "_concerned"))
 
-    def side(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(some.value.maybe(batch.column(batch.num_columns - 1).to_numpy()) == wanted))
-        return run
+    @F.arrow_udf("boolean")
+    def may_be_in(hashes: pa.Array) -> pa.Array:
+        return pa.array(some.value.maybe(hashes.to_numpy()))
 
+    # the workers get the hashes only, the texts stay in the JVM
+    hashed = docs.withColumn(id_hash, F.xxhash64(F.col(f"`{doc_id}`"))).withColumn(concerned, may_be_in(id_hash))
     columns = [f"`{c}`" for c in docs.columns]
-    plain = hashed.mapInArrow(side(False), hashed.schema).select(*columns)
-    maybe = hashed.mapInArrow(side(True), hashed.schema).withColumn(text_hash, F.xxhash64(F.col(f"`{text}`")))
+    plain = hashed.where(~F.col(concerned)).select(*columns)
+    maybe = hashed.where(F.col(concerned)).withColumn(text_hash, F.xxhash64(F.col(f"`{text}`")))
     maybe = maybe.dropDuplicates([id_hash, text_hash])
     same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("g.doc_id")) & F.col(f"d.`{text_hash}`").eqNullSafe(F.col("g.text_hash"))
     left = maybe.alias("d").join(gone.alias("g"), same, "left_anti")

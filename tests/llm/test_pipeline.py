@@ -133,3 +133,20 @@ def test_batch_settings_come_back(spark):
             raise KeyError
     except KeyError:
         assert spark.conf.get(key) == before
+
+
+def test_texts_stay_in_the_jvm_when_copies_go(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
+    groups = docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "doc_id = 1 AS kept")
+    kept = row_tools.one_per_group(docs, groups)
+    assert [r.doc_id for r in kept.collect()] == [1]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
+def test_stages_are_written_in_small_batches(spark, tmp_path, monkeypatch):
+    seen, write = [], row_tools.written
+    monkeypatch.setattr(row_tools, "written", lambda df: seen.append(df.columns) or write(df))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda s, d, _: d) for n in "abc"])
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 1 and len(seen) == 2
