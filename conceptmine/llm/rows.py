@@ -9,6 +9,7 @@ from __future__ import annotations
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def may_be_in(some: Broadcast):
+    """Whether a 64-bit hash may be in a broadcast key set. Workers get the hashes only, wide rows stay in the JVM."""
+    @F.arrow_udf("boolean")
+    def look(hashes: pa.Array) -> pa.Array:
+        return pa.array(some.value.maybe(hashes.to_numpy()))
+
+    return look
+
+
 def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each group the document that is kept; repeated rows of one id and text are one document.
 
@@ -58,12 +68,7 @@ def one_per_group(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id", te
         key_set(gone.select("doc_id").union(twice).select(F.xxhash64("doc_id").alias("k")), "k"))
     id_hash, text_hash, concerned = (free_name(docs, c) for c in ("_id_hash", "_text_hash", "_concerned"))
 
-    @F.arrow_udf("boolean")
-    def may_be_in(hashes: pa.Array) -> pa.Array:
-        return pa.array(some.value.maybe(hashes.to_numpy()))
-
-    # the workers get the hashes only, the texts stay in the JVM
-    hashed = docs.withColumn(id_hash, F.xxhash64(F.col(f"`{doc_id}`"))).withColumn(concerned, may_be_in(id_hash))
+    hashed = docs.withColumn(id_hash, F.xxhash64(F.col(f"`{doc_id}`"))).withColumn(concerned, may_be_in(some)(id_hash))
     columns = [f"`{c}`" for c in docs.columns]
     plain = hashed.where(~F.col(concerned)).select(*columns)
     maybe = hashed.where(F.col(concerned)).withColumn(text_hash, F.xxhash64(F.col(f"`{text}`")))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from conceptmine.llm import vec
 from conceptmine.llm.decontaminate import cut_words, replace_texts
 from conceptmine.llm.keyset import key_set
-from conceptmine.llm.rows import free_name
+from conceptmine.llm.rows import free_name, may_be_in, written
 from conceptmine.session import materialize
 
 MIN_WORDS = 51
@@ -154,6 +154,7 @@ def _compare(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.R
                 doc.take(pa.array(r)), pa.array(text_hash[r]), pa.array(begin), pa.array(begin + min_words),
                 pa.nulls(len(r), doc.type), pa.nulls(len(r), pa.int64()), pa.array(flat[rest])], names)
         lead = batch.slice(int(leader[-1]), 1)
+        vec.give_back()
     if lead is not None:
         yield windows_of(lead)
 
@@ -187,12 +188,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     keys = _suffixes(rows, min_words, places).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", "n")
-    keys = materialize(keys)
+    keys = written(keys)
     some = docs.sparkSession.sparkContext.broadcast(key_set(keys, "key"))
     parts = int(-(-(keys.agg(F.sum("n")).first()[0] or 0) // PARTITION_ROWS))
     parts = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["key", "doc_id", "text_hash", "place"]
-    suffixes = materialize(_suffixes(rows, min_words, places, some))
+    suffixes = written(_suffixes(rows, min_words, places, some))
     compared = suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
         lambda b: _compare(b, min_words),
         f"doc_id {kind}, text_hash long, begin long, end long, first_doc {kind}, first_begin long, hash long")
@@ -214,14 +215,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     found = repeated_spans(docs, doc_id, text, min_words)
     some = docs.sparkSession.sparkContext.broadcast(key_set(found, "text_hash"))
     columns, quoted = docs.columns, [f"`{c}`" for c in docs.columns]
-    text_hash, own_spans = free_name(docs, "_text_hash"), free_name(docs, "_own_spans")
-    hashed = docs.withColumn(text_hash, F.xxhash64(F.col(f"`{text}`")))
-
-    def side(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(some.value.maybe(batch.column(batch.num_columns - 1).to_numpy()) == wanted))
-        return run
+    text_hash, own_spans, concerned = (free_name(docs, c) for c in ("_text_hash", "_own_spans", "_concerned"))
+    hashed = docs.withColumn(text_hash, F.xxhash64(F.col(f"`{text}`"))).withColumn(concerned, may_be_in(some)(text_hash))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,8 +230,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 new = cut_words(buf, offsets, starts, ends, first, gone, np.array(have, np.int64))
                 yield replace_texts(part, text, n_chars, new).select(columns)
 
-    plain = hashed.mapInArrow(side(False), hashed.schema).select(*quoted)
-    touched = hashed.mapInArrow(side(True), hashed.schema).alias("d").join(
+    plain = hashed.where(~F.col(concerned)).select(*quoted)
+    touched = hashed.where(F.col(concerned)).alias("d").join(
         found.alias("f"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.`{text_hash}`") == F.col("f.text_hash")), "left")
     touched = touched.select(*[F.col(f"d.{c}") for c in quoted], F.col("f.spans").alias(own_spans))
-    return plain.union(touched.mapInArrow(cut, docs.schema))
+    # written first, so that no task holds two workers
+    return plain.union(written(touched).mapInArrow(cut, docs.schema))

@@ -86,3 +86,12 @@ def test_texts_and_edge_cases(spark):
     assert out == [(1, kept, 5), (1, kept, 5), (2, "Second \nlast", 12), (5, "short", 9)]
     assert suffix_dedup.remove_repeats(df).where("text IS NULL").count() == 1
     assert suffix_dedup.remove_repeats(df.where("false")).count() == 0
+
+
+def test_texts_stay_in_the_jvm_where_nothing_repeats(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}_{k}" for k in range(60))) for i in range(4)], "doc_id long, text string")
+    cut = suffix_dedup.remove_repeats(docs)
+    assert sorted(r.doc_id for r in cut.collect()) == [0, 1, 2, 3]
+    # only the rows that are cut go to Python whole
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" in plan
