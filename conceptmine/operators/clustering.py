@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conceptmine.functions import vectors as vx
-from conceptmine.operators.similarity import MAX_BROADCAST_VALUES, Side, block_join, hits, matrix, shape
+from conceptmine.operators.similarity import MAX_BROADCAST_VALUES, SLICE_VALUES, Side, block_join, hits, matrix, shape
 from conceptmine.operators.skew import salted_join
 from conceptmine.session import materialize
 
@@ -45,18 +45,20 @@ class Earlier:
         return first + np.flatnonzero(self.have[first:] <= self.most)
 
     def meet(self, ids: np.ndarray, side: Side) -> Iterator[pa.RecordBatch]:
-        rows = self.open_rows(ids[0])
-        if not len(rows):
-            return
-        i, j, _ = hits(self.side[rows], side, self.t, True)
-        v, u = rows[i], ids[j]
-        earlier = u < self.ids[v]
-        # ordered by row, then by id: the place in a row's list
-        v, u = v[earlier], u[earlier]
-        place = self.have[v] + np.arange(len(v)) - np.searchsorted(v, v)
-        self.have += np.bincount(v, minlength=len(self.have))
-        keep = place < self.most
-        yield _listed(self.ids[v[keep]], pa.array(u[keep]))
+        every = self.open_rows(ids[0])
+        # a bounded number of products at a time, however many rows the block has
+        step = max(1, SLICE_VALUES // len(ids))
+        for at in range(0, len(every), step):
+            rows = every[at:at + step]
+            i, j, _ = hits(self.side[rows], side, self.t, True)
+            v, u = rows[i], ids[j]
+            earlier = u < self.ids[v]
+            # ordered by row, then by id: the place in a row's list
+            v, u = v[earlier], u[earlier]
+            place = self.have[v] + np.arange(len(v)) - np.searchsorted(v, v)
+            self.have += np.bincount(v, minlength=len(self.have))
+            keep = place < self.most
+            yield _listed(self.ids[v[keep]], pa.array(u[keep]))
 
     def feed(self, ids: pa.Array, vectors: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
         ids = ids.to_numpy()

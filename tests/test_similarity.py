@@ -1,6 +1,7 @@
 """Similarity joins and clustering against brute force; de-duplication cases."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,3 +299,15 @@ def test_exact_check_holds_a_bounded_number_of_products():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(i) == 800 * 800 and peak < 150e6  # all products at once would take 3.9 GB
+
+
+def test_products_of_a_block_are_bounded(monkeypatch):
+    rnd = np.random.default_rng(2)
+    block, seen, hits = rnd.normal(size=(9000, 8)), [], clustering.hits
+    monkeypatch.setattr(clustering, "hits", lambda a, b, t, s: seen.append(len(a) * len(b)) or hits(a, b, t, s))
+    found = clustering.Earlier(pa.array(np.arange(9000)), similarity.Side(block, resident=False), 0.9, 5)
+    got = [r for b in found.meet(np.arange(512), similarity.Side(block[:512], resident=False)) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert max(seen) <= similarity.SLICE_VALUES < 9000 * 512
+    unit = block / np.linalg.norm(block, axis=1, keepdims=True)
+    near = unit @ unit[:512].T > 0.9
+    assert got == [(v, u) for v in range(9000) for u in [u for u in np.flatnonzero(near[v]).tolist() if u < v][:5]]
