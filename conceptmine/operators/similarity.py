@@ -34,9 +34,10 @@ from pyspark.sql import functions as F
 
 from conceptmine.functions import vectors as vx
 
-MAX_BROADCAST_VALUES = 8_000_000  # doubles, 64 MB
-RESIDENT_VALUES = 16_000_000  # components of a left block that a task keeps
-SLICE_VALUES = 4_000_000  # products held at once by a worker
+MAX_BROADCAST_VALUES = 2_000_000  # doubles, 16 MB; every worker holds them, and their unit vectors
+RESIDENT_VALUES = 4_000_000  # components of a left block that a task keeps
+SLICE_VALUES = 1_000_000  # products held at once by a worker
+PAIR_VALUES = 250_000  # components of pairs computed in full, or distances to pivots, at once
 BLOCK_ROWS = 2048  # rows of a block at least, where there are as many
 CELL_SHARE = 4  # cells must leave at most one in so many products
 HEAD_SHARE, HEAD_DIM = 8, 128  # leading components are one in so many, of vectors from this width on
@@ -112,7 +113,7 @@ def hits(a: Side, b: Side, t: float, strict: bool):
     i, j = _candidates(a, b, t)
     score = np.empty(len(i))
     # exact values of a bounded number of pairs at a time, whatever the dimension
-    step = max(1, SLICE_VALUES // a.vectors.shape[1])
+    step = max(1, PAIR_VALUES // a.vectors.shape[1])
     for at in range(0, len(i), step):
         x, y = i[at:at + step], j[at:at + step]
         score[at:at + step] = (a.vectors[x].astype(np.float64, copy=False) * b.vectors[y]).sum(axis=1) / (a.lengths[x] * b.lengths[y])
@@ -228,7 +229,7 @@ def _with_cells(df: DataFrame, pivots: np.ndarray, choose, vectors: bool = True)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        step = max(1, SLICE_VALUES // len(p))
+        step = max(1, PAIR_VALUES // len(p))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
@@ -356,7 +357,9 @@ def _runner(work: Callable, dim: int):
                     continue  # a slice for a block without rows
                 if consumer is None:
                     table = pa.Table.from_batches(held)
-                    held, consumer = [], work(table["id"].combine_chunks(), Side(matrix(table["vec"], dim)))
+                    ids, vectors = table["id"].combine_chunks(), matrix(table["vec"], dim)
+                    held, table = [], None
+                    consumer = work(ids, Side(vectors))
                 yield from consumer.feed(part.column("id"), matrix(part.column("vec"), dim), bool(comes[begin] == 2))
         if consumer is not None:
             yield from consumer.finish()
