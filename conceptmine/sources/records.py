@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -24,20 +23,10 @@ _SPLIT = ["file", "split"]
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines in file order within a task, with the file (the hash of its path, as it goes with every line) and the start of the split they come from."""
+    """Lines in file order within a task, with the file and the start of the split they come from."""
     lines = spark.read.option("lineSep", "\n").text(path)
     return lines.select(
-        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
-
-
-def _runs(batch: pa.RecordBatch, quote: str) -> Iterator[tuple[tuple[int, int], int, int, np.ndarray]]:
-    """The lines of each split in a batch: file and split, first line, end, and the number of quotes so far after each line."""
-    file, split = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    quotes = pc.count_substring(batch.column(2), quote).to_numpy()
-    cuts = np.flatnonzero((file[1:] != file[:-1]) | (split[1:] != split[:-1])) + 1
-    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(file)]):
-        if a < b:
-            yield (int(file[a]), int(split[a])), a, b, np.cumsum(quotes[a:b])
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"))
 
 
 def _begun(lines: DataFrame, quote: str) -> DataFrame:
@@ -46,23 +35,23 @@ def _begun(lines: DataFrame, quote: str) -> DataFrame:
         now, n, ends = None, 0, [False, False]
         for batch in batches:
             out = []
-            for key, _, _, quotes in _runs(batch, quote):
+            odd = pc.count_substring(batch.column(2), quote).to_numpy() % 2 == 1
+            for key, o in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), odd.tolist()):
                 if key != now:
                     out += [(*now, n, *ends)] if now else []
                     now, n, ends = key, 0, [False, False]
-                odd = (quotes + n) % 2 == 1
-                ends = [ends[0] or not odd.all(), ends[1] or bool(odd.any())]
-                n = int(odd[-1])
+                n ^= o
+                ends[n] = True
             yield rows(out)
         yield rows([(*now, n, *ends)] if now else [])
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [*_SPLIT, "n", "even_end", "odd_end"])
 
     # by split: the parity of its quotes, and whether lines end after an even and after an odd number of them
-    counted = lines.mapInArrow(count, "file long, split long, n long, even_end boolean, odd_end boolean")
+    counted = lines.mapInArrow(count, "file string, split long, n long, even_end boolean, odd_end boolean")
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)) % 2 == 1)
     # a record that is open at the end of such a split began in it
@@ -89,38 +78,26 @@ def quoted_records(spark: SparkSession, path: str, quote: str = '"') -> DataFram
 
         for batch in batches:
             out = []
-            for key, a, b, quotes in _runs(batch, quote):
-                if key != now:
+            quotes = pc.count_substring(batch.column(2), quote).to_numpy() % 2 == 1
+            for f, s, text, b, n in zip(*(batch.column(i).to_pylist() for i in range(4)), quotes.tolist()):
+                if (f, s) != now:
                     out += [part(False)] if held else []
-                    start = batch.column(3)[a].as_py()
-                    now, from_, held, odd, first = key, start, [], start is not None, key[1] == 0
-                lines = batch.column(2).slice(a, b - a)
-                ends = np.flatnonzero((quotes + odd) % 2 == 0) + 1
-                odd ^= bool(quotes[-1] % 2)
-                at = done = 0
-                # one by one: what was open before, and the first records of a file
-                while done < len(ends) and (held or from_ is not None or first):
-                    held += lines.slice(at, ends[done] - at).to_pylist()
+                    now, from_, held, odd, first = (f, s), b, [], b is not None, s == 0
+                held.append(text)
+                odd ^= n
+                if not odd:
                     out.append(part(True))
                     first &= not held[0].strip("\r")  # a blank line is no record
-                    at, done, from_, held = int(ends[done]), done + 1, None, []
-                if done < len(ends):
-                    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[at, ends[done:]], pa.int32()), lines), "\n")
-                    n = len(whole)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, now[0])), pa.array(np.full(n, now[1])), pa.array(np.full(n, now[1])), whole.cast(pa.string()),
-                        pa.array(np.zeros(n, bool)), pa.array(np.ones(n, bool))], ["file", "from", "at", "record", "first", "whole"])
-                    at = int(ends[-1])
-                held += lines.slice(at).to_pylist()
+                    from_, held = None, []
             yield rows_of(out)
         yield rows_of([part(False)] if held else [])
 
     def rows_of(out: list[tuple]) -> pa.RecordBatch:
-        kinds = {"file": pa.int64(), "from": pa.int64(), "at": pa.int64(), "record": pa.string(), "first": pa.bool_(), "whole": pa.bool_()}
+        kinds = {"file": pa.string(), "from": pa.int64(), "at": pa.int64(), "record": pa.string(), "first": pa.bool_(), "whole": pa.bool_()}
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds.values())], list(kinds))
 
     parts = rows.select(*_SPLIT, "line", "from").mapInArrow(
-        cut, "file long, from long, at long, record string, first boolean, whole boolean")
+        cut, "file string, from long, at long, record string, first boolean, whole boolean")
     # at most two parts a split
     pieces = F.array_sort(F.collect_list(F.struct("at", "record")))
     joined = parts.where("NOT whole").groupBy("file", "from").agg(
