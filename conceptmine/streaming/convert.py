@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from conceptmine.operators.ranking import last_wins
 from conceptmine.sources.notebooks import convert
-from conceptmine.sources.scan import path_exists, scan_notebooks
+from conceptmine.sources.scan import list_files, path_exists, scan_notebooks
 
 VERSION = "path string, modified timestamp"
 SCRIPT = "path string, modified timestamp, text string"
@@ -23,7 +23,7 @@ SCRIPT = "path string, modified timestamp, text string"
 
 def snapshot(spark: SparkSession, root: str, versions: str, glob: str = "*.ipynb") -> None:
     """Append the file versions below ``root`` that ``versions`` does not have; contents are not read."""
-    now = scan_notebooks(spark, root, glob=glob).select("path", "modified")
+    now = list_files(spark, root, glob).select("path", "modified")
     if path_exists(spark, versions):
         known = spark.read.schema(VERSION).parquet(versions)
         now = now.join(known, ["path", "modified"], "left_anti")
@@ -45,7 +45,7 @@ def start_conversion(spark: SparkSession, root: str, out: str, checkpoint: str,
         if since is None:
             return
         # files that are older than every new version are not opened
-        files = scan_notebooks(batch.sparkSession, root, glob=glob).where(F.col("modified") >= F.lit(since))
+        files = scan_notebooks(batch.sparkSession, root, glob=glob, since=since)
         fresh = files.join(batch, ["path", "modified"], "left_semi").select("path", "modified", "text")
         scripts_ = convert(fresh).where(F.col("text").isNotNull()).select("path", "modified", "text")
         scripts_.write.mode("overwrite").parquet(f"{out}/batch={number}")

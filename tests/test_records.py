@@ -132,3 +132,39 @@ def test_files_of_a_task_have_folders_of_their_own(spark):
     found = list(root.glob("kind=*/_task=*/*.txt"))
     assert sorted(f.read_text() for f in found) == sorted(f"t{i}\n" for i in range(40))
     assert len({f.parent for f in found}) == 8 and not list(root.rglob("*.txt.crc"))
+
+
+@pytest.mark.parametrize("starts, look", [(64, 10_000), (2, 10_000), (64, 3)])
+def test_tasks_list_what_sparks_reader_lists(spark, tmp_path, monkeypatch, starts, look):
+    from conceptmine.sources import scan
+    monkeypatch.setattr(scan, "_STARTS", starts)
+    monkeypatch.setattr(scan, "_LOOK", look)
+    names = ["a.py", "b c.py", "é'\"%20.py", "[x].py", "_h.py", "_metadata.py", "_k=1.py", ".dot.py", "n.txt", "n.md", "z._COPYING_"]
+    folders = ["", "p", "p/q", "p/q/r r", "p/build", "_h", ".git", "_part=1", "_metadata_x", "w/1", "w/2", "w/3", "w/4"]
+    for folder in folders:
+        (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+        for name in names:
+            (tmp_path / folder / name).write_bytes(f"# {folder}{name}".encode() + b"\r\n\xff")
+        (tmp_path / folder / "empty.py").touch()
+    for root in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/p"):
+        for glob in ("*.py", "*.{py,txt}", "[a-b]*", "?.py", "*"):
+            for skip in (None, ["build", "a.py"]):
+                want = scan._spark_files(spark, root, glob, skip)
+                assert sorted(scan.list_files(spark, root, glob, skip).collect()) == sorted(want.drop("content").collect())
+                assert sorted(scan.scan_files(spark, root, glob, skip).collect()) == sorted(want.drop("length").collect())
+    files = scan.scan_scripts(spark, str(tmp_path))
+    assert "binaryFile" not in files._jdf.queryExecution().toString()
+    assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_scan_opens_no_older_file(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from conceptmine.sources import scan
+    for name, at in (("old.py", 1000), ("new.py", 2000)):
+        (tmp_path / name).write_text(name)
+        os.utime(tmp_path / name, (at, at))
+    since = dt.datetime.fromtimestamp(2000)
+    assert [r.path for r in scan.scan_files(spark, str(tmp_path), "*.py", since=since).collect()] == ["new.py"]
+    assert [r.path for r in scan.scan_notebooks(spark, str(tmp_path), glob="*.py", since=since).collect()] == ["new.py"]
