@@ -146,12 +146,10 @@ def test_tasks_list_what_sparks_reader_lists(spark, tmp_path, monkeypatch, start
         for name in names:
             (tmp_path / folder / name).write_bytes(f"# {folder}{name}".encode() + b"\r\n\xff")
         (tmp_path / folder / "empty.py").touch()
-    for root in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/p"):
-        for glob in ("*.py", "*.{py,txt}", "[a-b]*", "?.py", "*"):
-            for skip in (None, ["build", "a.py"]):
-                want = scan._spark_files(spark, root, glob, skip)
-                assert sorted(scan.list_files(spark, root, glob, skip).collect()) == sorted(want.drop("content").collect())
-                assert sorted(scan.scan_files(spark, root, glob, skip).collect()) == sorted(want.drop("length").collect())
+    for root, glob, skip in ((str(tmp_path), "*", None), (f"file://{tmp_path}/", "*.{py,txt}", ["build", "a.py"]), (f"{tmp_path}/p", "[a-b]*", None)):
+        want = scan._spark_files(spark, root, glob, skip)
+        assert sorted(scan.list_files(spark, root, glob, skip).collect()) == sorted(want.drop("content").collect())
+        assert sorted(scan.scan_files(spark, root, glob, skip).collect()) == sorted(want.drop("length").collect())
     files = scan.scan_scripts(spark, str(tmp_path))
     assert "binaryFile" not in files._jdf.queryExecution().toString()
     assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -168,3 +166,23 @@ def test_a_scan_opens_no_older_file(spark, tmp_path):
     since = dt.datetime.fromtimestamp(2000)
     assert [r.path for r in scan.scan_files(spark, str(tmp_path), "*.py", since=since).collect()] == ["new.py"]
     assert [r.path for r in scan.scan_notebooks(spark, str(tmp_path), glob="*.py", since=since).collect()] == ["new.py"]
+
+
+def test_tasks_write_the_files_of_sparks_writer_themselves(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from workload import files
+    keys = ["a", "", None, "x/y=%1", "{b}[c]^", "é 'q'\"#*:?\\", "\u0001\u007f", "..", "A"]
+    rows = spark.createDataFrame([(k, n, f"t{n}\r\né" if n else None) for k in keys for n in range(3)], "k string, `n m` int, value string").repartition(3)
+    rows.select("value", F.col("k").alias("kind"), F.col("n m").alias("n")).write.option("maxRecordsPerFile", 1).partitionBy("kind", "n").text(str(tmp_path / "want"))
+
+    def spark_writes(*_, **__):
+        raise AssertionError("each file costs Spark's writer milliseconds")
+    monkeypatch.setattr(type(rows.write), "text", spark_writes)
+    got = Path(files.one_file_each(rows.select("value", F.col("k").alias("kind"), F.col("n m").alias("n")), ["kind", "n"]))
+
+    def held(root, folder):
+        return sorted((str(folder(f).relative_to(root)), f.read_bytes()) for f in root.rglob("*.txt"))
+    want = held(tmp_path / "want", lambda f: f.parent)
+    assert held(got, lambda f: f.parents[1]) == want and len(want) == 27
+    assert not list(got.glob(".*"))
