@@ -135,29 +135,23 @@ def capitalize(c: Column) -> Column:
     return F.concat(title, F.lower(F.substr(c, F.lit(2))))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def score_text(c: Column) -> Column:
     """Four digits as Python prints them: by the exact binary value, exact ties to even.
 
-    x * 10000 is taken as the exact sum of two products of x's halves, so the sign of its
-    distance to the next tie is exact.
+    What the product x * 10000 lost in rounding comes exactly from the products of x's halves, so the sign
+    of its distance to the tie is exact. Plain arithmetic only: it is compiled, and runs for every pair of a join.
     """
-    def digits(x: Column) -> Column:
-        upper = _let(x * 134217729.0, lambda big: big - (big - x))
-        halves = _let(upper, lambda u: F.array(u * 10000.0, (x - u) * 10000.0))
-        return _let(halves, lambda h: _let(F.floor(h[0] + h[1]).cast("double"), lambda n: _let(
-            n - F.when((h[0] - n) + h[1] < 0, 1.0).otherwise(0.0), lambda n: _let((h[0] - n - 0.5) + h[1], lambda rest:
-                n + F.when((rest > 0) | ((rest == 0) & (n % 2 == 1)), 1.0).otherwise(0.0)))))
-
+    x = F.abs(c.cast("double"))
+    product, big = x * 10000.0, x * 134217729.0
+    upper = big - (big - x)
+    lost = (upper * 10000.0 - product) + (x - upper) * 10000.0
+    whole = F.floor(product)
+    rest = (product - whole - 0.5) + lost
+    n = whole + F.when((rest > 0) | ((rest == 0) & (whole % 2 == 1)), 1).otherwise(0)
     sign = F.when(c < 0, "-").otherwise("")
-    text = _let(digits(F.abs(c.cast("double"))), lambda n: F.concat(
-        F.floor(n / 10000).cast("long").cast("string"), F.lit("."), F.lpad((n % 10000).cast("long").cast("string"), 4, "0")))
+    text = F.concat(sign, F.floor(n / 10000).cast("string"), F.lit("."), F.substring((n % 10000 + 10000).cast("string"), 2, 4))
     plain = F.when(F.isnan(c), "nan").otherwise(F.format_string("%.4f", c))
-    return F.when(c.isNotNull(), F.when(F.abs(c) < 1e11, F.concat(sign, text)).otherwise(plain))
+    return F.when(c.isNotNull(), F.when(F.abs(c) < 1e11, text).otherwise(plain))
 
 
 def snippet_key(name: Column, strip_all: bool = True) -> Column:

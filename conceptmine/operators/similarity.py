@@ -24,6 +24,7 @@ Pairs of one table come from a triangle of block pairs: each pair of rows is com
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from math import ceil, sqrt
 
 import numpy as np
@@ -37,6 +38,7 @@ from conceptmine.functions import vectors as vx
 MAX_BROADCAST_VALUES = 2_000_000  # doubles, 16 MB; every worker holds them, and their unit vectors
 RESIDENT_VALUES = 4_000_000  # components of a left block that a task keeps
 SLICE_VALUES = 1_000_000  # products held at once by a worker
+SLICE_ROWS = 256  # rows that pass a block at once, where they come: products of fewer are slower one by one
 PAIR_VALUES = 250_000  # components of pairs computed in full, or distances to pivots, at once
 BLOCK_ROWS = 2048  # rows of a block at least, where there are as many
 CELL_SHARE = 4  # cells must leave at most one in so many products
@@ -104,8 +106,29 @@ def _candidates(a: Side, b: Side, t: float) -> tuple[np.ndarray, np.ndarray]:
         near = bound >= t - SLACK
         # one pair costs as much alone as some thirty in a matrix product
         if np.count_nonzero(near) * 32 <= near.size:
-            return np.nonzero(near)
-    return np.nonzero(a.unit @ b.unit.T >= t - SLACK)
+            return _true(near)
+    return _true(_products(a.unit, b.unit) >= t - SLACK)
+
+
+@cache
+def _room(values: int) -> np.ndarray:
+    return np.empty(values, dtype=np.float32)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b.T``, in memory that the next call uses again: new pages cost as much as the products."""
+    size = len(a) * len(b)
+    return np.matmul(a, b.T, out=_room(SLICE_VALUES)[:size].reshape(len(a), len(b))) if size <= SLICE_VALUES else a @ b.T
+
+
+def _true(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix where little is true: eight values are looked at as one."""
+    flat = near.reshape(-1)
+    whole = len(flat) & ~7
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    places = np.flatnonzero(flat[:whole].reshape(-1, 8)[words])
+    at = np.concatenate([words[places >> 3] * 8 + (places & 7), whole + np.flatnonzero(flat[whole:])])
+    return np.divmod(at, max(1, near.shape[1]))
 
 
 def hits(a: Side, b: Side, t: float, strict: bool):
@@ -113,10 +136,12 @@ def hits(a: Side, b: Side, t: float, strict: bool):
     i, j = _candidates(a, b, t)
     score = np.empty(len(i))
     # exact values of a bounded number of pairs at a time, whatever the dimension
-    step = max(1, PAIR_VALUES // a.vectors.shape[1])
+    step = max(1, PAIR_VALUES // (4 * a.vectors.shape[1]))
     for at in range(0, len(i), step):
         x, y = i[at:at + step], j[at:at + step]
-        score[at:at + step] = (a.vectors[x].astype(np.float64, copy=False) * b.vectors[y]).sum(axis=1) / (a.lengths[x] * b.lengths[y])
+        pairs = np.take(a.vectors, x, axis=0).astype(np.float64, copy=False)
+        pairs *= np.take(b.vectors, y, axis=0).astype(np.float64, copy=False)
+        score[at:at + step] = pairs.sum(axis=1) / (a.lengths[x] * b.lengths[y])
     keep = score > t if strict else score >= t
     return i[keep], j[keep], score[keep]
 
@@ -137,25 +162,25 @@ class Pairs:
 
     def feed(self, ids: pa.Array, vectors: np.ndarray, own: bool) -> Iterator[pa.RecordBatch]:
         """Pairs of the given rows with the block; of the block's ``own`` rows only the pairs with smaller ids."""
-        step = max(1, SLICE_VALUES // max(1, len(self.side)))
+        step = max(SLICE_ROWS, SLICE_VALUES // max(1, len(self.side)))
         for start in range(0, len(ids), step):
-            part = slice(start, start + step)
             some = ids.slice(start, step)
-            block, most = self.side, len(self.side)
+            passing = Side(vectors[start:start + step], resident=False)
+            most = len(self.side)
             if own:
                 order = some.to_numpy()
                 most = int(np.searchsorted(self.order, order.max()))
-                block = self.side[:most]
-            if not most:
-                continue
-            i, j, score = hits(Side(vectors[part], resident=False), block, self.t, self.strict)
-            if own:
-                earlier = self.order[j] < order[i]
-                i, j, score = i[earlier], j[earlier], score[earlier]
-            x, y = self.ids.take(pa.array(j)), some.take(pa.array(i))
-            if self.once:
-                x, y = (pa.array(f(x.to_numpy(), y.to_numpy())) for f in (np.minimum, np.maximum))
-            yield pa.RecordBatch.from_arrays([x, y, pa.array(score)], [*self.names, "score"])
+            width = max(1, SLICE_VALUES // len(some))
+            for first in range(0, most, width):
+                i, j, score = hits(passing, self.side[first:min(first + width, most)], self.t, self.strict)
+                j += first
+                if own:
+                    earlier = self.order[j] < order[i]
+                    i, j, score = i[earlier], j[earlier], score[earlier]
+                x, y = self.ids.take(pa.array(j)), some.take(pa.array(i))
+                if self.once:
+                    x, y = (pa.array(f(x.to_numpy(), y.to_numpy())) for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([x, y, pa.array(score)], [*self.names, "score"])
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         return iter(())

@@ -311,3 +311,24 @@ def test_products_of_a_block_are_bounded(monkeypatch):
     unit = block / np.linalg.norm(block, axis=1, keepdims=True)
     near = unit @ unit[:512].T > 0.9
     assert got == [(v, u) for v in range(9000) for u in [u for u in np.flatnonzero(near[v]).tolist() if u < v][:5]]
+
+
+def test_rows_pass_a_large_block_many_at_a_time(monkeypatch):
+    rnd = np.random.default_rng(5)
+    block, passing, seen, hits = rnd.normal(size=(9001, 8)), rnd.normal(size=(600, 8)), [], similarity.hits
+    monkeypatch.setattr(similarity, "hits", lambda a, b, t, s: seen.append((len(a), len(b))) or hits(a, b, t, s))
+    for own in (False, True):
+        seen.clear()
+        pairs = similarity.Pairs(pa.array(np.arange(9001)), similarity.Side(block), 0.9, False, once=True)
+        found = [r for b in pairs.feed(pa.array(np.arange(3000, 3600)), passing, own) for r in zip(*(c.to_pylist() for c in b.columns))]
+        i, j = np.nonzero(cosines(passing, block) >= 0.9)
+        want = [(min(v, u + 3000), max(v, u + 3000)) for u, v in zip(i.tolist(), j.tolist()) if not own or v < u + 3000]
+        assert sorted((a, b) for a, b, _ in found) == sorted(want) and want
+        assert max(a * b for a, b in seen) <= similarity.SLICE_VALUES and seen[0][0] >= 256
+
+
+@pytest.mark.parametrize("rows, columns, share", [(0, 0, 0), (0, 5, 0), (5, 0, 0), (1, 1, 1), (3, 5, 0.5), (7, 9, 0.1), (64, 16, 0), (200, 177, 0.01), (40, 8, 1)])
+def test_true_values_come_by_row_then_column(rows, columns, share):
+    near = np.random.default_rng(6).random((rows, columns)) < share
+    for got, want in zip(similarity._true(near), np.nonzero(near), strict=True):
+        assert got.tolist() == want.tolist()

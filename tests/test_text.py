@@ -117,3 +117,13 @@ def test_html_to_text():
             "<p>one<b> two </b>&eacute;<!-- no -->three<br/>four</p><template><i>no</i></template>end")
     assert plain_text(html) == "T & x one two é three four end"
     assert plain_text("") == "" and plain_text(None) is None and plain_text(" plain ") == "plain"
+
+
+def test_score_text_is_compiled_and_exact_next_to_ties(spark, apply):
+    import math
+    rnd = random.Random(7)
+    ties = [(rnd.randrange(10 ** rnd.randrange(1, 15)) + 0.5) / 10000 for _ in range(500)]
+    values = [f(v) for v in ties for f in (float, lambda v: math.nextafter(v, 0), lambda v: math.nextafter(v, math.inf), lambda v: -v)]
+    assert apply(tx.score_text, values, "double") == ["%.4f" % v for v in values]
+    plan = spark.range(3).select(tx.score_text(F.col("id") / 7).alias("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
