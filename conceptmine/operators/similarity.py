@@ -339,7 +339,9 @@ def block_join(a: DataFrame, b: DataFrame, dim: int, t: float, work: Callable, s
         "blocks": np.ceil(sizes["n_left"] / block).astype("int32"),
         "slices": np.ceil(sizes["n_right"] / pass_by).astype("int32"),
     })
-    tasks = int((grid["blocks"].astype("int64") * grid["slices"]).sum())
+    pairs = grid["blocks"].astype("int64") * grid["slices"]
+    grid["first"] = pairs.cumsum() - pairs  # number of a cell's first block pair
+    tasks = int(pairs.sum())
     tasks = min(tasks, max(cores, ceil(tasks / 8)))
     grid = F.broadcast(spark.createDataFrame(grid))  # one row per pivot
 
@@ -349,14 +351,16 @@ def block_join(a: DataFrame, b: DataFrame, dim: int, t: float, work: Callable, s
     own_block, own_slice = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("slices")).cast("int")
     # rows of a cell go to its blocks up to their own one where pairs are wanted once; rows of other cells to all
     at_home = (F.col("home") == F.col("cell")) if once else F.lit(False)
-    keys = ["cell", "block", "slice"]
+    keys = ["id", "vec", "cell", "block", "slice", "comes", (F.col("first") + F.col("block").cast("bigint") * F.col("slices") + F.col("slice")).alias("number")]
     lefts = lefts.join(grid, "cell").select(
-        "id", "vec", "cell", own_block.alias("block"), every("slices").alias("slice"), F.lit(0).alias("comes"))
+        "id", "vec", "cell", own_block.alias("block"), every("slices").alias("slice"), "slices", "first", F.lit(0).alias("comes")).select(*keys)
     rights = rights.join(grid, "cell").withColumn("last", F.when(at_home, own_block).otherwise(F.col("blocks") - 1)).select(
-        "id", "vec", "cell", every("blocks", F.col("last")).alias("block"), own_slice.alias("slice"), "last", at_home.alias("home"))
-    rights = rights.withColumn("comes", F.when(F.col("home") & (F.col("block") == F.col("last")), 2).otherwise(1)).drop("last", "home")
+        "id", "vec", "cell", every("blocks", F.col("last")).alias("block"), own_slice.alias("slice"), "slices", "first", "last", at_home.alias("home"))
+    rights = rights.withColumn("comes", F.when(F.col("home") & (F.col("block") == F.col("last")), 2).otherwise(1)).select(*keys)
     pair = F.shiftleft(F.col("cell").cast("bigint"), 40) + F.shiftleft(F.col("block").cast("bigint"), 20) + F.col("slice")
-    both = lefts.unionByName(rights).select("id", "vec", pair.alias("pair"), "comes").repartition(tasks, "pair")
+    # block pairs are dealt out in turn: by hash a task of few gets twice its share
+    both = lefts.unionByName(rights).select("id", "vec", pair.alias("pair"), "comes", (F.col("number") % tasks).cast("int").alias("task"))
+    both = both.repartitionById(tasks, "task").drop("task")
     return both.sortWithinPartitions("pair", "comes", "id").mapInArrow(_runner(work, dim), schema)
 
 

@@ -332,3 +332,20 @@ def test_true_values_come_by_row_then_column(rows, columns, share):
     near = np.random.default_rng(6).random((rows, columns)) < share
     for got, want in zip(similarity._true(near), np.nonzero(near), strict=True):
         assert got.tolist() == want.tolist()
+
+
+def test_block_pairs_are_dealt_out_evenly(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(similarity, "RESIDENT_VALUES", 16 * 40)
+    rows = similarity.prepared(frame(spark, np.random.default_rng(8).normal(size=(400, 16))), "id", "vec")
+
+    class Counted:
+        def feed(self, ids, vectors, own):
+            return iter(())
+
+        def finish(self):
+            yield pa.RecordBatch.from_arrays([pa.array([1])], ["n"])
+
+    pairs = similarity.block_join(rows, rows, 16, 0.1, lambda ids, side: Counted(), "n long")
+    shares = [r["n"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()]
+    assert sum(shares) == 20 and len(shares) == 4 and max(shares) - min(shares) <= 1
