@@ -186,3 +186,18 @@ def test_tasks_write_the_files_of_sparks_writer_themselves(spark, tmp_path, monk
     want = held(tmp_path / "want", lambda f: f.parent)
     assert held(got, lambda f: f.parents[1]) == want and len(want) == 27
     assert not list(got.glob(".*"))
+
+
+def test_a_table_in_many_pieces_is_not_dealt_out(spark, tmp_path):
+    from workload import files, inputs, texts
+    docs = spark.range(600).selectExpr("id AS doc_id", "repeat('x', 50) AS text", "if(id % 2 = 0, 'en', 'de') AS lang", "'s' || id % 3 AS source", "50 AS n_chars")
+    for name, parts, size in (("few", 1, 1 << 27), ("files", 8, 1 << 27), ("groups", 1, 1)):
+        path = str(tmp_path / "a b" / name)
+        writer = docs.coalesce(1).repartition(parts).write.option("parquet.block.size", size)
+        writer.option("parquet.block.size.row.check.min", 10).option("parquet.block.size.row.check.max", 10).option(
+            "parquet.page.size.row.check.min", 10).option("parquet.page.size.row.check.max", 10).parquet(f"{path}/documents.parquet")
+        for rows in (inputs.as_stored(spark, path, "documents"), texts.notebook_files(spark, path, inputs.as_stored)):
+            assert ("Exchange" in rows._jdf.queryExecution().executedPlan().toString()) == (name == "few"), name
+        assert rows.count() == 600 and "Exchange" in texts.notebook_files(spark, path)._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in files.notebook_scan(spark, path).collect())
+    assert got == [("source=s0", 200), ("source=s1", 200), ("source=s2", 200)]

@@ -10,11 +10,11 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from conceptmine.operators import coverage, repos, stats
-from conceptmine.session import scratch, spread
+from conceptmine.session import scratch
 from conceptmine.sinks import export
 from conceptmine.sources import catalogue, scan, tables
 from workload import mining, reporting, texts
-from workload.inputs import BASE, DEFINED, FACTS, REPOS, WATCHED, defined_patterns, facts, repositories, table, watched_patterns
+from workload.inputs import BASE, DEFINED, FACTS, REPOS, WATCHED, as_stored, defined_patterns, facts, repositories, table, watched_patterns
 
 QUERIES = {}
 
@@ -290,16 +290,14 @@ def language_csv_file(spark, d):
 @query("script_scan", "SELECT 'lang=' || lang AS project, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) AS text FROM documents")
 def script_scan(spark, d):
     """Every document as a script file of its own, by language."""
-    rows, cores = table(spark, d, "documents").select("lang", "text"), spark.sparkContext.defaultParallelism
-    # dealing the texts out leaves a copy of them on disk
-    path = one_file_each(rows if len(rows.inputFiles()) >= cores else spread(rows, cores), ["lang"])
+    path = one_file_each(as_stored(spark, d, "documents").select("lang", "text"), ["lang"])
     return scan.scan_scripts(spark, path, glob="*.txt").select("project", "text")
 
 
 @query("notebook_scan", """SELECT 'source=' || source AS project, count(*) AS notebooks FROM documents GROUP BY 1""")
 def notebook_scan(spark, d):
     """Every document as a notebook file of its own, counted by folder; those in a skipped folder are left out."""
-    rows = texts.notebook_files(spark, d).select(F.split("path", "/")[0].alias("source"), F.col("text").alias("value"))
+    rows = texts.notebook_files(spark, d, as_stored).select(F.split("path", "/")[0].alias("source"), F.col("text").alias("value"))
     found = scan.scan_notebooks(spark, one_file_each(rows, ["source"]), ["none"], glob="*.txt")
     return scan.notebook_counts(found.where(F.col("text") != ""))
 

@@ -33,6 +33,24 @@ def wide(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(table(spark, sf_dir, name), spark.sparkContext.defaultParallelism)
 
 
+def as_stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table like ``wide``, dealt out only if it is stored in fewer pieces than there are cores: dealing leaves a copy on disk."""
+    rows, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    return rows if len(files) >= cores or row_groups(spark, files) >= cores else spread(rows, cores)
+
+
+def row_groups(spark: SparkSession, files: list[str]) -> int:
+    jvm, found = spark._jvm, 0
+    for file in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        footer = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(
+            jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, spark._jsparkSession.sessionState().newHadoopConf()))
+        found += footer.getRowGroups().size()
+        footer.close()
+    return found
+
+
 def sql_strip(c: str) -> str:
     return f"trim({c}, '{WS}')"
 

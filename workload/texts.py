@@ -138,7 +138,7 @@ def pattern_section(spark, d):
 
 # --- notebooks ------------------------------------------------------------------------------
 
-def notebook_files(spark, d):
+def notebook_files(spark, d, read=wide):
     """One notebook per document: its lines are prose cells, each followed by a code cell; German ones are broken."""
     lines = F.split("text", "\n")
     prose = F.transform(lines, lambda x: F.struct(
@@ -150,7 +150,7 @@ def notebook_files(spark, d):
         i.alias("execution_count")))
     cells = F.flatten(F.zip_with(prose, code, lambda p, c: F.array(p, c)))
     good = F.to_json(F.struct(cells.alias("cells")))
-    return wide(spark, d, "documents").select(
+    return read(spark, d, "documents").select(
         "doc_id", F.concat("source", F.lit("/d"), "doc_id", F.lit(".ipynb")).alias("path"),
         (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("n_chars"))).alias("modified"),
         F.when(F.col("lang") == "de", F.lit("{broken")).otherwise(good).alias("text"))
